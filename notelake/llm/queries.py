@@ -9,12 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from notelake.llm.decontaminate import CONTAINED_SQL, contained_items
 from notelake.llm.embedding_dedup import near_vectors
 from notelake.llm.near_dedup import near_duplicates
+from notelake.llm.pseudonyms import with_pseudonyms
+from notelake.llm.toxicity import toxicity
+
+#: Key of the registered query; production jobs pass their own.
+PSEUDONYM_KEY = b"registered query"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -23,12 +32,16 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_pseudonyms(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), ngram=2, percent=80)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_benchmark_decontamination, op7_embedding_near_dedup, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op4_toxicity, op6_benchmark_decontamination, op7_embedding_near_dedup, op8_pii_pseudonyms, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
