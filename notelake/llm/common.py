@@ -105,3 +105,12 @@ def _small_star(e: DataFrame) -> DataFrame:
         .filter("u != v")
         .distinct()
     )
+
+
+#: Rows of a saved table of a few short columns that are broadcast at most; beyond it Spark's joins decide.
+BROADCAST_ROWS = 400_000
+
+
+def small(saved: DataFrame) -> DataFrame:
+    """A saved table, marked for broadcast if it is within the bound."""
+    return F.broadcast(saved) if saved.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else saved

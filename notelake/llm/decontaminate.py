@@ -11,15 +11,11 @@ the document; candidates are verified by exact containment of the shingles' word
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from notelake.llm.common import Scratch
+from notelake.llm.common import Scratch, small
 
-#: Rows of an item table, or ids of documents, that are broadcast at most; beyond it Spark shuffles.
-BROADCAST_ROWS = 200_000
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _SPACE = " \t\n\x0b\f\r"
 
@@ -56,11 +52,6 @@ def _hashed(df: DataFrame, n: int) -> DataFrame:
     return df.withColumn("shingles", shingle_hashes("words", "hashes", n))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast a saved table that is within the bound, leave it to Spark's joins otherwise."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def contained_items(
     docs: DataFrame, items: DataFrame, ngram: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
@@ -86,16 +77,16 @@ def contained_items(
 
     sketched = _hashed(rows, ngram).select("doc", F.size("shingles").alias("n"), F.explode(F.filter("shingles", lambda h: h <= highest)).alias("hash"))
     fits = F.col("n") * 100 >= F.col("q") * percent if percent else F.lit(True)
-    met = sketched.join(_small(sketch), "hash").filter(fits).select("doc", "item").distinct()
+    met = sketched.join(small(sketch), "hash").filter(fits).select("doc", "item").distinct()
     pairs = scratch.save(met)
 
     texts = asked.withColumn("words", word_array(F.col("text"))).select("item", F.explode(shingle_texts("words", ngram)).alias("shingle")).distinct()
     texts = scratch.save(texts.withColumn("n_shingles", F.count("*").over(own)))
     wanted = scratch.save(pairs.select("doc").distinct())
-    found = rows.join(_small(wanted), "doc").withColumn("words", word_array(F.col("text")))
+    found = rows.join(small(wanted), "doc").withColumn("words", word_array(F.col("text")))
     found = found.select("doc", F.explode(shingle_texts("words", ngram)).alias("shingle"))
     shared = (
-        found.join(_small(texts), "shingle")
+        found.join(small(texts), "shingle")
         .join(pairs, ["doc", "item"], "left_semi")
         .distinct()
         .groupBy("doc", "item", "n_shingles")

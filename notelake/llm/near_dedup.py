@@ -1,17 +1,15 @@
 """MinHash near-duplicates by a join of signature coordinates.
 
-Every text becomes the set of its distinct word shingles and a signature of ``COORDINATES`` minima.
-Documents are posted under each (coordinate, value) pair. Two sets at the similarity threshold agree
-on a coordinate with that probability, so a true pair has at least ``MATCHES`` agreeing coordinates
-but for about one pair at the very threshold in a million. A pair with that many common postings
-shares one among any ``COORDINATES - MATCHES + 1`` postings of either side; the rarest ones are kept
-(prefix), sizes that cannot reach the threshold are skipped, the collisions of each remaining pair
-are counted on the signatures, and pairs above the match threshold are confirmed on the full sets.
-
-No list emits all its pairs. Equal sets are one node from the start. A first round compares each
-list's members with one pivot; links found there merge members into components, and a second round
-compares only members of the same list that are still in different components. What that leaves out
-are pairs already connected, so components are those of the full link graph.
+Every text becomes the set of its distinct word shingles and a signature of ``COORDINATES``
+coordinates, each the hash of ``MINIMA`` independent minima, so sets of similarity s agree on one with
+probability s ** MINIMA. Documents are posted under each (coordinate, value) pair. At similarity 0.8 a
+pair agrees on 16 of 32 coordinates on average, and on fewer than ``MATCHES`` in 5 cases of a million.
+A pair with that many common postings shares one among any ``COORDINATES - MATCHES + 1`` postings of
+either side: the rarest ones are kept (prefix), sizes that cannot reach the threshold are skipped,
+the collisions of each remaining pair are counted on the signatures, and pairs above the match
+threshold are confirmed on the full sets.
+
+Equal sets are one node from the start, and no list emits all its pairs: see ``lists.clusters``.
 """
 
 from __future__ import annotations
@@ -23,26 +21,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from notelake.llm.common import Scratch, connected_components
-from notelake.llm.textbytes import shingle_set
+from notelake.llm.common import Scratch, small
+from notelake.llm.lists import clusters
+from notelake.llm.textbytes import mix, shingle_set
 
-COORDINATES = 64
-#: Fewest agreeing coordinates of a pair that goes on to the exact check: 5 standard deviations under the mean at 0.8.
-MATCHES = 35
-_FACTORS = np.random.default_rng(20240607).integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+COORDINATES, MINIMA = 32, 3
+MATCHES = 5
+_FACTORS = np.random.default_rng(20240607).integers(0, 1 << 63, COORDINATES * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLACES = np.arange(1, COORDINATES + 1, dtype=np.uint64)
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """The minimum of every coordinate's hash over the set, as signed 32-bit values."""
-    least = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 2048):
-        np.minimum(least, (shingles[at : at + 2048, None] * _FACTORS).min(axis=0), out=least)
-    return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    """The coordinates of a set as signed 64-bit values; each value tells its coordinate too."""
+    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 1024):
+        np.minimum(least, (shingles[at : at + 1024, None] * _FACTORS).min(axis=0), out=least)
+    made = _PLACES
+    for part in least.reshape(MINIMA, COORDINATES):
+        made = mix(made + part)
+    return made.view(np.int64)
 
 
-def set_key(shingles: np.ndarray) -> bytes:
+def set_key(shingles: np.ndarray) -> int:
     """Name of a set: equal sets have equal names."""
-    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "big", signed=True)
 
 
 def _features(ngram: int):
@@ -53,11 +55,11 @@ def _features(ngram: int):
                 shingles = shingle_set(text or b"", ngram)
                 counts.append(len(shingles))
                 keys.append(set_key(shingles) if len(shingles) else None)
-                rows.append(signature(shingles) if len(shingles) else np.zeros(0, np.int32))
+                rows.append(signature(shingles) if len(shingles) else np.zeros(0, np.int64))
             offsets = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-            values = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+            values = np.concatenate(rows) if rows else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(values))],
+                [batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(values))],
                 names=["id", "n", "key", "sig"],
             )
 
@@ -71,7 +73,7 @@ def _sets(ngram: int):
                 shingles = shingle_set(text or b"", ngram)
                 if len(shingles):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([set_key(shingles)], pa.binary()), pa.ListArray.from_arrays([0, len(shingles)], pa.array(shingles.view(np.int64)))],
+                        [pa.array([set_key(shingles)], pa.int64()), pa.ListArray.from_arrays([0, len(shingles)], pa.array(shingles.view(np.int64)))],
                         names=["key", "members"],
                     )
 
@@ -93,29 +95,15 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = 80, id_col:
     scratch = Scratch(spark, "near-dedup")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
-    feats = scratch.save(rows.mapInArrow(_features(ngram), f"id {id_type}, n bigint, key binary, sig array<int>"))
+    feats = scratch.save(rows.mapInArrow(_features(ngram), f"id {id_type}, n bigint, key bigint, sig array<bigint>"))
     nodes = scratch.save(
         feats.filter("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     )
     posts = scratch.save(_prefix_postings(nodes))
 
-    pivot = posts.groupBy("token").agg(F.min("key").alias("a"), F.count("*").alias("m")).filter("m > 1")
-    stars = posts.join(pivot.select("token", "a"), "token").filter("key != a")
-    first = scratch.save(_confirm(stars.select("a", F.col("key").alias("b")).distinct(), nodes, rows, ngram, percent, scratch))
-    labels = connected_components(first, scratch)
-
-    labelled = posts.join(labels.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("label", F.coalesce("component", "key"))
-    labelled = scratch.save(labelled.select("token", "key", "n", "label"))
-    mixed = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("token")
-    left = labelled.join(mixed, "token", "left_semi")
-    right = left.select("token", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("label").alias("label_b"))
-    crossing = left.join(right, "token").filter(
-        (F.col("key") < F.col("b"))
-        & (F.col("label") != F.col("label_b"))
-        & (100 * F.least("n", "nb") >= percent * F.greatest("n", "nb"))
-    )
-    second = _confirm(crossing.select(F.col("key").alias("a"), "b").distinct(), nodes, rows, ngram, percent, scratch)
-    component = connected_components(first.union(second), scratch).select(F.col("node").alias("key"), "component")
+    sized = 100 * F.least("n", "nb") >= percent * F.greatest("n", "nb")
+    component = clusters(posts, lambda pairs: _confirm(pairs, nodes, rows, ngram, percent, scratch), scratch, sized)
+    component = component if component is not None else nodes.select("key", F.col("key").alias("component"))
 
     grouped = nodes.select("key", "rep").join(component, "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = grouped.groupBy("component").agg(F.min("rep").alias("component_id"))
@@ -132,14 +120,13 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = 80, id_col:
 
 def _prefix_postings(nodes: DataFrame) -> DataFrame:
     """(token, key, n) for the rarest coordinate-value pairs of each set that another set has too."""
-    tokens = nodes.select("key", "n", F.posexplode("sig").alias("at", "value")).select("key", "n", F.xxhash64("at", "value").alias("token"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    tokens = nodes.select("key", F.explode("sig").alias("token"))
+    shared = tokens.withColumn("df", F.count("*").over(Window.partitionBy("token"))).filter("df > 1")
     own = Window.partitionBy("key")
     alone = COORDINATES - F.count("*").over(own)
-    ranked = tokens.join(shared, "token").select(
-        "token", "key", "n", alone.alias("alone"), F.row_number().over(own.orderBy("df", "token")).alias("place")
-    )
-    return ranked.filter(F.col("alone") + F.col("place") <= COORDINATES - MATCHES + 1).select("token", "key", "n")
+    ranked = shared.select("token", "key", alone.alias("alone"), F.row_number().over(own.orderBy("df", "token")).alias("place"))
+    kept = ranked.filter(F.col("alone") + F.col("place") <= COORDINATES - MATCHES + 1).select("token", "key")
+    return kept.join(nodes.select("key", "n"), "key").select("token", "key", "n")
 
 
 def _confirm(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, ngram: int, percent: int, scratch: Scratch) -> DataFrame:
@@ -156,8 +143,8 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, ngram: int, pe
     likely = scratch.save(likely)
     wanted = likely.select(F.col("a").alias("key")).union(likely.select(F.col("b").alias("key"))).distinct()
     ids = nodes.select("key", "rep").join(wanted, "key").select(F.col("rep").alias("id")).distinct()
-    texts = rows.join(ids, "id", "left_semi").select("text")
-    sets = texts.mapInArrow(_sets(ngram), "key binary, members array<bigint>").join(wanted, "key", "left_semi")
+    texts = rows.join(small(scratch.save(ids)), "id", "left_semi").select("text")
+    sets = texts.mapInArrow(_sets(ngram), "key bigint, members array<bigint>").join(wanted, "key", "left_semi")
     sets = scratch.save(sets)
     common = F.size(F.array_intersect("ma", "mb"))
     return (
