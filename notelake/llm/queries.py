@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from notelake.llm.bpe import bpe_digest, read_ranks
 from notelake.llm.decontaminate import CONTAINED_SQL, contained_items
 from notelake.llm.embedding_dedup import near_vectors
+from notelake.llm.line_dedup import line_digest, without_repeated_lines
 from notelake.llm.near_dedup import near_duplicates
 from notelake.llm.pseudonyms import with_pseudonyms
 from notelake.llm.toxicity import toxicity
 
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Key of the registered query; production jobs pass their own.
 PSEUDONYM_KEY = b"registered query"
 
@@ -20,10 +24,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_digest(without_repeated_lines(table(spark, sf_dir, "documents")))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = read_ranks(spark, public_tokenizers.path(VOCABULARY))
+    return bpe_digest(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -41,7 +54,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_toxicity, op6_benchmark_decontamination, op7_embedding_near_dedup, op8_pii_pseudonyms, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op3_fuzzy_line_dedup, op4_toxicity, op5_byte_level_bpe, op6_benchmark_decontamination, op7_embedding_near_dedup, op8_pii_pseudonyms, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
