@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notelake.llm.common import Scratch
+from notelake.llm.common import Scratch, small
 
 #: Entries and exceptions of a lexicon, at most: the model's size, not a limit on what is counted.
 ENTRIES = 5_000
@@ -120,7 +120,7 @@ def _counted(make):
 def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str, text_col: str, exceptions: tuple[str, ...] = ()) -> tuple[Lexicon, np.ndarray]:
     """Lexicon and logistic weights from labelled rows: ``labels(id, toxic)``, toxic 0 or 1."""
     known = labels.filter("id is not null and toxic in (0, 1)").groupBy("id").agg(F.max("toxic").cast("int").alias("toxic"))
-    train = scratch.save(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known, "id"))
+    train = scratch.save(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(small(scratch.save(known)), "id"))
     sizes = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
     if not clean or not toxic:
