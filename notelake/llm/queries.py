@@ -13,6 +13,7 @@ from notelake.llm.embedding_dedup import near_vectors
 from notelake.llm.line_dedup import line_digest, without_repeated_lines
 from notelake.llm.near_dedup import near_duplicates
 from notelake.llm.pseudonyms import with_pseudonyms
+from notelake.llm.suffix_tree_lm import suffix_tree_scores
 from notelake.llm.toxicity import toxicity
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -49,12 +50,16 @@ def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_pseudonyms(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
 
 
+def op9_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_scores(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), ngram=2, percent=80)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_fuzzy_line_dedup, op4_toxicity, op5_byte_level_bpe, op6_benchmark_decontamination, op7_embedding_near_dedup, op8_pii_pseudonyms, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op3_fuzzy_line_dedup, op4_toxicity, op5_byte_level_bpe, op6_benchmark_decontamination, op7_embedding_near_dedup, op8_pii_pseudonyms, op9_suffix_tree_lm, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
