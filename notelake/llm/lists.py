@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from notelake.llm.common import Scratch, connected_components
 
-PIVOTS, ROUNDS = 4, 6
+PIVOTS, ROUNDS = 12, 6
+_GRAIN = 1 << 20
 
 
 def clusters(posts: DataFrame, confirm: Callable[[DataFrame], DataFrame], scratch: Scratch, compatible: Column | bool = True) -> DataFrame | None:
@@ -18,11 +19,12 @@ def clusters(posts: DataFrame, confirm: Callable[[DataFrame], DataFrame], scratc
     ``confirm`` takes ``pairs(a, b)`` and returns the linked ones as ``(src, dst)``; ``compatible`` is
     a condition on ``n`` and ``nb`` that linked pairs meet.
 
-    In each round a list's members are compared with ``PIVOTS`` members drawn by a hash; links found
-    merge members into components, and lists whose members are one component are done. When few pairs
-    of different components are left in common lists, or after ``ROUNDS`` rounds, all of these are
-    compared. Left out are only pairs that are connected already, so the components are those of the
-    full graph, while a group of near copies costs its size and not its square.
+    In each round the members of a list are compared with about ``PIVOTS`` of them, drawn by a hash;
+    lists of up to ``PIVOTS`` members are compared whole and done. Links found merge members into
+    components, and lists whose members are one component are done too. When few pairs of different
+    components are left in common lists, or after ``ROUNDS`` rounds, all of these are compared. Left out
+    are only pairs that are connected already, so the components are those of the full graph, while a
+    group of near copies costs its size and not its square.
     """
     total = posts.count()
     edges, component = None, None
@@ -31,21 +33,18 @@ def clusters(posts: DataFrame, confirm: Callable[[DataFrame], DataFrame], scratc
         if component is not None:
             lists = posts.join(component, "key", "left").select("token", "key", "n", F.coalesce("component", "key").alias("label"))
         groups = lists.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token")
-        mixed = groups.agg(F.count("*").alias("labels"), ((F.sum("c") ** 2 - F.sum(F.col("c") ** 2)) / 2).alias("pairs")).filter("labels > 1")
-        mixed = scratch.save(mixed.select("token", "pairs"))
+        mixed = groups.agg(
+            F.count("*").alias("labels"), F.sum("c").alias("m"), ((F.sum("c") ** 2 - F.sum(F.col("c") ** 2)) / 2).alias("pairs")
+        ).filter((F.col("labels") > 1) & (F.col("m") > (PIVOTS if turn else 1)))
+        mixed = scratch.save(mixed.select("token", "m", "pairs"))
         pairs_left = mixed.agg(F.sum("pairs")).first()[0] or 0
         if not pairs_left:
             break
-        lists = scratch.save(lists.join(mixed.select("token"), "token"))
-        last = (turn > 0 and pairs_left <= 4 * total + 10_000) or turn == ROUNDS
-        if last:
-            other = lists.select("token", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("label").alias("label_b"))
-            met = lists.join(other, "token").filter(F.col("key") < F.col("b"))
-        else:
-            member = F.struct(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("label").alias("label_b"))
-            drawn = [F.min_by(member, F.xxhash64("key", F.lit(turn * PIVOTS + k))) for k in range(PIVOTS)]
-            chosen = lists.groupBy("token").agg(F.array_distinct(F.array(*drawn)).alias("drawn"))
-            met = lists.join(chosen, "token").withColumn("drawn", F.explode("drawn")).select("key", "n", "label", "drawn.*")
+        lists = scratch.save(lists.join(mixed.select("token", "m"), "token"))
+        last = (turn > 0 and pairs_left <= total // 2 + 10_000) or turn == ROUNDS
+        drawn = F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(_GRAIN)) * F.col("m") <= PIVOTS * _GRAIN
+        other = (lists if last else lists.filter(drawn)).select("token", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("label").alias("label_b"))
+        met = lists.join(other, "token").filter(F.col("key") != F.col("b") if not last else F.col("key") < F.col("b"))
         met = met.filter((F.col("label") != F.col("label_b")) & compatible)
         pairs = met.select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct()
         found = confirm(pairs)

@@ -3,7 +3,7 @@
 Every text becomes the set of its distinct word shingles and a signature of ``COORDINATES``
 coordinates, each the hash of ``MINIMA`` independent minima, so sets of similarity s agree on one with
 probability s ** MINIMA. Documents are posted under each (coordinate, value) pair. At similarity 0.8 a
-pair agrees on 16 of 32 coordinates on average, and on fewer than ``MATCHES`` in 5 cases of a million.
+pair agrees on 13 of 32 coordinates on average, and on fewer than ``MATCHES`` in one case of a million.
 A pair with that many common postings shares one among any ``COORDINATES - MATCHES + 1`` postings of
 either side: the rarest ones are kept (prefix), sizes that cannot reach the threshold are skipped,
 the collisions of each remaining pair are counted on the signatures, and pairs above the match
@@ -25,8 +25,8 @@ from notelake.llm.common import Scratch, small
 from notelake.llm.lists import clusters
 from notelake.llm.textbytes import mix, shingle_set
 
-COORDINATES, MINIMA = 32, 3
-MATCHES = 5
+COORDINATES, MINIMA = 32, 4
+MATCHES = 2
 _FACTORS = np.random.default_rng(20240607).integers(0, 1 << 63, COORDINATES * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACES = np.arange(1, COORDINATES + 1, dtype=np.uint64)
 
