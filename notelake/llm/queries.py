@@ -63,8 +63,14 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), ngram=2, percent=80)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_suffix_array_dedup, op3_fuzzy_line_dedup, op4_toxicity, op5_byte_level_bpe, op6_benchmark_decontamination, op7_embedding_near_dedup, op8_pii_pseudonyms, op9_suffix_tree_lm, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op2_suffix_array_dedup, op3_fuzzy_line_dedup, op4_toxicity, op5_byte_level_bpe, op6_benchmark_decontamination, op7_embedding_near_dedup, op8_pii_pseudonyms, op9_suffix_tree_lm, op10_minhash_near_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
