@@ -13,6 +13,7 @@ from notelake.llm.embedding_dedup import near_vectors
 from notelake.llm.line_dedup import line_digest, without_repeated_lines
 from notelake.llm.near_dedup import near_duplicates
 from notelake.llm.pseudonyms import with_pseudonyms
+from notelake.llm.substring_dedup import near_duplicate_passages
 from notelake.llm.suffix_dedup import suffix_digest, without_repeated_bytes
 from notelake.llm.suffix_tree_lm import suffix_tree_scores
 from notelake.llm.toxicity import toxicity
@@ -26,6 +27,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_passages(table(spark, sf_dir, "documents"))
+
+
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_digest(without_repeated_bytes(table(spark, sf_dir, "documents")))
 
@@ -70,7 +75,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_suffix_array_dedup, op3_fuzzy_line_dedup, op4_toxicity, op5_byte_level_bpe, op6_benchmark_decontamination, op7_embedding_near_dedup, op8_pii_pseudonyms, op9_suffix_tree_lm, op10_minhash_near_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_suffix_array_dedup, op3_fuzzy_line_dedup, op4_toxicity, op5_byte_level_bpe, op6_benchmark_decontamination, op7_embedding_near_dedup, op8_pii_pseudonyms, op9_suffix_tree_lm, op10_minhash_near_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
