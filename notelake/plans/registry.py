@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def _load() -> None:
     import importlib
 
-    for module in ("text_queries", "relation_queries"):
+    for module in ("text_queries", "relation_queries", "note_queries"):
         importlib.import_module(f"notelake.plans.{module}")
 
 
