@@ -1,0 +1 @@
+"""Readers of note trees and tracker exports."""
