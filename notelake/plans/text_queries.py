@@ -29,7 +29,11 @@ def normalize_tag(spark, sf):
     return notes(spark, sf).select("tag", T.normalize_tag(c("tag")).alias("norm")).distinct()
 
 
-@query("terms_from_task", r"SELECT item_id, list_filter(string_split_regex(text, '[^\p{L}\p{N}_]+'), lambda w: length(w) > 1) AS words FROM benchmark".replace("list_filter(", "(SELECT list(w ORDER BY i) FROM (SELECT w, min(i) AS i FROM (SELECT unnest(x) AS w, generate_subscripts(x, 1) AS i FROM (SELECT list_filter(").replace(" AS words", " AS x)) GROUP BY w)) AS words"))
+@query(
+    "terms_from_task",
+    r"""SELECT item_id, (SELECT list(w ORDER BY i) FROM (SELECT w, min(i) AS i FROM (SELECT unnest(x) AS w, generate_subscripts(x, 1) AS i
+    FROM (SELECT list_filter(string_split_regex(text, '[^\p{L}\p{N}_]+'), lambda w: length(w) > 1) AS x)) GROUP BY w)) AS words FROM benchmark""",
+)
 def terms_from_task(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", T.task_terms(c("text")).alias("words"))
 
