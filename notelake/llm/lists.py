@@ -13,7 +13,7 @@ PIVOTS, ROUNDS = 12, 6
 _GRAIN = 1 << 20
 
 
-def clusters(posts: DataFrame, confirm: Callable[[DataFrame], DataFrame], scratch: Scratch, compatible: Column | bool = True) -> DataFrame | None:
+def clusters(posts: DataFrame, confirm: Callable[[DataFrame], DataFrame], scratch: Scratch, compatible: Column | bool = True, rounds: int = ROUNDS) -> DataFrame | None:
     """``(key, component)`` of the linked keys of ``posts(token, key, n)``; None without candidates.
 
     ``confirm`` takes ``pairs(a, b)`` and returns the linked ones as ``(src, dst)``; ``compatible`` is
@@ -22,13 +22,13 @@ def clusters(posts: DataFrame, confirm: Callable[[DataFrame], DataFrame], scratc
     In each round the members of a list are compared with about ``PIVOTS`` of them, drawn by a hash;
     lists of up to ``PIVOTS`` members are compared whole and done. Links found merge members into
     components, and lists whose members are one component are done too. When few pairs of different
-    components are left in common lists, or after ``ROUNDS`` rounds, all of these are compared. Left out
+    components are left in common lists, or after ``rounds`` rounds, all of these are compared. Left out
     are only pairs that are connected already, so the components are those of the full graph, while a
     group of near copies costs its size and not its square.
     """
     total = posts.count()
     edges, component = None, None
-    for turn in range(ROUNDS + 1):
+    for turn in range(rounds + 1):
         lists = posts.withColumn("label", F.col("key"))
         if component is not None:
             lists = posts.join(component, "key", "left").select("token", "key", "n", F.coalesce("component", "key").alias("label"))
@@ -41,7 +41,7 @@ def clusters(posts: DataFrame, confirm: Callable[[DataFrame], DataFrame], scratc
         if not pairs_left:
             break
         lists = scratch.save(lists.join(mixed.select("token", "m"), "token"))
-        last = (turn > 0 and pairs_left <= total // 2 + 10_000) or turn == ROUNDS
+        last = (turn > 0 and pairs_left <= total // 2 + 10_000) or turn == rounds
         drawn = F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(_GRAIN)) * F.col("m") <= PIVOTS * _GRAIN
         other = (lists if last else lists.filter(drawn)).select("token", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("label").alias("label_b"))
         met = lists.join(other, "token").filter(F.col("key") != F.col("b") if not last else F.col("key") < F.col("b"))
