@@ -59,12 +59,16 @@ class Permutation:
                 return value
 
 
-def luhn(digits: str) -> bool:
+def _luhn_sum(digits: str) -> int:
     total = 0
     for i, c in enumerate(reversed(digits)):
         d = int(c) * (1 + i % 2)
         total += d - 9 * (d > 9)
-    return total % 10 == 0
+    return total
+
+
+def luhn(digits: str) -> bool:
+    return _luhn_sum(digits) % 10 == 0
 
 
 def _refill(form: str, digits: str) -> str:
@@ -81,9 +85,14 @@ def _card(form: str, p: Permutation, back: bool) -> str | None:
     digits = _digits(form)
     if not luhn(digits) or len(set(digits)) == 1:
         return None
-    body = digits[1:-1]
-    body = digits[0] + str(p.apply("card", int(body), 10 ** len(body), back)).zfill(len(body))
-    return _refill(form, next(body + c for c in "0123456789" if luhn(body + c)))
+    shifted = _luhn_sum(digits + "0") % 10
+    made, size = digits, len(digits) - 2
+    # The sum with places shifted stays too: a longer run of digits around a card is as valid as before.
+    while True:
+        body = digits[0] + str(p.apply("card", int(made[1:-1]), 10**size, back)).zfill(size)
+        made = next(body + c for c in "0123456789" if luhn(body + c))
+        if _luhn_sum(made + "0") % 10 == shifted:
+            return _refill(form, made)
 
 
 def _iban(form: str, p: Permutation, back: bool) -> str | None:
@@ -163,23 +172,69 @@ def _email(form: str, p: Permutation, back: bool) -> str | None:
 
 
 _KINDS = {"email": _email, "iban": _iban, "date": _date, "ip": _ip, "ssn": _ssn, "card": _card, "phone": _phone}
+#: What scanning goes on behind when no end of a card or IBAN form is valid.
+_FIRST_GROUP = re.compile("[A-Za-z0-9]+")
+#: Characters of an IBAN without spaces, by country.
+_IBAN_SIZES = {
+    country: size
+    for size, countries in {
+        15: "NO", 16: "BE", 18: "DK FK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 _MAY_HOLD = re.compile("[0-9@]")
 
 
+def _ends(kind: str, form: str) -> list[int]:
+    """Ends of the values that may start a form, in the order in which they are tried.
+
+    A card ends behind 19 to 13 digits, the longest first; an IBAN at its country's length, else with
+    the form. Shorter ones end where a space or dash follows.
+    """
+    if kind not in ("card", "iban"):
+        return [len(form)]
+    places = [i + 1 for i, c in enumerate(form) if c not in " -"]
+    sizes = range(19, 12, -1) if kind == "card" else [_IBAN_SIZES.get(form[:2], 0)]
+    shorter = [places[n - 1] for n in sizes if 0 < n < len(places) and form[places[n - 1]] in " -"]
+    return [len(form), *shorter] if kind == "card" else [*shorter, len(form)]
+
+
+def _find(text: str, at: int, permutation: Permutation, back: bool) -> tuple[str, int, int, str, bool] | None:
+    """Kind, start, end and pseudonym of the next value, and whether a form failed before it was found."""
+    failed = False
+    while match := _FORMS.search(text, at):
+        kind, start = match.lastgroup, match.start()
+        for end in _ends(kind, match[0]):
+            made = _KINDS[kind](match[0][:end], permutation, back)
+            if made is not None:
+                return kind, start, start + end, made, failed
+            failed = True
+        at = start + _FIRST_GROUP.match(match[0]).end() if kind in ("card", "iban") else match.end()
+    return None
+
+
 def pseudonymise(text: str, permutation: Permutation, back: bool = False) -> tuple[str, list[str]]:
     """The text with its values replaced (or turned back) and the kinds replaced, in order."""
     kinds: list[str] = []
     if not _MAY_HOLD.search(text):
         return text, kinds
 
-    def swap(match: re.Match) -> str:
-        made = _KINDS[match.lastgroup](match[0], permutation, back)
-        if made is None:
-            return match[0]
-        kinds.append(match.lastgroup)
-        return made
-
-    return _FORMS.sub(swap, text), kinds
+    parts, at = [], 0
+    while found := _find(text, at, permutation, back):
+        kind, start, end, made, unsure = found
+        lead = max(0, at - 1)
+        # Beside a failed form the pseudonym could be read otherwise; such values are walked over.
+        while unsure:
+            again = _find(text[lead:start] + made + text[end:], at - lead, permutation, back)
+            if again and again[:3] == (kind, start - lead, start - lead + len(made)):
+                break
+            made = _KINDS[kind](made, permutation, back)
+        kinds.append(kind)
+        parts += [text[at:start], made]
+        at = end
+    return "".join([*parts, text[at:]]), kinds
 
 
 def _run(key: bytes, back: bool):
