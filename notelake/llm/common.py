@@ -14,12 +14,14 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests on one machine) a temporary folder is made and kept for
-    the session.
+    Only where the session has none and runs in one process (tests) a temporary folder is made and
+    kept for the session; on a cluster the setting is asked for.
     """
     root = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF, None)
     if root:
         return root
+    if not spark.sparkContext.master.partition("[")[0] == "local":
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that driver and executors share")
     root = getattr(spark.sparkContext, "_notelake_scratch", None)
     if root is None:
         root = "file://" + tempfile.mkdtemp(prefix="spark-notelake-", dir="/tmp")

@@ -9,47 +9,65 @@ from pyspark.sql import functions as F
 
 from notelake.llm.common import Scratch, connected_components
 
-PIVOTS, ROUNDS = 12, 6
+#: Members drawn from a list to meet the rest of it, on average, and rounds that draw.
+PIVOTS, ROUNDS = 4, 5
+#: Lists of a key that are used in the first round.
+FIRST_LISTS = 4
+#: Pairs per posting that one round may look at without pivots.
+EASY = 8
 _GRAIN = 1 << 20
 
 
-def clusters(posts: DataFrame, confirm: Callable[[DataFrame], DataFrame], scratch: Scratch, compatible: Column | bool = True, rounds: int = ROUNDS) -> DataFrame | None:
-    """``(key, component)`` of the linked keys of ``posts(token, key, n)``; None without candidates.
+def clusters(posts: DataFrame, confirm: Callable[[DataFrame], DataFrame], scratch: Scratch, compatible: Column | bool = True, closeness: Column | None = None, rounds: int = ROUNDS) -> DataFrame | None:
+    """``(key, component)`` of the linked keys of ``posts(token, key, place, ...)``; None without candidates.
 
-    ``confirm`` takes ``pairs(a, b)`` and returns the linked ones as ``(src, dst)``; ``compatible`` is
-    a condition on ``n`` and ``nb`` that linked pairs meet.
+    ``confirm`` takes ``pairs(a, b)`` and returns the linked ones as ``(src, dst)``. ``compatible`` is a
+    condition that linked pairs meet and ``closeness`` an order of partners; both are written over the
+    further columns of ``posts`` and the partner's, named with ``_b`` behind. They are evaluated inside
+    the join, so pairs that fail are never rows. ``place`` numbers the lists of a key.
 
-    In each round the members of a list are compared with about ``PIVOTS`` of them, drawn by a hash;
-    lists of up to ``PIVOTS`` members are compared whole and done. Links found merge members into
-    components, and lists whose members are one component are done too. When few pairs of different
-    components are left in common lists, or after ``rounds`` rounds, all of these are compared. Left out
-    are only pairs that are connected already, so the components are those of the full graph, while a
-    group of near copies costs its size and not its square.
+    In each round the members of a list meet a few drawn ones of it, and each key is confirmed with at
+    most two of those it met: the closest and one that its neighbours choose too. Links merge keys into
+    components, and lists whose members are one component are done. When few pairs of different
+    components are left in common lists, or after ``rounds`` rounds, all compatible ones of these are
+    confirmed. Left out are only pairs that are connected already, so the components are those of the
+    full graph, while a group of near copies costs its size and not its square.
     """
+    further = [c for c in posts.columns if c not in ("token", "key", "place")]
     total = posts.count()
-    edges, component = None, None
+    closeness = closeness if closeness is not None else F.lit(0)
+    component = None
     for turn in range(rounds + 1):
         lists = posts.withColumn("label", F.col("key"))
         if component is not None:
-            lists = posts.join(component, "key", "left").select("token", "key", "n", F.coalesce("component", "key").alias("label"))
+            lists = posts.join(component, "key", "left").withColumn("label", F.coalesce("component", "key")).drop("component")
         groups = lists.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token")
-        mixed = groups.agg(
-            F.count("*").alias("labels"), F.sum("c").alias("m"), ((F.sum("c") ** 2 - F.sum(F.col("c") ** 2)) / 2).alias("pairs")
-        ).filter((F.col("labels") > 1) & (F.col("m") > (PIVOTS if turn else 1)))
-        mixed = scratch.save(mixed.select("token", "m", "pairs"))
+        mixed = groups.agg(F.count("*").alias("labels"), F.sum("c").alias("m"), ((F.sum("c") ** 2 - F.sum(F.col("c") ** 2)) / 2).alias("pairs"))
+        mixed = scratch.save(mixed.filter("labels > 1").select("token", "m", "pairs"))
         pairs_left = mixed.agg(F.sum("pairs")).first()[0] or 0
         if not pairs_left:
+            scratch.drop(mixed)
             break
-        lists = scratch.save(lists.join(mixed.select("token", "m"), "token"))
-        last = (turn > 0 and pairs_left <= total // 2 + 10_000) or turn == rounds
+        last = turn == rounds or (turn > 0 and pairs_left <= EASY * total + 100_000)
+        used = lists if turn else lists.filter(F.col("place") <= FIRST_LISTS)
+        used = scratch.save(used.join(mixed.select("token", "m"), "token"))
         drawn = F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(_GRAIN)) * F.col("m") <= PIVOTS * _GRAIN
-        other = (lists if last else lists.filter(drawn)).select("token", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("label").alias("label_b"))
-        met = lists.join(other, "token").filter(F.col("key") != F.col("b") if not last else F.col("key") < F.col("b"))
-        met = met.filter((F.col("label") != F.col("label_b")) & compatible)
-        pairs = met.select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct()
-        found = confirm(pairs)
-        edges = scratch.save(found if edges is None else edges.union(found))
-        component = connected_components(edges, scratch).select(F.col("node").alias("key"), "component")
+        other = used if last else used.filter(drawn)
+        other = other.select("token", *(F.col(c).alias(f"{c}_b") for c in ("key", "label", *further)))
+        order = F.col("key") < F.col("key_b") if last else F.col("key") != F.col("key_b")
+        met = used.join(other, "token").filter(order & (F.col("label") != F.col("label_b")) & compatible)
+        if last:
+            pairs = met.select(F.col("key").alias("a"), F.col("key_b").alias("b"))
+        else:
+            near = met.groupBy("key").agg(F.max_by("key_b", closeness).alias("near"), F.min_by("key_b", F.xxhash64("key_b", F.lit(turn))).alias("common"))
+            near = near.select("key", F.explode(F.array("near", "common")).alias("b"))
+            pairs = near.select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b"))
+        found = confirm(pairs.distinct())
+        edges = scratch.save(found if component is None else found.union(component.filter("key != component")))
+        following = scratch.save(connected_components(edges, scratch).select(F.col("node").alias("key"), "component"))
+        for done in (mixed, used, edges, *([component] if component is not None else [])):
+            scratch.drop(done)
+        component = following
         if last:
             break
     return component

@@ -3,11 +3,12 @@
 Every text becomes the set of its distinct word shingles and a signature of ``COORDINATES``
 coordinates, each the hash of ``MINIMA`` independent minima, so sets of similarity s agree on one with
 probability s ** MINIMA. Documents are posted under each (coordinate, value) pair. At similarity 0.8 a
-pair agrees on 13 of 32 coordinates on average, and on fewer than ``MATCHES`` in one case of a million.
+pair agrees on 13 of 32 coordinates on average, and on fewer than ``MATCHES`` in one case of 11,000.
 A pair with that many common postings shares one among any ``COORDINATES - MATCHES + 1`` postings of
-either side: the rarest ones are kept (prefix), sizes that cannot reach the threshold are skipped,
-the collisions of each remaining pair are counted on the signatures, and pairs above the match
-threshold are confirmed on the full sets.
+either side: the rarest ones are kept (prefix). Where two documents meet in a list, sizes that cannot
+reach the threshold are skipped, and the collisions of all single minima are counted on one bit of
+each: pairs that agree on fewer than ``LEAST_BITS`` of ``BITS`` are dropped inside the join. The pairs
+above that match threshold are confirmed on the full sets.
 
 Equal sets are one node from the start, and no list emits all its pairs: see ``lists.clusters``.
 """
@@ -26,20 +27,25 @@ from notelake.llm.lists import clusters
 from notelake.llm.textbytes import mix, shingle_set
 
 COORDINATES, MINIMA = 32, 4
-MATCHES = 2
-_FACTORS = np.random.default_rng(20240607).integers(0, 1 << 63, COORDINATES * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+MATCHES = 4
+BITS = COORDINATES * MINIMA
+#: At similarity 0.8 a bit agrees with probability 0.9; five standard deviations below the mean.
+LEAST_BITS = 98
+_FACTORS = np.random.default_rng(20240607).integers(0, 1 << 31, BITS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _PLACES = np.arange(1, COORDINATES + 1, dtype=np.uint64)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """The coordinates of a set as signed 64-bit values; each value tells its coordinate too."""
-    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 1024):
-        np.minimum(least, (shingles[at : at + 1024, None] * _FACTORS).min(axis=0), out=least)
+def signature(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The coordinates of a set as signed 64-bit values, each telling its coordinate too, and its bits."""
+    short = (shingles >> np.uint64(32)).astype(np.uint32)
+    least = np.full(BITS, np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(short), 1024):
+        np.minimum(least, (short[at : at + 1024, None] * _FACTORS).min(axis=0), out=least)
     made = _PLACES
-    for part in least.reshape(MINIMA, COORDINATES):
+    for part in least.reshape(MINIMA, COORDINATES).astype(np.uint64):
         made = mix(made + part)
-    return made.view(np.int64)
+    bits = np.packbits((least * np.uint32(0x9E3779B1)) >> np.uint32(31))
+    return made.view(np.int64), bits.view(np.int64)
 
 
 def set_key(shingles: np.ndarray) -> int:
@@ -50,32 +56,41 @@ def set_key(shingles: np.ndarray) -> int:
 def _features(ngram: int):
     def run(batches):
         for batch in batches:
-            counts, keys, rows = [], [], []
-            for text in batch.column(1).to_pylist():
+            counts, keys, rows, bits = [], [], [], []
+            for text in batch.column(2).to_pylist():
                 shingles = shingle_set(text or b"", ngram)
                 counts.append(len(shingles))
                 keys.append(set_key(shingles) if len(shingles) else None)
-                rows.append(signature(shingles) if len(shingles) else np.zeros(0, np.int64))
+                made, own = signature(shingles) if len(shingles) else (np.zeros(0, np.int64), np.zeros(2, np.int64))
+                rows.append(made)
+                bits.append(own)
             offsets = np.cumsum([0, *map(len, rows)]).astype(np.int32)
             values = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+            both = np.array(bits, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(values))],
-                names=["id", "n", "key", "sig"],
+                [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(keys, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(values)), pa.array(both[:, 0]), pa.array(both[:, 1])],
+                names=["id", "h", "n", "key", "sig", "s1", "s2"],
             )
 
     return run
 
 
-def _sets(ngram: int):
+def _linked(ngram: int, percent: int):
+    """The pairs whose full sets reach the threshold; rows come ordered by b."""
+
     def run(batches):
+        last, other = None, None
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                shingles = shingle_set(text or b"", ngram)
-                if len(shingles):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([set_key(shingles)], pa.int64()), pa.ListArray.from_arrays([0, len(shingles)], pa.array(shingles.view(np.int64)))],
-                        names=["key", "members"],
-                    )
+            linked = []
+            for a, b, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "ta")), batch.column("tb"), strict=True):
+                if b != last:
+                    last, other = b, shingle_set(tb.as_py(), ngram)
+                mine = shingle_set(ta, ngram)
+                common = len(np.intersect1d(mine, other, assume_unique=True))
+                if 100 * common >= percent * (len(mine) + len(other) - common):
+                    linked.append((a, b))
+            made = np.array(linked, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(made[:, 0]), pa.array(made[:, 1])], names=["src", "dst"])
 
     return run
 
@@ -93,20 +108,27 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = 80, id_col:
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dedup")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("binary").alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
-    feats = scratch.save(rows.mapInArrow(_features(ngram), f"id {id_type}, n bigint, key bigint, sig array<bigint>"))
-    nodes = scratch.save(
-        feats.filter("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    )
+    feats = scratch.save(rows.mapInArrow(_features(ngram), f"id {id_type}, h bigint, n bigint, key bigint, sig array<bigint>, s1 bigint, s2 bigint"))
+    whole = ("n", "sig", "s1", "s2")
+    nodes = scratch.save(feats.filter("n > 0 and id is not null").groupBy("key").agg(F.min(F.struct("id", "h")).alias("rep"), *(F.first(c).alias(c) for c in whole)))
     posts = scratch.save(_prefix_postings(nodes))
+    wanted = scratch.save(nodes.join(posts.select("key").distinct(), "key", "left_semi").select("key", "rep.*"))
+    texts = scratch.save(rows.join(small(wanted), ["id", "h"]).select("key", "text").dropDuplicates(["key"]))
 
-    sized = 100 * F.least("n", "nb") >= percent * F.greatest("n", "nb")
-    component = clusters(posts, lambda pairs: _confirm(pairs, nodes, rows, ngram, percent, scratch), scratch, sized)
+    def confirm(pairs: DataFrame) -> DataFrame:
+        one = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
+        both = one.join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
+        return both.mapInArrow(_linked(ngram, percent), "src bigint, dst bigint")
+
+    sized = 100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")
+    differ = F.bit_count(F.col("s1").bitwiseXOR(F.col("s1_b"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("s2_b")))
+    component = clusters(posts, confirm, scratch, sized & (differ <= BITS - LEAST_BITS), -differ)
     component = component if component is not None else nodes.select("key", F.col("key").alias("component"))
 
-    grouped = nodes.select("key", "rep").join(component, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    least = grouped.groupBy("component").agg(F.min("rep").alias("component_id"))
+    grouped = nodes.select("key", "rep.id").join(component, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    least = grouped.groupBy("component").agg(F.min("id").alias("component_id"))
     named = grouped.join(least, "component").select("key", "component_id")
     out = feats.select("id", "n", F.when(F.col("id").isNotNull(), F.col("key")).alias("key")).join(named, "key", "left")
     own = F.coalesce("component_id", "id")
@@ -119,39 +141,13 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = 80, id_col:
 
 
 def _prefix_postings(nodes: DataFrame) -> DataFrame:
-    """(token, key, n) for the rarest coordinate-value pairs of each set that another set has too."""
+    """The rarest coordinate-value pairs of each set that another set has too; ``place`` 1 is the commonest kept."""
     tokens = nodes.select("key", F.explode("sig").alias("token"))
     shared = tokens.withColumn("df", F.count("*").over(Window.partitionBy("token"))).filter("df > 1")
     own = Window.partitionBy("key")
-    alone = COORDINATES - F.count("*").over(own)
-    ranked = shared.select("token", "key", alone.alias("alone"), F.row_number().over(own.orderBy("df", "token")).alias("place"))
-    kept = ranked.filter(F.col("alone") + F.col("place") <= COORDINATES - MATCHES + 1).select("token", "key")
-    return kept.join(nodes.select("key", "n"), "key").select("token", "key", "n")
-
-
-def _confirm(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, ngram: int, percent: int, scratch: Scratch) -> DataFrame:
-    """The pairs whose signatures agree often enough and whose full sets reach the threshold."""
-    side = nodes.select("key", "n", "sig")
-    agreeing = F.expr("aggregate(zip_with(sa, sb, (x, y) -> if(x = y, 1, 0)), 0, (s, x) -> s + x)")
-    likely = (
-        pairs.join(side.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a")
-        .join(side.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
-        .filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        .filter(agreeing >= MATCHES)
-        .select("a", "b", "na", "nb")
-    )
-    likely = scratch.save(likely)
-    wanted = likely.select(F.col("a").alias("key")).union(likely.select(F.col("b").alias("key"))).distinct()
-    ids = nodes.select("key", "rep").join(wanted, "key").select(F.col("rep").alias("id")).distinct()
-    texts = rows.join(small(scratch.save(ids)), "id", "left_semi").select("text")
-    sets = texts.mapInArrow(_sets(ngram), "key bigint, members array<bigint>").join(wanted, "key", "left_semi")
-    sets = scratch.save(sets)
-    common = F.size(F.array_intersect("ma", "mb"))
-    return (
-        likely.join(sets.select(F.col("key").alias("a"), F.col("members").alias("ma")), "a")
-        .join(sets.select(F.col("key").alias("b"), F.col("members").alias("mb")), "b")
-        .withColumn("common", common)
-        .filter(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common")))
-        .select(F.col("a").alias("src"), F.col("b").alias("dst"))
-        .distinct()
-    )
+    count = F.count("*").over(own)
+    ranked = shared.select("token", "key", count.alias("count"), F.row_number().over(own.orderBy("df", "token")).alias("rank"))
+    # Coordinates that no other set has come first in the order of rarity and need no posting.
+    length = F.least("count", F.col("count") - MATCHES + 1)
+    kept = ranked.withColumn("length", length).filter(F.col("rank") <= F.col("length"))
+    return kept.select("token", "key", (F.col("length") - F.col("rank") + 1).alias("place")).join(nodes.select("key", "n", "s1", "s2"), "key")
