@@ -1,10 +1,11 @@
-"""Byte-level BPE encoding and decoding with Spark's higher-order functions.
+"""Byte-level BPE encoding and decoding.
 
-Texts are split by the tokenizer's pattern into words. A word's bytes become an array, and a fold
-merges the adjacent pair of lowest rank until none is left; ranks are looked up in a literal map that
-is cut into buckets, so a lookup reads a few entries. The ``FREQUENT`` most frequent distinct words of
-the table are folded once and their ids kept in a second literal of bounded size; every other word is
-folded where it stands. Decoding looks up each id's bytes and concatenates them.
+Texts are dealt into blocks of bounded size and split by the tokenizer's pattern into words. Each
+block tells its distinct words once; the distinct words of all blocks become arrays of bytes, and a
+higher-order fold merges the adjacent pair of lowest rank until none is left, with the ranks of all
+pairs at hand in a literal map cut into buckets. The words' ids are joined back to the blocks that
+asked, and each text's ids are those of its words in order. Decoding looks up each id's bytes in a
+literal array and concatenates the binary pieces.
 """
 
 from __future__ import annotations
@@ -13,14 +14,19 @@ import base64
 import json
 import zlib
 
+import numpy as np
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelake.llm.common import Scratch
-
-#: Distinct words whose ids are kept in the plan, at most.
-FREQUENT = 100_000
+#: Bytes of text in a block, on average.
+BLOCK_BYTES = 48 << 20
+#: Letters of a word that are folded as one array; longer words are folded by their own loop over the same ranks.
+LONGEST = 2000
 _BUCKETS = 1 << 16
+#: Pieces concatenated in one fold, and levels of folds: 64 ** 4 tokens a text.
+_FAN, _LEVELS = 64, 4
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -30,99 +36,222 @@ def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (r["value"].split(" ") for r in rows)}
 
 
-def _literal(entries: dict[str, object], kind: str) -> Column:
-    """The entries as one literal: buckets of maps by the CRC of the key."""
-    buckets: list[dict[str, object]] = [{} for _ in range(_BUCKETS)]
-    for key, value in entries.items():
-        buckets[zlib.crc32(key.encode()) % _BUCKETS][key] = value
-    return F.from_json(F.lit(json.dumps(buckets, ensure_ascii=False)), f"array<map<string,{kind}>>")
+def _literal(ranks: dict[bytes, int]) -> Column:
+    """The ranks as one literal: buckets of maps by the CRC of the piece, whose bytes are characters."""
+    buckets: list[dict[str, int]] = [{} for _ in range(_BUCKETS)]
+    for piece, rank in ranks.items():
+        key = piece.decode("latin-1")
+        buckets[zlib.crc32(key.encode()) % _BUCKETS][key] = rank
+    return F.from_json(F.lit(json.dumps(buckets, ensure_ascii=False)), "array<map<string,int>>")
+
+
+def _rank(ranks: Column, piece: Column) -> Column:
+    return F.element_at(F.element_at(ranks, (F.crc32(piece.cast("binary")) % _BUCKETS).cast("int") + 1), piece)
+
+
+_NONE = 1 << 30
+
+
+def _fold(ranks: Column, b: Column) -> Column:
+    """The pieces of a word, given as a string of one character for each byte.
 
+    The state holds the pieces and the rank of each piece with its successor; a step merges the pair
+    of lowest rank, the leftmost of equals, and ranks the two pairs that the merged piece is part of.
+    """
+    pair = lambda x, y: F.coalesce(_rank(ranks, F.concat(x, y)), F.lit(_NONE))
+    length = F.length(b)
+    one = lambda i: F.substring(b, i, F.lit(1))
+    start = F.struct(
+        F.transform(F.sequence(F.lit(1), length), one).alias("t"),
+        F.when(length > 1, F.transform(F.sequence(F.lit(1), F.greatest(length - 1, F.lit(1))), lambda i: pair(one(i), one(i + 1)))).otherwise(F.array().cast("array<int>")).alias("r"),
+    )
+
+    def merged(s: Column, m: Column) -> Column:
+        t, r, n = s["t"], s["r"], F.size(s["t"])
+        piece = F.concat(F.element_at(t, m), F.element_at(t, m + 1))
+        before = F.when(m > 1, F.array(pair(F.element_at(t, F.greatest(m - 1, F.lit(1))), piece))).otherwise(F.array().cast("array<int>"))
+        behind = F.when(m + 1 < n, F.array(pair(piece, F.element_at(t, F.least(m + 2, n))))).otherwise(F.array().cast("array<int>"))
+        return F.struct(
+            F.concat(F.slice(t, F.lit(1), m - 1), F.array(piece), F.slice(t, m + 2, n)).alias("t"),
+            F.concat(F.slice(r, F.lit(1), F.greatest(m - 2, F.lit(0))), before, behind, F.slice(r, m + 2, n)).alias("r"),
+        )
+
+    def step(s: Column, _: Column) -> Column:
+        least = F.coalesce(F.array_min(s["r"]), F.lit(_NONE))
+        at = lambda m: merged(s, m)
+        return F.when(least == _NONE, s).otherwise(F.element_at(F.transform(F.array(F.array_position(s["r"], least).cast("int")), at), 1))
 
-def _look_up(table: str, key: str) -> str:
-    return f"element_at(element_at({table}, cast(crc32({key}) % {_BUCKETS} as int) + 1), {key})"
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(length - 1, F.lit(1))), start, step)["t"]
+
+
+def word_ids(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """``(word, ids)`` of the rows of ``words(word)``: ids as little-endian unsigned 32-bit integers.
+
+    A word that is a piece of its own is that piece. Words of more than ``LONGEST`` bytes, whose fold
+    would copy long arrays at each merge, take the same merges from a heap.
+    """
+    text = F.decode(F.encode("word", "UTF-8"), "ISO-8859-1")
+    known = lambda table, b: F.element_at(F.transform(F.array(_rank(table, b)), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(F.transform(_fold(table, b), lambda p: _rank(table, p)))), 1)
+    # One lambda binds the map, so that the plan holds the literal once.
+    folded = F.element_at(F.transform(F.array(_literal(ranks)), lambda table: F.element_at(F.transform(F.array(text), lambda b: known(table, b)), 1)), 1)
+    short = words.filter(F.octet_length("word") <= LONGEST).select("word", folded.alias("ids"))
+    packed = short.mapInArrow(_packed, "word string, ids binary")
+    return packed.union(words.filter(F.octet_length("word") > LONGEST).mapInArrow(_long_words(ranks), "word string, ids binary"))
 
 
-#: Rank of the pair that starts at position j of the pieces, and the fold over a word of bytes (one character each).
-_PAIR = _look_up("ranks", "concat(element_at(s.t, j), element_at(s.t, j + 1))")
-_RANKED = f"transform(sequence(1, size(s.t) - 1), j -> {_PAIR})"
-_MERGED = (
-    "named_struct('t', concat(slice(s.t, 1, m - 1), array(concat(element_at(s.t, m), element_at(s.t, m + 1))), slice(s.t, m + 2, size(s.t))), 'open', size(s.t) > 2)"
-)
-_STEP = (
-    "if(not s.open, s, element_at(transform(array({ranked}), r -> "
-    "if(array_min(r) is null, named_struct('t', s.t, 'open', false), "
-    "element_at(transform(array(cast(array_position(r, array_min(r)) as int)), m -> {merged}), 1))), 1))"
-)
-_FOLD = (
-    "aggregate(sequence(1, greatest(length(b) - 1, 1)), "
-    "named_struct('t', transform(sequence(1, length(b)), i -> substring(b, i, 1)), 'open', length(b) > 1), "
-    "(s, i) -> " + _STEP.format(ranked=_RANKED, merged=_MERGED) + ").t"
-)
-_HEX_ID = "hex(reverse(unhex(lpad(hex({}), 8, '0'))))"
+def _packed(batches):
+    for batch in batches:
+        lists = batch.column("ids")
+        values = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+        cuts = (lists.offsets.to_numpy() - lists.offsets[0].as_py()) * 4
+        yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array([values[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], names=["word", "ids"])
 
 
-def _byte_text(column: str) -> str:
-    """A text whose characters are the bytes of the column's text."""
-    return f"decode(encode({column}, 'UTF-8'), 'ISO-8859-1')"
+def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of a long word: merges in order of rank and place from a heap over linked pieces."""
+    import heapq
 
+    if word in ranks:
+        return [ranks[word]]
+    end = list(range(1, len(word) + 1))
+    before = list(range(-1, len(word) - 1))
+    alive = bytearray(b"\1" * len(word))
+    heap = [(ranks[word[i : i + 2]], i, i + 2) for i in range(len(word) - 1) if word[i : i + 2] in ranks]
+    heapq.heapify(heap)
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        j = end[i]
+        if not alive[i] or j >= len(word) or end[j] != stop:
+            continue
+        alive[j], end[i] = 0, stop
+        if stop < len(word):
+            before[stop] = i
+            if (rank := ranks.get(word[i : end[stop]])) is not None:
+                heapq.heappush(heap, (rank, i, end[stop]))
+        h = before[i]
+        if h >= 0 and (rank := ranks.get(word[h:stop])) is not None:
+            heapq.heappush(heap, (rank, h, stop))
+    return [ranks[word[i : end[i]]] for i in range(len(word)) if alive[i]]
 
-def _ids(word: str) -> str:
-    """Ids of a byte text: its own rank, else those of its folded pieces."""
-    whole = _look_up("ranks", "b")
-    folded = "transform({}, p -> {})".format(_FOLD, _look_up("ranks", "p"))
-    return f"element_at(transform(array({_byte_text(word)}), b -> if({whole} is not null, array({whole}), {folded})), 1)"
 
+def _long_words(ranks: dict[bytes, int]):
+    def run(batches):
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            ids = [np.array(merge_long(w.encode(), ranks), "<u4").tobytes() for w in words]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(ids, pa.binary())], names=["word", "ids"])
 
-def words(text: Column, pattern: str) -> Column:
-    """All matches of the pattern, in order; null and empty texts have none."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?U)" + pattern), F.lit(0))
+    return run
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
-    """The rows of ``docs`` with a column ``bpe_ids``: token ids of the whole text, in order.
+def _asked(pattern: str):
+    """The distinct words of each block; a block comes in one task and may be told in parts."""
+
+    def run(batches):
+        found = regex.compile(pattern).findall
+        seen: dict[int, set[str]] = {}
+        for batch in batches:
+            fresh: dict[int, set[str]] = {}
+            for block, text in zip(*(batch.column(c).to_pylist() for c in ("__block", "__text")), strict=True):
+                if text:
+                    fresh.setdefault(block, set()).update(found(text))
+            blocks, words = [], []
+            for block, some in fresh.items():
+                new = some - seen.setdefault(block, set())
+                seen[block] |= new
+                blocks += [block] * len(new)
+                words += new
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(words, pa.string())], names=["block", "word"])
+
+    return run
+
+
+def _joined(pattern: str, spare: list[str]):
+    """The texts of a block with the ids of their words in order."""
+
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        found = regex.compile(pattern).findall
+        ids = dict(zip(answers["word"].to_pylist(), answers["ids"].to_pylist(), strict=True))
+        made = [b"".join(map(ids.__getitem__, found(t))) if t else b"" for t in texts["__text"].to_pylist()]
+        return texts.select(spare).append_column("bpe_packed", pa.array(made, pa.large_binary()).cast(pa.binary()))
+
+    return run
+
+
+def encode_packed(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with a column ``bpe_packed``: ids as little-endian unsigned 32-bit integers.
 
     Each match of ``pattern`` is encoded separately and without special tokens, by the lowest-ranked
     pair of neighbours first, the leftmost of equals. Null and empty texts have no ids. Every row and
-    column is kept; a column named ``bpe_ids`` is replaced.
+    column is kept; only a column named ``bpe_packed`` is replaced.
     """
-    scratch = Scratch(docs.sparkSession, "bpe")
-    latin = {k.decode("latin-1"): v for k, v in ranks.items()}
-    table = _literal(latin, "int")
-    counted = docs.select(F.explode(words(F.col(text_col), pattern)).alias("word")).groupBy("word").count()
-    top = counted.orderBy(F.desc("count"), "word").limit(frequent).select("word")
-    top = scratch.save(top).repartition(max(1, docs.sparkSession.sparkContext.defaultParallelism))
-    known = scratch.save(top.withColumn("ranks", table).select("word", F.expr(_ids("word")).alias("ids")))
-    found = {r["word"]: r["ids"] for r in known.collect()}
-    kept = _literal(found, "array<int>")
-    spare = [c for c in docs.columns if c != "bpe_ids"]
-    made = docs.withColumns({"__words": words(F.col(text_col), pattern)}).withColumns({"ranks": table, "frequent": kept})
-    each = f"transform(__words, w -> coalesce({_look_up('frequent', 'w')}, {_ids('w')}))"
-    return made.withColumn("bpe_ids", F.flatten(F.expr(each))).select(*spare, "bpe_ids")
+    text = F.col(text_col).cast("string")
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    blocks = max(1, size // BLOCK_BYTES)
+    spare = [c for c in docs.columns if c != "bpe_packed"]
+    inner = [f"c{i}" for i in range(len(spare))]
+    plain = docs.select(*(F.col(f"`{c}`").alias(i) for c, i in zip(spare, inner, strict=True)), text.alias("__text"))
+    dealt = F.pmod(F.xxhash64(*(c for c, kind in plain.dtypes if "map" not in kind)), F.lit(blocks)).cast("int")
+    # The same exchange feeds both uses of the texts.
+    texts = plain.withColumn("__block", dealt).repartition(blocks, "__block")
+    asked = texts.mapInArrow(_asked(pattern), "block int, word string").repartition("word")
+    words = word_ids(asked.select("word").distinct(), ranks)
+    answers = asked.join(words, "word").select(F.col("block").alias("__block"), "word", "ids")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields if f.name in inner)
+    made = texts.groupBy("__block").cogroup(answers.groupBy("__block")).applyInArrow(_joined(pattern, inner), f"{fields}, bpe_packed binary")
+    return made.select(*(F.col(i).alias(c) for i, c in zip(inner, spare, strict=True)), "bpe_packed")
+
+
+def _unpacked(spare: int):
+    def run(batches):
+        for batch in batches:
+            packed = [np.frombuffer(x or b"", "<u4") for x in batch.column(spare).to_pylist()]
+            offsets = np.cumsum([0, *map(len, packed)]).astype(np.int32)
+            values = np.concatenate(packed).astype(np.int32) if packed else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(values))], names=[*batch.schema.names, "bpe_ids"])
+
+    return run
+
+
+def with_ids(rows: DataFrame) -> DataFrame:
+    """The rows with ``bpe_packed`` as an array of integers too, ``bpe_ids``; a column of that name is replaced."""
+    spare = [c for c in rows.columns if c not in ("bpe_packed", "bpe_ids")]
+    inner = rows.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(spare)), "bpe_packed")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields)
+    made = inner.mapInArrow(_unpacked(len(spare)), f"{fields}, bpe_ids array<int>")
+    return made.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(spare)), "bpe_packed", "bpe_ids")
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with ``bpe_packed`` and ``bpe_ids``, the token ids of the whole text in order."""
+    return with_ids(encode_packed(docs, ranks, pattern, text_col))
 
 
 def decode(rows: DataFrame, ranks: dict[bytes, int], ids_col: str = "bpe_ids") -> DataFrame:
     """The rows with a column ``bpe_bytes``: the tokens' bytes concatenated; no ids give no bytes."""
     pieces = [""] * (max(ranks.values(), default=-1) + 1)
     for piece, rank in ranks.items():
-        pieces[rank] = piece.hex()
-    table = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
-    hexes = F.transform(ids_col, lambda i: F.element_at(table, i + 1))
-    return rows.withColumn("bpe_bytes", F.unhex(F.array_join(hexes, "")))
+        pieces[rank] = base64.b64encode(piece).decode()
+    table = F.from_json(F.lit(json.dumps(pieces)), "array<binary>")
+    nothing = F.lit(b"")
 
+    def joined(parts: Column) -> Column:
+        runs = F.sequence(F.lit(0), F.greatest(F.floor((F.size(parts) - 1) / _FAN).cast("int"), F.lit(0)))
+        return F.transform(runs, lambda k: F.aggregate(F.slice(parts, k * _FAN + 1, F.lit(_FAN)), nothing, lambda all_, x: F.concat(all_, x)))
 
-def little_endian(ids: Column) -> Column:
-    """Ids as unsigned 32-bit little-endian integers."""
-    swapped = lambda i: F.concat(*[F.lpad(F.hex(F.shiftright(i, s).bitwiseAND(F.lit(255))), 2, "0") for s in (0, 8, 16, 24)])
-    return F.unhex(F.array_join(F.transform(ids, swapped), ""))
+    made = F.transform(F.array(table), lambda t: F.transform(F.coalesce(F.col(ids_col), F.array().cast("array<int>")), lambda i: F.element_at(t, i + 1)))
+    whole = F.element_at(made, 1)
+    for _ in range(_LEVELS):
+        whole = F.element_at(F.transform(F.array(whole), joined), 1)
+    return rows.withColumn("bpe_bytes", F.coalesce(F.element_at(whole, 1), nothing))
 
 
 def bpe_digest(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, ``n_tokens``, SHA-256 of the ids and SHA-256 of the bytes decoded from them."""
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("text"))
-    coded = decode(encode(rows, ranks, pattern), ranks)
+    coded = decode(encode(docs.select(F.col(id_col), F.col(text_col).alias("text")), ranks, pattern), ranks)
     return coded.select(
         id_col,
         F.size("bpe_ids").cast("long").alias("n_tokens"),
-        F.sha2(little_endian(F.col("bpe_ids")), 256).alias("ids_sha256"),
+        F.sha2("bpe_packed", 256).alias("ids_sha256"),
         F.sha2("bpe_bytes", 256).alias("decoded_sha256"),
     )

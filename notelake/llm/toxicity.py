@@ -1,8 +1,9 @@
 """Toxicity by a weighted lexicon matched with Aho-Corasick.
 
-Texts are folded first: accents, homoglyphs and digit substitutions become plain letters, everything
-else becomes a space. Lexicon entries are whole words and word beginnings; their weights are the
-log odds of toxic against clean documents over all labelled training rows. Phrases in which an entry
+Texts are folded first: accents, homoglyphs and digit substitutions become plain letters, letters of
+other scripts stay and everything else becomes a space. Lexicon entries are whole words and word
+beginnings; their weights are the log odds of toxic against clean documents over the labelled training
+rows, of which ``FIT_ROWS`` at most are taken, the first by a hash of their id. Phrases in which an entry
 occurs in clean documents only are exceptions: a match inside one does not count. The score is a
 logistic function of the matched weights normalised by length.
 """
@@ -21,10 +22,8 @@ from pyspark.sql import functions as F
 
 from notelake.llm.common import Scratch, small
 
-#: Entries and exceptions of a lexicon, at most: the model's size, not a limit on what is counted.
-ENTRIES = 5_000
-#: Labelled documents that the logistic function is fitted on, at most.
-FIT_ROWS = 20_000
+#: Labelled documents that lexicon and logistic function are fitted on, at most.
+FIT_ROWS = 200_000
 #: Fewest toxic training documents that hold an entry, and its lowest weight.
 SUPPORT, WEIGHT = 5, 2.0
 BEGINNINGS = (4, 5, 6)
@@ -35,7 +34,7 @@ _LOOKALIKES = {
     "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "l": "i", "|": "i",
 }
 _TABLE = str.maketrans(_LOOKALIKES)
-_OTHER = re.compile(r"[^a-zа-яα-ω]+")
+_OTHER = re.compile(r"[\W\d_]+")
 
 
 def fold(text: str) -> str:
@@ -117,10 +116,11 @@ def _counted(make):
     return run
 
 
-def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str, text_col: str, exceptions: tuple[str, ...] = ()) -> tuple[Lexicon, np.ndarray]:
+def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str, text_col: str, exceptions: tuple[str, ...] = (), fit_rows: int = FIT_ROWS) -> tuple[Lexicon, np.ndarray]:
     """Lexicon and logistic weights from labelled rows: ``labels(id, toxic)``, toxic 0 or 1."""
     known = labels.filter("id is not null and toxic in (0, 1)").groupBy("id").agg(F.max("toxic").cast("int").alias("toxic"))
-    train = scratch.save(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(small(scratch.save(known)), "id"))
+    known = known.orderBy(F.xxhash64("id"), "id").limit(fit_rows)
+    train = scratch.save(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(small(scratch.save(known)), "id"))
     sizes = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
     if not clean or not toxic:
@@ -130,17 +130,14 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str, tex
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
     totals = counted.groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     chosen = totals.filter(F.col("toxic") >= SUPPORT).withColumn("weight", odds).filter(F.col("weight") >= WEIGHT)
-    kept = chosen.orderBy(F.desc(F.col("weight") * F.sqrt("toxic")), "entry").limit(ENTRIES).collect()
-    lexicon = Lexicon({r["entry"]: r["weight"] for r in kept}, {fold(x).strip() for x in exceptions})
+    lexicon = Lexicon({r["entry"]: r["weight"] for r in chosen.select("entry", "weight").collect()}, {fold(x).strip() for x in exceptions})
 
     weights = lexicon.weights
     around = train.select("text", "toxic").mapInArrow(_counted(lambda text: Contexts.of(weights)(text)), schema)
     excused = around.groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter((F.col("clean") >= SUPPORT) & (F.col("toxic") == 0))
-    found = excused.orderBy(F.desc("clean"), "entry").limit(ENTRIES).select("entry").collect()
-    exceptions_all = lexicon.exceptions | {r["entry"] for r in found}
+    exceptions_all = lexicon.exceptions | {r["entry"] for r in excused.select("entry").collect()}
 
-    sample = train.orderBy(F.xxhash64("id")).limit(FIT_ROWS).select("text", "toxic")
-    made = sample.repartition(8).mapInArrow(_features(weights, exceptions_all, "toxic"), "a double, b double, c double, toxic int").toArrow()
+    made = train.select("text", "toxic").mapInArrow(_features(weights, exceptions_all, ["toxic"]), "a double, b double, c double, toxic int").toArrow()
     x = np.column_stack([np.ones(made.num_rows), *[made[c].to_numpy() for c in "abc"]])
     return Lexicon(weights, exceptions_all), _logistic(x, made["toxic"].to_numpy().astype(float))
 
@@ -168,7 +165,7 @@ def _features(weights, exceptions, carry):
         lexicon = Lexicon(weights, exceptions)
         for batch in batches:
             made = np.array([lexicon.features(t or "") for t in batch.column("text").to_pylist()], float).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([*[pa.array(made[:, i]) for i in range(3)], batch.column(carry)], names=["a", "b", "c", carry])
+            yield pa.RecordBatch.from_arrays([*[pa.array(made[:, i]) for i in range(3)], *map(batch.column, carry)], names=["a", "b", "c", *carry])
 
     return run
 
@@ -185,26 +182,42 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
+def scored(docs: DataFrame, lexicon: Lexicon, logit: np.ndarray, cut: float = 0.7, text_col: str = "text", dropped: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of ``docs``, all columns but ``dropped`` kept, with ``score`` and ``predicted``, which replace columns of these names."""
+    spare = [c for c in docs.columns if c not in ("score", "predicted", *dropped)]
+    inner = [f"c{i}" for i in range(len(spare))]
+    plain = docs.select(*(F.col(f"`{c}`").alias(i) for c, i in zip(spare, inner, strict=True)), F.col(text_col).cast("string").alias("text"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields if f.name != "text")
+    made = plain.mapInArrow(_features(lexicon.weights, lexicon.exceptions, inner), f"a double, b double, c double, {fields}")
+    line = F.lit(float(logit[0])) + sum(F.lit(float(w)) * F.col(c) for w, c in zip(logit[1:], "abc", strict=True))
+    score = 1 / (1 + F.exp(-line))
+    return made.select(*(F.col(i).alias(c) for i, c in zip(inner, spare, strict=True)), score.alias("score"), (score >= cut).cast("int").alias("predicted"))
+
+
+def learned(docs: DataFrame, labels: DataFrame, folds: int = 3, held_fold: int = 1, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", exceptions: tuple[str, ...] = (), fit_rows: int = FIT_ROWS) -> tuple[Lexicon, np.ndarray]:
+    """Lexicon and weights from the labels whose crc32(id as text) mod ``folds`` is not ``held_fold``."""
+    taught = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("toxic")).filter(_remainder(F.col("id"), folds) != held_fold)
+    return learn(docs, taught, Scratch(docs.sparkSession, "toxicity"), id_col, text_col, exceptions, fit_rows)
+
+
+def _remainder(ids, folds: int):
+    return F.pmod(F.crc32(ids.cast("string").cast("binary")), F.lit(folds))
+
+
 def toxicity(
-    docs: DataFrame, labels: DataFrame, folds: int = 3, held_fold: int = 1, cut: float = 0.7, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", exceptions: tuple[str, ...] = ()
+    docs: DataFrame, labels: DataFrame, folds: int = 3, held_fold: int = 1, cut: float = 0.7, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", exceptions: tuple[str, ...] = (), fit_rows: int = FIT_ROWS
 ) -> DataFrame:
     """One row per document: id, ``held_out``, ``score`` in 0 to 1 and ``predicted``.
 
-    Labels teach the lexicon only where crc32(id as text) mod ``folds`` is not ``held_fold``. A
-    document labelled more than once is toxic if any row says so; null labels and ids teach nothing.
-    The score depends on the text alone; a null text scores as an empty one, which has no matches.
-    A null id is not held out. Rows that repeat are rows of their own; other columns are ignored.
+    Labels teach only where crc32(id as text) mod ``folds`` is not ``held_fold``. A document labelled
+    more than once is toxic if any row says so; null labels and ids teach nothing, and a label of an
+    id that several rows have teaches each of them. Beyond ``fit_rows`` labelled ids, those first by a
+    hash teach. The score depends on the text alone; a null text scores as an empty one, which has no
+    matches. A null id is not held out. Rows that repeat are rows of their own; other columns are
+    ignored; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "toxicity")
-    remainder = lambda c: F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(folds))
-    taught = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("toxic")).filter(remainder(F.col("id")) != held_fold)
-    lexicon, logit = learn(docs, taught, scratch, id_col, text_col, exceptions)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    made = rows.mapInArrow(_features(lexicon.weights, lexicon.exceptions, "id"), f"a double, b double, c double, id {kind}")
-    line = F.lit(float(logit[0])) + sum(F.lit(float(w)) * F.col(c) for w, c in zip(logit[1:], "abc", strict=True))
-    score = 1 / (1 + F.exp(-line))
-    return made.select(
-        F.col("id").alias(id_col), F.coalesce(remainder(F.col("id")) == held_fold, F.lit(False)).alias("held_out"), score.alias("score")
-    ).withColumn("predicted", (F.col("score") >= cut).cast("int"))
+    lexicon, logit = learned(docs, labels, folds, held_fold, id_col, text_col, label_col, exceptions, fit_rows)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    made = scored(rows, lexicon, logit, cut, dropped=("text",))
+    held = F.coalesce(_remainder(F.col("id"), folds) == held_fold, F.lit(False))
+    return made.select(F.col("id").alias(id_col), held.alias("held_out"), "score", "predicted")

@@ -174,6 +174,19 @@ def test_bpe_equals_the_library_and_round_trips(spark, empty):
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()), texts[r.doc_id]
         assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest()
     assert bpe.bpe_digest(empty, ranks, public_tokenizers.PATTERN).count() == 0
+    clash = spark.createDataFrame([(1, "some text", 7, {"a": 1}), (1, "some text", 7, {"a": 1}), (None, None, None, None)], "ranks int, text string, word int, bpe_ids map<string,int>")
+    coded = bpe.encode(clash, ranks, public_tokenizers.PATTERN).collect()
+    assert [(r.ranks, r.word) for r in coded if r.ranks] == [(1, 7)] * 2 and all(r.bpe_ids == library.encode_ordinary(r.text or "") for r in coded)
+
+
+def test_bpe_of_long_words_equals_the_library(spark):
+    ranks = bpe.read_ranks(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    words = ["".join(RNG.choice("abcdeéñ") for _ in range(n)) for n in (1, 2, 3, 50, 700, 1500, 3000, 100_000)] + ["ab" * 900, "a" * 1999, "the" * 5000]
+    made = bpe.word_ids(spark.createDataFrame([(w,) for w in words], "word string"), ranks).collect()
+    assert len(made) == len(words)
+    for r in made:
+        assert list(struct.unpack(f"<{len(r.ids) // 4}I", r.ids)) == library.encode_ordinary(r.word), len(r.word)
 
 
 def test_contained_items_equal_brute_force(spark, docs, empty):
