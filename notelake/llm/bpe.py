@@ -1,11 +1,13 @@
 """Byte-level BPE encoding and decoding.
 
-Texts are dealt into blocks of bounded size and split by the tokenizer's pattern into words. Each
-block tells its distinct words once; the distinct words of all blocks become arrays of bytes, and a
+Texts are split by the tokenizer's pattern into words, and each distinct word of a partition is told
+once, ahead of the first text that holds it. Spark turns these words into arrays of bytes, and a
 higher-order fold merges the adjacent pair of lowest rank until none is left, with the ranks of all
-pairs at hand in a literal map cut into buckets. The words' ids are joined back to the blocks that
-asked, and each text's ids are those of its words in order. Decoding looks up each id's bytes in a
-literal array and concatenates the binary pieces.
+pairs at hand in a literal map cut into buckets. The texts follow as numbers of words and take their
+words' ids in order. All of this is narrow: nothing is shuffled, and a partition folds each word once.
+Words that are frequent in a bounded sample of texts are folded ahead of all and broadcast, ``COMMON``
+at most, so that partitions need not fold them again; this saves time and changes no result.
+Decoding looks up each id's bytes in a literal array and concatenates the binary pieces.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from __future__ import annotations
 import base64
 import json
 import zlib
+from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +24,13 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text in a block, on average.
-BLOCK_BYTES = 48 << 20
-#: Letters of a word that are folded as one array; longer words are folded by their own loop over the same ranks.
+from notelake.llm.common import width
+
+#: Words folded ahead, at most, and texts that they are looked for in, about.
+COMMON, SAMPLE = 300_000, 40_000
+#: Distinct words that a task remembers; beyond them it starts anew and words may be folded again.
+REMEMBERED = 2_000_000
+#: Bytes of a word that is folded as an array; longer ones take the same merges from a heap.
 LONGEST = 2000
 _BUCKETS = 1 << 16
 #: Pieces concatenated in one fold, and levels of folds: 64 ** 4 tokens a text.
@@ -46,65 +54,55 @@ def _literal(ranks: dict[bytes, int]) -> Column:
 
 
 def _rank(ranks: Column, piece: Column) -> Column:
-    return F.element_at(F.element_at(ranks, (F.crc32(piece.cast("binary")) % _BUCKETS).cast("int") + 1), piece)
+    return F.element_at(F.get(ranks, (F.crc32(piece.cast("binary")) % _BUCKETS).cast("int")), piece)
 
 
 _NONE = 1 << 30
+#: Characters that are no bytes: the word's ends, whose pairs have no rank, and what stands between pieces.
+_END, _CUT = "\u0100", "\u0101"
 
 
 def _fold(ranks: Column, b: Column) -> Column:
-    """The pieces of a word, given as a string of one character for each byte.
+    """The pieces of a word, given as a string of one character for each byte, between two ends.
 
-    The state holds the pieces and the rank of each piece with its successor; a step merges the pair
-    of lowest rank, the leftmost of equals, and ranks the two pairs that the merged piece is part of.
+    The state holds the pieces, as a string with a cut between two, and the rank of each piece with its
+    successor. A step takes out the cut of the pair of lowest rank, the leftmost of equals, and ranks
+    the two pairs that the merged piece is part of.
     """
-    pair = lambda x, y: F.coalesce(_rank(ranks, F.concat(x, y)), F.lit(_NONE))
-    length = F.length(b)
-    one = lambda i: F.substring(b, i, F.lit(1))
-    start = F.struct(
-        F.transform(F.sequence(F.lit(1), length), one).alias("t"),
-        F.when(length > 1, F.transform(F.sequence(F.lit(1), F.greatest(length - 1, F.lit(1))), lambda i: pair(one(i), one(i + 1)))).otherwise(F.array().cast("array<int>")).alias("r"),
-    )
+    ranked = lambda x: F.coalesce(_rank(ranks, x), F.lit(_NONE))
+    rest = F.lit(1 << 30)
+    cut, nothing = F.lit(_CUT), F.lit("")
+    places = F.sequence(F.lit(1), F.length(b) - 1)
+    start = F.struct(F.array_join(F.split(b, ""), _CUT).alias("t"), F.transform(places, lambda i: ranked(F.substring(b, i, F.lit(2)))).alias("r"))
 
-    def merged(s: Column, m: Column) -> Column:
-        t, r, n = s["t"], s["r"], F.size(s["t"])
-        piece = F.concat(F.element_at(t, m), F.element_at(t, m + 1))
-        before = F.when(m > 1, F.array(pair(F.element_at(t, F.greatest(m - 1, F.lit(1))), piece))).otherwise(F.array().cast("array<int>"))
-        behind = F.when(m + 1 < n, F.array(pair(piece, F.element_at(t, F.least(m + 2, n))))).otherwise(F.array().cast("array<int>"))
-        return F.struct(
-            F.concat(F.slice(t, F.lit(1), m - 1), F.array(piece), F.slice(t, m + 2, n)).alias("t"),
-            F.concat(F.slice(r, F.lit(1), F.greatest(m - 2, F.lit(0))), before, behind, F.slice(r, m + 2, n)).alias("r"),
-        )
+    def merged(r: Column, m: Column, left: Column, right: Column) -> Column:
+        before = F.concat(F.replace(F.substring_index(left, _CUT, -2), cut, nothing), F.substring_index(right, _CUT, 1))
+        behind = F.concat(F.substring_index(left, _CUT, -1), F.replace(F.substring_index(right, _CUT, 2), cut, nothing))
+        return F.struct(F.concat(left, right).alias("t"), F.concat(F.slice(r, F.lit(1), m - 2), F.array(ranked(before), ranked(behind)), F.slice(r, m + 2, rest)).alias("r"))
 
     def step(s: Column, _: Column) -> Column:
-        least = F.coalesce(F.array_min(s["r"]), F.lit(_NONE))
-        at = lambda m: merged(s, m)
-        return F.when(least == _NONE, s).otherwise(F.element_at(F.transform(F.array(F.array_position(s["r"], least).cast("int")), at), 1))
+        t, r = s["t"], s["r"]
+        least = F.array_min(r)
+        at = F.array(F.array_position(r, least).cast("int"))
+        parted = lambda m: F.get(F.transform(F.array(F.call_function("substring_index", t, cut, m)), lambda left: merged(r, m, left, F.substring(t, F.length(left) + 2, rest))), F.lit(0))
+        return F.when(least == _NONE, s).otherwise(F.get(F.transform(at, parted), F.lit(0)))
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(length - 1, F.lit(1))), start, step)["t"]
+    pieces = lambda s: F.filter(F.split(s["t"], _CUT), lambda p: p != _END)
+    return F.aggregate(F.sequence(F.lit(1), F.length(b) - 2), start, step, pieces)
 
 
 def word_ids(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """``(word, ids)`` of the rows of ``words(word)``: ids as little-endian unsigned 32-bit integers.
+    """The rows of ``words(word, ...)`` with an array ``ids``, in the same order of rows.
 
-    A word that is a piece of its own is that piece. Words of more than ``LONGEST`` bytes, whose fold
-    would copy long arrays at each merge, take the same merges from a heap.
+    A word that is a piece of its own is that piece. Null words and words of more than ``LONGEST``
+    bytes, whose fold would copy long arrays at each merge, have null: see ``merge_long``.
     """
     text = F.decode(F.encode("word", "UTF-8"), "ISO-8859-1")
-    known = lambda table, b: F.element_at(F.transform(F.array(_rank(table, b)), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(F.transform(_fold(table, b), lambda p: _rank(table, p)))), 1)
+    folded = lambda table, b: F.transform(_fold(table, F.concat(F.lit(_END), b, F.lit(_END))), lambda p: _rank(table, p))
+    known = lambda table, b: F.get(F.transform(F.array(_rank(table, b)), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(folded(table, b))), F.lit(0))
     # One lambda binds the map, so that the plan holds the literal once.
-    folded = F.element_at(F.transform(F.array(_literal(ranks)), lambda table: F.element_at(F.transform(F.array(text), lambda b: known(table, b)), 1)), 1)
-    short = words.filter(F.octet_length("word") <= LONGEST).select("word", folded.alias("ids"))
-    packed = short.mapInArrow(_packed, "word string, ids binary")
-    return packed.union(words.filter(F.octet_length("word") > LONGEST).mapInArrow(_long_words(ranks), "word string, ids binary"))
-
-
-def _packed(batches):
-    for batch in batches:
-        lists = batch.column("ids")
-        values = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-        cuts = (lists.offsets.to_numpy() - lists.offsets[0].as_py()) * 4
-        yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array([values[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], names=["word", "ids"])
+    made = F.get(F.transform(F.array(_literal(ranks)), lambda table: F.get(F.transform(F.array(text), lambda b: known(table, b)), F.lit(0))), F.lit(0))
+    return words.withColumn("ids", F.when(F.octet_length("word").between(1, LONGEST), made))
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -134,71 +132,117 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(len(word)) if alive[i]]
 
 
-def _long_words(ranks: dict[bytes, int]):
+def _told(pattern: str, kept: int, common):
+    """Rows of new words, then the texts of the batch as numbers of words; an empty word forgets all but the common ones."""
+
     def run(batches):
+        found = regex.compile(pattern).findall
+        first = {w: i for i, w in enumerate(common.value[0])}
+        numbers = dict(first)
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            ids = [np.array(merge_long(w.encode(), ranks), "<u4").tobytes() for w in words]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(ids, pa.binary())], names=["word", "ids"])
+            fresh = []
+            if len(numbers) > REMEMBERED:
+                numbers = dict(first)
+                fresh.append("")
+            known, coded = len(numbers), []
+            for text in batch.column(kept).to_pylist():
+                coded.append(np.array([numbers.setdefault(w, len(numbers)) for w in found(text)], "<u4").tobytes() if text else b"")
+            fresh += islice(numbers, known, None)
+            columns = [pa.concat_arrays([pa.nulls(len(fresh), c.type), c]) for c in batch.columns[:kept]]
+            columns.append(pa.concat_arrays([pa.array(fresh, pa.string()), pa.nulls(len(coded), pa.string())]))
+            columns.append(pa.concat_arrays([pa.nulls(len(fresh), pa.binary()), pa.array(coded, pa.binary())]))
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:kept], "word", "coded"])
 
     return run
 
 
-def _asked(pattern: str):
-    """The distinct words of each block; a block comes in one task and may be told in parts."""
+class _Dictionary:
+    """Ids of the words told so far, by number."""
+
+    def __init__(self, common):
+        _, flat, sizes = common.value
+        self.parts, self.sizes, self.flat = [flat], [sizes], None
+
+    def add(self, words: list[str], lists: pa.ListArray, ranks: dict[bytes, int]) -> None:
+        made = [merge_long(w.encode(), ranks) if ids is None else ids for w, ids in zip(words, lists.to_pylist(), strict=True)] if lists.null_count else None
+        self.sizes.append(np.array([len(x) for x in made]) if made is not None else np.diff(lists.offsets.to_numpy()))
+        self.parts.append(np.array([i for x in made for i in x], "<u4") if made is not None else lists.flatten().to_numpy(zero_copy_only=False).astype("<u4"))
+        self.flat = None
+
+    def ids(self, numbers: np.ndarray) -> np.ndarray:
+        if self.flat is None:
+            self.parts, self.sizes = [np.concatenate(self.parts)], [np.concatenate(self.sizes)]
+            self.flat, self.size = self.parts[0], self.sizes[0]
+            self.start = np.cumsum(self.size) - self.size
+        sizes = self.size[numbers]
+        ends = np.cumsum(sizes)
+        return self.flat[np.arange(ends[-1]) + np.repeat(self.start[numbers] - ends + sizes, sizes)]
+
+
+def _taken(ranks: dict[bytes, int], kept: int, common):
+    """The texts with the ids of their words; rows come in the order of ``_told``."""
 
     def run(batches):
-        found = regex.compile(pattern).findall
-        seen: dict[int, set[str]] = {}
+        known = _Dictionary(common)
         for batch in batches:
-            fresh: dict[int, set[str]] = {}
-            for block, text in zip(*(batch.column(c).to_pylist() for c in ("__block", "__text")), strict=True):
-                if text:
-                    fresh.setdefault(block, set()).update(found(text))
-            blocks, words = [], []
-            for block, some in fresh.items():
-                new = some - seen.setdefault(block, set())
-                seen[block] |= new
-                blocks += [block] * len(new)
-                words += new
-            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(words, pa.string())], names=["block", "word"])
+            words, coded = batch.column("word"), batch.column("coded")
+            told = np.flatnonzero(words.is_valid().to_numpy(zero_copy_only=False))
+            texts = np.flatnonzero(coded.is_valid().to_numpy(zero_copy_only=False))
+            cuts = [*(i for i in told.tolist() if words[i].as_py() == ""), batch.num_rows]
+            made, at = [], 0
+            for cut in cuts:
+                some = told[(told >= at) & (told < cut)]
+                if len(some):
+                    known.add(words.take(pa.array(some)).to_pylist(), batch.column("ids").take(pa.array(some)), ranks)
+                for x in coded.take(pa.array(texts[(texts >= at) & (texts < cut)])).to_pylist():
+                    made.append(known.ids(np.frombuffer(x, "<u4")).tobytes() if x else b"")
+                if cut < batch.num_rows:
+                    known, at = _Dictionary(common), cut + 1
+            rest = [c.take(pa.array(texts)) for c in batch.columns[:kept]]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(made, pa.binary())], names=[*batch.schema.names[:kept], "bpe_packed"])
 
     return run
 
 
-def _joined(pattern: str, spare: list[str]):
-    """The texts of a block with the ids of their words in order."""
+def _words(pattern: str):
+    """The words of the texts with their counts, in parts."""
 
-    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+    def run(batches):
         found = regex.compile(pattern).findall
-        ids = dict(zip(answers["word"].to_pylist(), answers["ids"].to_pylist(), strict=True))
-        made = [b"".join(map(ids.__getitem__, found(t))) if t else b"" for t in texts["__text"].to_pylist()]
-        return texts.select(spare).append_column("bpe_packed", pa.array(made, pa.large_binary()).cast(pa.binary()))
+        for batch in batches:
+            counts = Counter()
+            for text in batch.column(0).to_pylist():
+                counts.update(found(text or ""))
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
     return run
 
 
-def encode_packed(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text") -> DataFrame:
+def common_words(texts: DataFrame, ranks: dict[bytes, int], pattern: str):
+    """Words of the sample that occur twice at least, with their ids as (words, all ids, number of each), broadcast."""
+    every = max(1, texts.count() // SAMPLE)
+    some = texts.filter(F.pmod(F.xxhash64("__text"), F.lit(every)) == 0).mapInArrow(_words(pattern), "word string, n bigint")
+    often = some.groupBy("word").agg(F.sum("n").alias("n")).filter(f"n > 1 and octet_length(word) <= {LONGEST}").orderBy(F.desc("n"), "word").limit(COMMON)
+    made = word_ids(often.select("word").repartition(width(texts.sparkSession)), ranks).toArrow()
+    lists = made["ids"].combine_chunks()
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4")
+    return texts.sparkSession.sparkContext.broadcast((made["word"].to_pylist(), flat, np.diff(lists.offsets.to_numpy())))
+
+
+def encode_packed(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The rows of ``docs`` with a column ``bpe_packed``: ids as little-endian unsigned 32-bit integers.
 
     Each match of ``pattern`` is encoded separately and without special tokens, by the lowest-ranked
-    pair of neighbours first, the leftmost of equals. Null and empty texts have no ids. Every row and
-    column is kept; only a column named ``bpe_packed`` is replaced.
+    pair of neighbours first, the leftmost of equals. Null and empty texts have no ids. Every row is
+    kept, with the columns ``keep`` (default: all); a column named ``bpe_packed`` is replaced.
     """
-    text = F.col(text_col).cast("string")
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    blocks = max(1, size // BLOCK_BYTES)
-    spare = [c for c in docs.columns if c != "bpe_packed"]
+    spare = [c for c in (docs.columns if keep is None else keep) if c != "bpe_packed"]
     inner = [f"c{i}" for i in range(len(spare))]
-    plain = docs.select(*(F.col(f"`{c}`").alias(i) for c, i in zip(spare, inner, strict=True)), text.alias("__text"))
-    dealt = F.pmod(F.xxhash64(*(c for c, kind in plain.dtypes if "map" not in kind)), F.lit(blocks)).cast("int")
-    # The same exchange feeds both uses of the texts.
-    texts = plain.withColumn("__block", dealt).repartition(blocks, "__block")
-    asked = texts.mapInArrow(_asked(pattern), "block int, word string").repartition("word")
-    words = word_ids(asked.select("word").distinct(), ranks)
-    answers = asked.join(words, "word").select(F.col("block").alias("__block"), "word", "ids")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields if f.name in inner)
-    made = texts.groupBy("__block").cogroup(answers.groupBy("__block")).applyInArrow(_joined(pattern, inner), f"{fields}, bpe_packed binary")
+    plain = docs.select(*(F.col(f"`{c}`").alias(i) for c, i in zip(spare, inner, strict=True)), F.col(text_col).cast("string").alias("__text"))
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in plain.schema.fields[:-1])
+    common = common_words(plain.select("__text"), ranks, pattern)
+    told = plain.mapInArrow(_told(pattern, len(inner), common), f"{fields}word string, coded binary")
+    made = word_ids(told, ranks).mapInArrow(_taken(ranks, len(inner), common), f"{fields}bpe_packed binary")
     return made.select(*(F.col(i).alias(c) for i, c in zip(inner, spare, strict=True)), "bpe_packed")
 
 
@@ -222,9 +266,9 @@ def with_ids(rows: DataFrame) -> DataFrame:
     return made.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(spare)), "bpe_packed", "bpe_ids")
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The rows of ``docs`` with ``bpe_packed`` and ``bpe_ids``, the token ids of the whole text in order."""
-    return with_ids(encode_packed(docs, ranks, pattern, text_col))
+    return with_ids(encode_packed(docs, ranks, pattern, text_col, keep))
 
 
 def decode(rows: DataFrame, ranks: dict[bytes, int], ids_col: str = "bpe_ids") -> DataFrame:
@@ -248,7 +292,7 @@ def decode(rows: DataFrame, ranks: dict[bytes, int], ids_col: str = "bpe_ids") -
 
 def bpe_digest(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, ``n_tokens``, SHA-256 of the ids and SHA-256 of the bytes decoded from them."""
-    coded = decode(encode(docs.select(F.col(id_col), F.col(text_col).alias("text")), ranks, pattern), ranks)
+    coded = decode(encode(docs, ranks, pattern, text_col, [id_col]), ranks)
     return coded.select(
         id_col,
         F.size("bpe_ids").cast("long").alias("n_tokens"),
