@@ -72,6 +72,23 @@ def word_prints(text: bytes) -> np.ndarray:
     return span_prints(prefix_sums(codes), starts, ends)
 
 
+def joined_word_prints(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of the words of all texts in order, and the number of words before each text and in all."""
+    codes = _LOWER[np.frombuffer(b"\n".join(texts), np.uint8)]
+    starts, ends = word_spans(codes)
+    at = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    before = np.searchsorted(starts, at)
+    return (span_prints(prefix_sums(codes), starts, ends) if len(starts) else np.zeros(0, np.uint64)), before
+
+
+def run_prints(values: np.ndarray, n: int) -> np.ndarray:
+    """Fingerprints of all runs of ``n`` values, from prefix sums; none if there are fewer."""
+    power, inverse = powers(len(values) + 1)
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * power[:-1], out=sums[1:])
+    return mix((sums[n:] - sums[:-n]) * inverse[: max(0, len(values) + 1 - n)])
+
+
 def sequence_prints(words: np.ndarray, n: int) -> np.ndarray:
     """Fingerprints of all runs of ``n`` words, in order; shorter texts give their whole sequence."""
     if not len(words):
