@@ -20,6 +20,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,8 @@ from notelake.llm.common import width
 COMMON, SAMPLE = 300_000, 40_000
 #: Distinct words that a task remembers; beyond them it starts anew and words may be folded again.
 REMEMBERED = 2_000_000
+#: Bytes of text in a batch, about.
+PART = 1 << 20
 #: Bytes of a word that is folded as an array; longer ones take the same merges from a heap.
 LONGEST = 2000
 _BUCKETS = 1 << 16
@@ -132,17 +135,24 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(len(word)) if alive[i]]
 
 
+def small_parts(batch: pa.RecordBatch, column: int):
+    """The batch in parts of about ``PART`` bytes of text."""
+    at = np.cumsum(np.append(0, pc.binary_length(batch.column(column)).fill_null(0).to_numpy())) // PART
+    cuts = [0, *(np.flatnonzero(np.diff(at[:-1])) + 1).tolist(), batch.num_rows]
+    return [batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+
+
 def _told(pattern: str, kept: int, common):
     """Rows of new words, then the texts of the batch as numbers of words; an empty word forgets all but the common ones."""
 
     def run(batches):
         found = regex.compile(pattern).findall
-        first = {w: i for i, w in enumerate(common.value[0])}
-        numbers = dict(first)
-        for batch in batches:
+        first = len(common.value)
+        numbers = {w: i for i, w in enumerate(common.value)}
+        for batch in (part for batch in batches for part in small_parts(batch, kept)):
             fresh = []
             if len(numbers) > REMEMBERED:
-                numbers = dict(first)
+                numbers = dict(islice(numbers.items(), first))
                 fresh.append("")
             known, coded = len(numbers), []
             for text in batch.column(kept).to_pylist():
@@ -160,7 +170,7 @@ class _Dictionary:
     """Ids of the words told so far, by number."""
 
     def __init__(self, common):
-        _, flat, sizes = common.value
+        flat, sizes = common.value
         self.parts, self.sizes, self.flat = [flat], [sizes], None
 
     def add(self, words: list[str], lists: pa.ListArray, ranks: dict[bytes, int]) -> None:
@@ -199,7 +209,9 @@ def _taken(ranks: dict[bytes, int], kept: int, common):
                 if cut < batch.num_rows:
                     known, at = _Dictionary(common), cut + 1
             rest = [c.take(pa.array(texts)) for c in batch.columns[:kept]]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(made, pa.binary())], names=[*batch.schema.names[:kept], "bpe_packed"])
+            offsets = np.cumsum([0, *map(len, made)]) // 4
+            ids = pa.ListArray.from_arrays(offsets.astype(np.int32), pa.array(np.frombuffer(b"".join(made), "<u4").astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(made, pa.binary()), ids], names=[*batch.schema.names[:kept], "bpe_packed", "bpe_ids"])
 
     return run
 
@@ -219,56 +231,33 @@ def _words(pattern: str):
 
 
 def common_words(texts: DataFrame, ranks: dict[bytes, int], pattern: str):
-    """Words of the sample that occur twice at least, with their ids as (words, all ids, number of each), broadcast."""
+    """Words of the sample that occur twice at least, broadcast, and all their ids with the number of each, broadcast."""
     every = max(1, texts.count() // SAMPLE)
     some = texts.filter(F.pmod(F.xxhash64("__text"), F.lit(every)) == 0).mapInArrow(_words(pattern), "word string, n bigint")
     often = some.groupBy("word").agg(F.sum("n").alias("n")).filter(f"n > 1 and octet_length(word) <= {LONGEST}").orderBy(F.desc("n"), "word").limit(COMMON)
     made = word_ids(often.select("word").repartition(width(texts.sparkSession)), ranks).toArrow()
     lists = made["ids"].combine_chunks()
     flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-    return texts.sparkSession.sparkContext.broadcast((made["word"].to_pylist(), flat, np.diff(lists.offsets.to_numpy())))
+    context = texts.sparkSession.sparkContext
+    return context.broadcast(made["word"].to_pylist()), context.broadcast((flat, np.diff(lists.offsets.to_numpy())))
 
 
-def encode_packed(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The rows of ``docs`` with a column ``bpe_packed``: ids as little-endian unsigned 32-bit integers.
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The rows of ``docs`` with ``bpe_ids``, the token ids of the whole text in order, and ``bpe_packed``.
 
-    Each match of ``pattern`` is encoded separately and without special tokens, by the lowest-ranked
-    pair of neighbours first, the leftmost of equals. Null and empty texts have no ids. Every row is
-    kept, with the columns ``keep`` (default: all); a column named ``bpe_packed`` is replaced.
+    ``bpe_packed`` holds the ids as little-endian unsigned 32-bit integers. Each match of ``pattern``
+    is encoded separately and without special tokens, by the lowest-ranked pair of neighbours first,
+    the leftmost of equals. Null and empty texts have no ids. Every row is kept, with the columns
+    ``keep`` (default: all); only columns with the names of the two new ones are replaced.
     """
-    spare = [c for c in (docs.columns if keep is None else keep) if c != "bpe_packed"]
+    spare = [c for c in (docs.columns if keep is None else keep) if c not in ("bpe_ids", "bpe_packed")]
     inner = [f"c{i}" for i in range(len(spare))]
     plain = docs.select(*(F.col(f"`{c}`").alias(i) for c, i in zip(spare, inner, strict=True)), F.col(text_col).cast("string").alias("__text"))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in plain.schema.fields[:-1])
-    common = common_words(plain.select("__text"), ranks, pattern)
-    told = plain.mapInArrow(_told(pattern, len(inner), common), f"{fields}word string, coded binary")
-    made = word_ids(told, ranks).mapInArrow(_taken(ranks, len(inner), common), f"{fields}bpe_packed binary")
-    return made.select(*(F.col(i).alias(c) for i, c in zip(inner, spare, strict=True)), "bpe_packed")
-
-
-def _unpacked(spare: int):
-    def run(batches):
-        for batch in batches:
-            packed = [np.frombuffer(x or b"", "<u4") for x in batch.column(spare).to_pylist()]
-            offsets = np.cumsum([0, *map(len, packed)]).astype(np.int32)
-            values = np.concatenate(packed).astype(np.int32) if packed else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(values))], names=[*batch.schema.names, "bpe_ids"])
-
-    return run
-
-
-def with_ids(rows: DataFrame) -> DataFrame:
-    """The rows with ``bpe_packed`` as an array of integers too, ``bpe_ids``; a column of that name is replaced."""
-    spare = [c for c in rows.columns if c not in ("bpe_packed", "bpe_ids")]
-    inner = rows.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(spare)), "bpe_packed")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields)
-    made = inner.mapInArrow(_unpacked(len(spare)), f"{fields}, bpe_ids array<int>")
-    return made.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(spare)), "bpe_packed", "bpe_ids")
-
-
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The rows of ``docs`` with ``bpe_packed`` and ``bpe_ids``, the token ids of the whole text in order."""
-    return with_ids(encode_packed(docs, ranks, pattern, text_col, keep))
+    words, ids = common_words(plain.select("__text"), ranks, pattern)
+    told = plain.mapInArrow(_told(pattern, len(inner), words), f"{fields}word string, coded binary")
+    made = word_ids(told, ranks).mapInArrow(_taken(ranks, len(inner), ids), f"{fields}bpe_packed binary, bpe_ids array<int>")
+    return made.select(*(F.col(i).alias(c) for i, c in zip(inner, spare, strict=True)), "bpe_packed", "bpe_ids")
 
 
 def decode(rows: DataFrame, ranks: dict[bytes, int], ids_col: str = "bpe_ids") -> DataFrame:
@@ -283,11 +272,11 @@ def decode(rows: DataFrame, ranks: dict[bytes, int], ids_col: str = "bpe_ids") -
         runs = F.sequence(F.lit(0), F.greatest(F.floor((F.size(parts) - 1) / _FAN).cast("int"), F.lit(0)))
         return F.transform(runs, lambda k: F.aggregate(F.slice(parts, k * _FAN + 1, F.lit(_FAN)), nothing, lambda all_, x: F.concat(all_, x)))
 
-    made = F.transform(F.array(table), lambda t: F.transform(F.coalesce(F.col(ids_col), F.array().cast("array<int>")), lambda i: F.element_at(t, i + 1)))
-    whole = F.element_at(made, 1)
-    for _ in range(_LEVELS):
-        whole = F.element_at(F.transform(F.array(whole), joined), 1)
-    return rows.withColumn("bpe_bytes", F.coalesce(F.element_at(whole, 1), nothing))
+    ids = F.coalesce(F.col(ids_col), F.array().cast("array<int>"))
+    whole = F.get(F.transform(F.array(table), lambda t: joined(F.transform(ids, lambda i: F.get(t, i)))), F.lit(0))
+    for _ in range(_LEVELS - 1):
+        whole = F.get(F.transform(F.array(whole), joined), F.lit(0))
+    return rows.withColumn("bpe_bytes", F.coalesce(F.get(whole, F.lit(0)), nothing))
 
 
 def bpe_digest(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
