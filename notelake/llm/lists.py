@@ -11,8 +11,8 @@ from notelake.llm.common import Scratch, connected_components
 
 #: Members drawn from a list to meet the rest of it, on average, and rounds that draw.
 PIVOTS, ROUNDS = 4, 5
-#: Lists of a key that are used in the first round.
-FIRST_LISTS = 4
+#: A round that draws uses every so manieth list of a key, others each time.
+STRIDE = 7
 #: Pairs per posting that one round may look at without pivots.
 EASY = 8
 _GRAIN = 1 << 20
@@ -49,7 +49,7 @@ def clusters(posts: DataFrame, confirm: Callable[[DataFrame], DataFrame], scratc
             scratch.drop(mixed)
             break
         last = turn == rounds or (turn > 0 and pairs_left <= EASY * total + 100_000)
-        used = lists if turn else lists.filter(F.col("place") <= FIRST_LISTS)
+        used = lists if last else lists.filter(F.pmod(F.col("place") - 1, F.lit(STRIDE)) == turn % STRIDE)
         used = scratch.save(used.join(mixed.select("token", "m"), "token"))
         drawn = F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(_GRAIN)) * F.col("m") <= PIVOTS * _GRAIN
         other = used if last else used.filter(drawn)

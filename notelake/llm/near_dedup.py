@@ -29,8 +29,8 @@ from notelake.llm.textbytes import mix, shingle_set
 COORDINATES, MINIMA = 32, 4
 MATCHES = 4
 BITS = COORDINATES * MINIMA
-#: At similarity 0.8 a bit agrees with probability 0.9; five standard deviations below the mean.
-LEAST_BITS = 98
+#: At similarity 0.8 a bit agrees with probability 0.9; four standard deviations below the mean.
+LEAST_BITS = 101
 _FACTORS = np.random.default_rng(20240607).integers(0, 1 << 31, BITS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _PLACES = np.arange(1, COORDINATES + 1, dtype=np.uint64)
 
