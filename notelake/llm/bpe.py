@@ -20,12 +20,12 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notelake.llm.common import width
+from notelake.llm.textbytes import small_parts
 
 #: Words folded ahead, at most, and texts that they are looked for in, about.
 COMMON, SAMPLE = 300_000, 40_000
@@ -135,13 +135,6 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(len(word)) if alive[i]]
 
 
-def small_parts(batch: pa.RecordBatch, column: int):
-    """The batch in parts of about ``PART`` bytes of text."""
-    at = np.cumsum(np.append(0, pc.binary_length(batch.column(column)).fill_null(0).to_numpy())) // PART
-    cuts = [0, *(np.flatnonzero(np.diff(at[:-1])) + 1).tolist(), batch.num_rows]
-    return [batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
-
-
 def _told(pattern: str, kept: int, common):
     """Rows of new words, then the texts of the batch as numbers of words; an empty word forgets all but the common ones."""
 
@@ -149,7 +142,7 @@ def _told(pattern: str, kept: int, common):
         found = regex.compile(pattern).findall
         first = len(common.value)
         numbers = {w: i for i, w in enumerate(common.value)}
-        for batch in (part for batch in batches for part in small_parts(batch, kept)):
+        for batch in (part for batch in batches for part in small_parts(batch, kept, PART)):
             fresh = []
             if len(numbers) > REMEMBERED:
                 numbers = dict(islice(numbers.items(), first))

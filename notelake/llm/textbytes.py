@@ -8,6 +8,8 @@ mixer, so any span of a text has its fingerprint from two prefix sums.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _BASE = 0x9E3779B97F4A7C15
 _SEPARATOR = np.zeros(256, bool)
@@ -103,3 +105,10 @@ def sequence_prints(words: np.ndarray, n: int) -> np.ndarray:
 def shingle_set(text: bytes, n: int) -> np.ndarray:
     """Sorted fingerprints of the distinct ``n``-word shingles of the text."""
     return np.unique(sequence_prints(word_prints(text), n))
+
+
+def small_parts(batch: pa.RecordBatch, column: int, size: int) -> list[pa.RecordBatch]:
+    """The batch in parts of about ``size`` bytes in that column; a longer text is a part of its own."""
+    at = np.cumsum(np.append(0, pc.binary_length(batch.column(column)).fill_null(0).to_numpy())) // size
+    cuts = [0, *(np.flatnonzero(np.diff(at[:-1])) + 1).tolist(), batch.num_rows]
+    return [batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
