@@ -144,10 +144,10 @@ def _scan(batches):
         for text in batch.column(1).to_pylist():
             made = []
             for path, first, body in sections(text or ""):
-                for at, part in cut_chunks(body):
+                for ordinal, (at, part) in enumerate(cut_chunks(body)):
                     while part and not part[-1].strip():
                         part = part[:-1]
-                    made.append({"heading_path": path, "ordinal": len(made), "start_line": first + at, "end_line": first + at + len(part) - 1, "text": "\n".join(part)})
+                    made.append({"heading_path": path, "ordinal": ordinal, "start_line": first + at, "end_line": first + at + len(part) - 1, "text": "\n".join(part)})
             chunk_rows.append(made)
             link_rows.append([{"target": t, "is_name": n} for t, n in links(text or "")])
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chunk_rows, _CHUNKS), pa.array(link_rows, _LINKS)], names=["owner", "chunks", "links"])

@@ -13,8 +13,9 @@ ARCHIVE = "90_Archive"
 def query_metadata(records: DataFrame, filters: DataFrame) -> DataFrame:
     """Records of each filter: AND across fields, any-of within a field, an empty list matches all.
 
-    ``filters(query_id, types, owners, tags)`` holds arrays. The filters side is joined by type where
-    it names types; filters that name none meet every record, so they are kept in their own branch.
+    ``filters(query_id, types, owners, tags)`` holds arrays. Each filter is joined by the first field
+    it names: type, owner or tag. A filter that names nothing returns every record, so its result has
+    that size however it is made.
     """
     ok = (F.size("owners") == 0) | F.array_contains("owners", F.col("workspace"))
     ok = F.coalesce(ok, F.lit(False)) & ((F.size("tags") == 0) | F.array_contains("tags", F.col("tag")))
@@ -25,8 +26,10 @@ def query_metadata(records: DataFrame, filters: DataFrame) -> DataFrame:
     owned = records.join(by_owner, "workspace").filter((F.size("tags") == 0) | F.array_contains("tags", F.col("tag")))
     by_tag = untyped.filter((F.size("owners") == 0) & (F.size("tags") > 0)).withColumn("tag", F.explode(F.array_distinct("tags")))
     tagged = records.join(by_tag, "tag")
-    found = [by_type, *(x.select("query_id", "concept_id", "path") for x in (owned, tagged))]
-    return found[0].unionByName(found[1]).unionByName(found[2])
+    open_ = untyped.filter((F.size("owners") == 0) & (F.size("tags") == 0)).select("query_id", F.lit(1).alias("any"))
+    whole = records.withColumn("any", F.lit(1)).join(F.broadcast(open_), "any")
+    named = [x.select("query_id", "concept_id", "path") for x in (owned, tagged, whole)]
+    return by_type.unionByName(named[0]).unionByName(named[1]).unionByName(named[2])
 
 
 def exclude_archive(records: DataFrame, path: str = "path") -> DataFrame:

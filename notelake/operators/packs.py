@@ -19,34 +19,45 @@ def index_room(items: DataFrame, total: int = CHARACTERS + FRAMING) -> DataFrame
 
 
 def category_caps(items: DataFrame) -> DataFrame:
-    """The first items of each category; binding items do not count and always stay."""
+    """The first items of each category. Binding items do not count and stay; required ones count and stay."""
     cap = F.coalesce(*[F.when(F.col("category") == k, F.lit(v)) for k, v in CAPS.items()], F.lit(1 << 30))
-    used = F.sum(F.when(F.col("binding"), 0).otherwise(1)).over(
-        Window.partitionBy("scope_id", "category").orderBy("priority", "concept_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return items.withColumn("used", used).filter(F.col("binding") | (F.col("used") <= cap)).drop("used")
+    order = Window.partitionBy("scope_id", "category").orderBy("priority", "concept_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Of k optional items and r required ones before an optional item, it stays while k + r are below the cap;
+    # optional items that are dropped do not count, but no later one can stay either.
+    used = F.sum(F.when(F.col("binding"), 0).otherwise(1)).over(order)
+    return items.withColumn("used", used).filter(F.col("binding") | F.col("required") | (F.col("used") <= cap)).drop("used")
+
+
+def admitted(items: DataFrame, most: int = ITEMS) -> DataFrame:
+    """Items within their caps; the pack's ceiling is for those neither binding nor required. ``place`` is the order."""
+    kept = category_caps(items).withColumn("free", ~F.col("binding") & ~F.col("required"))
+    rank = F.row_number().over(Window.partitionBy("scope_id", "free").orderBy("priority", "concept_id"))
+    kept = kept.withColumn("rank", rank).filter(~F.col("free") | (F.col("rank") <= most)).drop("rank", "free")
+    return kept.withColumn("place", F.row_number().over(Window.partitionBy("scope_id").orderBy("priority", "concept_id")))
 
 
-def apply_budget(items: DataFrame, limit: int = CHARACTERS, most: int = ITEMS) -> DataFrame:
-    """``(scope_id, concept_id, place, full)``: order, caps, item ceiling, then bodies greedily.
+def apply_budget(items: DataFrame, limit: int = CHARACTERS, most: int = ITEMS, documents: int = ITEMS) -> DataFrame:
+    """``(scope_id, concept_id, place, full, reason)``: order, caps, item ceiling, then bodies greedily.
 
-    Bodies go to required items first, then binding, fresh and stale ones, each by priority. A body
-    that does not fit is passed over and later smaller ones may still fit. A pack is short by its
-    ceiling, so the greedy step is a fold over one pack.
+    The room for bodies is ``limit`` less the index lines of the admitted items. Bodies go to required
+    items first, then binding, fresh and stale ones, each by priority. A body that does not fit is
+    passed over with its reason, and later smaller ones may still fit: larger than the room, beyond
+    ``documents`` full bodies, or the room spent. The greedy step is a fold over the sizes of one pack.
     """
-    kept = category_caps(items).withColumn("place", F.row_number().over(Window.partitionBy("scope_id").orderBy("priority", "concept_id"))).filter(F.col("place") <= most)
+    kept = admitted(items, most)
+    rooms = index_room(kept, limit + FRAMING)
 
     def fold(pack: pd.DataFrame) -> pd.DataFrame:
         pack = pack.assign(turn=(~pack.required).astype(int) * 4 + (~pack.binding).astype(int) * 2 + pack.stale.astype(int)).sort_values(["turn", "place"])
-        left, full = limit, []
+        room, spent, bodies, reasons = int(pack.room.iloc[0]), 0, 0, []
         for size in pack.characters:
-            fits = size <= left
-            left -= size if fits else 0
-            full.append(bool(fits))
-        return pack.assign(full=full)[["scope_id", "concept_id", "place", "full"]]
+            reason = "larger than budget" if size > room else "document limit" if bodies >= documents else "budget spent" if spent + size > room else None
+            spent, bodies = (spent, bodies) if reason else (spent + size, bodies + 1)
+            reasons.append(reason)
+        return pack.assign(full=[r is None for r in reasons], reason=reasons)[["scope_id", "concept_id", "place", "full", "reason"]]
 
-    fields = kept.select("scope_id", "concept_id", "place", "required", "binding", "stale", "characters")
-    return fields.groupBy("scope_id").applyInPandas(fold, "scope_id string, concept_id string, place int, full boolean")
+    fields = kept.select("scope_id", "concept_id", "place", "required", "binding", "stale", "characters").join(rooms, "scope_id")
+    return fields.groupBy("scope_id").applyInPandas(fold, "scope_id string, concept_id string, place int, full boolean, reason string")
 
 
 def pack_usage(packed: DataFrame, items: DataFrame) -> DataFrame:

@@ -34,10 +34,10 @@ def get_record(spark, sf):
     return notes(spark, sf).filter(c('concept_id') == 'n000000042').select('concept_id', 'path', 'type')
 
 
-@query("query_metadata", with_notes("SELECT 1 AS query_id, concept_id, path FROM notes WHERE type IN ('decision','task') AND workspace IN ('src0','src3') UNION ALL SELECT 2, concept_id, path FROM notes WHERE workspace = 'src5' UNION ALL SELECT 3, concept_id, path FROM notes WHERE tag = 'EN'"))
+@query("query_metadata", with_notes("SELECT 1 AS query_id, concept_id, path FROM notes WHERE type IN ('decision','task') AND workspace IN ('src0','src3') UNION ALL SELECT 2, concept_id, path FROM notes WHERE workspace = 'src5' UNION ALL SELECT 3, concept_id, path FROM notes WHERE tag = 'EN' UNION ALL SELECT 4, concept_id, path FROM notes"))
 def query_metadata(spark, sf):
     filters = spark.createDataFrame(
-        [(1, ['decision', 'task'], ['src0', 'src3'], []), (2, [], ['src5'], []), (3, [], [], ['EN'])],
+        [(1, ['decision', 'task'], ['src0', 'src3'], []), (2, [], ['src5'], []), (3, [], [], ['EN']), (4, [], [], [])],
         'query_id int, types array<string>, owners array<string>, tags array<string>',
     )
     return metadata.query_metadata(notes(spark, sf), filters)
