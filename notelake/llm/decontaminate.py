@@ -73,11 +73,14 @@ def contained_items(
     keep = F.col("q") - F.ceil(F.col("q") * percent / 100) + 1
     sketch = scratch.save(sized.filter(F.col("place") <= keep).select("item", "hash", "q", F.floor(F.log2("q")).cast("int").alias("size_class")))
     bounds = {r["size_class"]: r["bound"] for r in sketch.groupBy("size_class").agg(F.max("hash").alias("bound")).collect()}
-    highest = max(bounds.values(), default=-(1 << 63))
 
-    sketched = _hashed(rows, ngram).select("doc", F.size("shingles").alias("n"), F.explode(F.filter("shingles", lambda h: h <= highest)).alias("hash"))
+    def upto(size_class: int, bound: int) -> Column:
+        return F.transform(F.filter("shingles", lambda h: h <= bound), lambda h: F.struct(F.lit(size_class).alias("size_class"), h.alias("hash")))
+
+    coordinates = F.concat(*(upto(k, b) for k, b in sorted(bounds.items()))) if bounds else upto(0, -(1 << 63))
+    sketched = _hashed(rows, ngram).select("doc", F.size("shingles").alias("n"), F.explode(coordinates).alias("x")).select("doc", "n", "x.*")
     fits = F.col("n") * 100 >= F.col("q") * percent if percent else F.lit(True)
-    met = sketched.join(small(sketch), "hash").filter(fits).select("doc", "item").distinct()
+    met = sketched.join(small(sketch), ["size_class", "hash"]).filter(fits).select("doc", "item").distinct()
     pairs = scratch.save(met)
 
     texts = asked.withColumn("words", word_array(F.col("text"))).select("item", F.explode(shingle_texts("words", ngram)).alias("shingle")).distinct()
@@ -93,7 +96,7 @@ def contained_items(
         .agg(F.count("*").alias("n_shared"))
     )
     return shared.filter(100 * F.col("n_shared") >= percent * F.col("n_shingles")).select(
-        F.col("doc").alias(id_col), F.col("item").alias("item_id"), "n_shared", "n_shingles"
+        F.col("doc").alias(id_col), F.col("item").alias(item_col), "n_shared", "n_shingles"
     )
 
 
