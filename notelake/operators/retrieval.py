@@ -33,31 +33,36 @@ def collection_stats(postings: DataFrame, key: str) -> DataFrame:
     return postings.groupBy("token").agg(F.countDistinct(key).alias("df"))
 
 
-def bm25_search(chunks: DataFrame, queries: DataFrame, key: str, fields: dict[str, str], limit: int | None = None) -> DataFrame:
+def bm25_search(chunks: DataFrame, queries: DataFrame, key: str, fields: dict[str, str], limit: int | None = None, scope: DataFrame | None = None) -> DataFrame:
     """``(query_id, key, score, rank)``: chunks that hold any token of ``queries(query_id, text)``.
 
-    Only postings of asked tokens leave their task: the distinct query tokens filter them first.
-    Statistics are over all chunks. Ties are broken by the key.
+    ``key`` names a chunk. Texts are cut into tokens once for the hits, which carry the chunk's length
+    along, and once for the corpus statistics. Only asked tokens leave their task: the distinct query
+    tokens filter them first. ``scope`` holds the admitted keys, for all queries or by ``query_id``; it
+    acts before ranks are given, so a limit counts admitted chunks only, while statistics stay those of
+    all chunks. Ties are broken by the key.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
-    postings = build_postings(chunks, key, fields).join(asked.select("token").distinct(), "token", "left_semi")
-    weight = F.coalesce(*[F.when(F.col("field") == f, F.lit(FIELD_WEIGHTS.get(f, 1.0))) for f in fields])
-    hits = postings.groupBy(key, "token").agg(F.sum(weight * F.col("n")).alias("f"))
-    lengths = chunk_lengths(chunks, key, fields)
-    corpus = lengths.agg(F.count("*").alias("chunks"), F.avg("len").alias("avglen"))
-    stats = hits.groupBy("token").agg(F.count("*").alias("df"))
+    parts = [F.struct(F.lit(FIELD_WEIGHTS.get(f, 1.0)).alias("weight"), tokens(F.col(c)).alias("tokens")) for f, c in fields.items()]
+    cut = chunks.select(key, F.array(*parts).alias("parts"))
+    length = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + F.size(p["tokens"]))
+    each = cut.select(key, length.alias("len"), F.explode("parts").alias("p")).select(key, "len", "p.weight", F.explode("p.tokens").alias("token"))
+    hits = each.join(asked.select("token").distinct(), "token", "left_semi").groupBy(key, "len", "token").agg(F.sum("weight").alias("f"))
+    corpus = chunk_lengths(chunks, key, fields).agg(F.count("*").alias("chunks"), F.avg("len").alias("avglen"))
+    # Counting f and not rows keeps both uses of the hits alike, so that one exchange serves them.
+    stats = hits.groupBy("token").agg(F.count("f").alias("df"))
     idf = F.log((F.col("chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf > 0, idf).otherwise(F.lit(1e-6))
     norm = F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avglen"))
     scored = (
-        asked.join(stats, "token")
-        .join(hits, "token")
-        .join(lengths, key)
+        hits.join(asked.join(stats, "token"), "token")
         .join(F.broadcast(corpus))  # one row
         .withColumn("part", idf * F.col("f") * (K1 + 1) / norm)
         .groupBy("query_id", key)
         .agg(F.round(F.sum("part"), 9).alias("score"))
     )
+    if scope is not None:
+        scored = scored.join(scope, [c for c in ("query_id", key) if c in scope.columns], "left_semi")
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key)))
     return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
 

@@ -22,11 +22,11 @@ SELECT d.doc_id, concat('n', lpad(cast(d.doc_id AS string), 9, '0')) AS concept_
 FROM documents d LEFT JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY doc_id) l ON d.doc_id = l.doc_id
 """
 
-#: Typed edges between notes; targets past the last note dangle.
+#: Typed edges to notes nearby in the order of ids, so that no note is a hub; targets past the last note dangle.
 EDGES = """
 SELECT concat('n', lpad(cast(doc_id AS string), 9, '0')) AS source_id,
   CASE doc_id % 5 WHEN 0 THEN 'superseded_by' WHEN 1 THEN 'depends_on' WHEN 2 THEN 'related_to' WHEN 3 THEN 'closes' ELSE 'implements' END AS relation_type,
-  concat('n', lpad(cast((doc_id * 7 + 3) % 1100 AS string), 9, '0')) AS target_id
+  concat('n', lpad(cast(abs(doc_id + (doc_id * 7 + 3) % 61 - 30) AS string), 9, '0')) AS target_id
 FROM documents WHERE doc_id % 2 = 0
 UNION ALL
 SELECT concat('n', lpad(cast(doc_id AS string), 9, '0')), 'depends_on', concat('n', lpad(cast(doc_id + 1 AS string), 9, '0')) FROM documents WHERE doc_id % 3 = 0

@@ -14,12 +14,38 @@ from notelake.plans.registry import query
 c = F.col
 
 
+#: BM25 of each benchmark item over all documents, as common table expressions up to ``scored``.
+_BM25 = """toks AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) AS token FROM documents), tf AS (SELECT doc_id, token, count(*)::DOUBLE AS f FROM toks GROUP BY 1, 2),
+lens AS (SELECT doc_id, len(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) AS len FROM documents), st AS (SELECT count(*) AS n, avg(len) AS a FROM lens), df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
+asked AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) AS token FROM benchmark),
+scored AS (SELECT query_id, tf.doc_id, round(sum(greatest(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END, 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / a))), 9) AS score
+FROM asked JOIN df USING (token) JOIN tf USING (token) JOIN lens USING (doc_id), st GROUP BY 1, 2)"""
+#: The first 20 lexical hits, the first 20 neighbours of the first 10 of them, and both lanes fused.
+_FUSED = f""", {_BM25},
+hits AS (SELECT query_id, concat('n', lpad(cast(doc_id AS VARCHAR), 9, '0')) AS owner, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= 20),
+ways AS (SELECT source_id AS node, 'outgoing' AS direction, relation_type, target_id AS other FROM edges UNION ALL SELECT target_id, 'incoming', relation_type, source_id FROM edges),
+met AS (SELECT h.query_id, h.rank, w.* FROM hits h JOIN ways w ON h.owner = w.node WHERE h.rank <= 10 AND w.other <> w.node),
+ok AS (SELECT * FROM met m WHERE relation_type NOT IN ('links_to', 'parent', 'superseded_by', 'closes') OR NOT EXISTS (SELECT 1 FROM hits h WHERE h.query_id = m.query_id AND h.owner = m.other)),
+one AS (SELECT *, row_number() OVER (PARTITION BY query_id, other ORDER BY rank, direction DESC, relation_type) AS n FROM ok),
+near AS (SELECT query_id, other AS owner, row_number() OVER (PARTITION BY query_id ORDER BY rank, direction DESC, relation_type, other) AS rank FROM one WHERE n = 1),
+cands AS (SELECT query_id, owner, 'lexical' AS retriever, rank FROM hits UNION ALL SELECT query_id, owner, 'graph', rank FROM near WHERE rank <= 20),
+fused AS (SELECT query_id, owner, round(sum(1.0 / (60 + rank)), 12) AS score, string_agg(retriever, ',' ORDER BY retriever) AS lanes FROM cands GROUP BY 1, 2)"""
+
+
+def _asked(spark, sf):
+    return table(spark, sf, "benchmark").select(c("item_id").alias("query_id"), "text")
+
+
+def _lexical(spark, sf):
+    return retrieval.bm25_search(table(spark, sf, "documents"), _asked(spark, sf), "doc_id", {"text": "text"}, 20)
+
+
 def _lanes(spark, sf):
-    asked = table(spark, sf, "benchmark").select(c("item_id").alias("query_id"), "text")
-    lexical = retrieval.bm25_search(table(spark, sf, "documents"), asked, "doc_id", {"text": "text"}, 20)
-    found = lexical.select("query_id", c("doc_id").alias("owner"), F.lit("lexical").alias("retriever"), "rank")
-    near = lexical.filter("rank <= 10").select("query_id", (c("doc_id") + 1).alias("owner"), F.lit("graph").alias("retriever"), "rank")
-    return found.unionByName(near)
+    """The first lexical hits of each item and the first neighbours of these along the notes' edges."""
+    owner = F.concat(F.lit("n"), F.lpad(c("doc_id").cast("string"), 9, "0")).alias("owner")
+    hits = _lexical(spark, sf).select("query_id", owner, "rank")
+    near = graph.expand_hits(hits, edges(spark, sf)).filter("rank <= 20")
+    return hits.withColumn("retriever", F.lit("lexical")).unionByName(near.withColumn("retriever", F.lit("graph")))
 
 
 def _required(spark, sf):
@@ -408,39 +434,23 @@ def phrase_match(spark, sf):
     return retrieval.phrase_match(table(spark, sf, 'documents'), wanted, 'doc_id', 'text')
 
 
-@query("rrf", """WITH toks AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) AS token FROM documents), tf AS (SELECT doc_id, token, count(*)::DOUBLE AS f FROM toks GROUP BY 1, 2),
-lens AS (SELECT doc_id, len(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) AS len FROM documents), st AS (SELECT count(*) AS n, avg(len) AS a FROM lens), df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
-asked AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) AS token FROM benchmark),
-scored AS (SELECT query_id, tf.doc_id, round(sum(greatest(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END, 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / a))), 9) AS score
-FROM asked JOIN df USING (token) JOIN tf USING (token) JOIN lens USING (doc_id), st GROUP BY 1, 2),
-lex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored), cands AS (SELECT query_id, doc_id AS owner, 'lexical' AS retriever, rank FROM lex WHERE rank <= 20 UNION ALL SELECT query_id, doc_id + 1, 'graph', rank FROM lex WHERE rank <= 10),
-fused AS (SELECT query_id, owner, round(sum(1.0 / (60 + rank)), 12) AS score, string_agg(retriever, ',' ORDER BY retriever) AS lanes FROM (SELECT query_id, owner, retriever, min(rank) AS rank FROM cands GROUP BY 1, 2, 3) GROUP BY 1, 2) SELECT query_id, owner, round(score, 9) AS score, lanes FROM fused""")
+@query("rrf", with_notes(_FUSED + " SELECT query_id, owner, round(score, 9) AS score, lanes FROM fused"))
 def rrf(spark, sf):
     return retrieval.rrf(_lanes(spark, sf)).select('query_id', 'owner', F.round('score', 9).alias('score'), 'lanes')
 
 
-@query("topk_per_query", """WITH toks AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) AS token FROM documents), tf AS (SELECT doc_id, token, count(*)::DOUBLE AS f FROM toks GROUP BY 1, 2),
-lens AS (SELECT doc_id, len(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) AS len FROM documents), st AS (SELECT count(*) AS n, avg(len) AS a FROM lens), df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
-asked AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) AS token FROM benchmark),
-scored AS (SELECT query_id, tf.doc_id, round(sum(greatest(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END, 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / a))), 9) AS score
-FROM asked JOIN df USING (token) JOIN tf USING (token) JOIN lens USING (doc_id), st GROUP BY 1, 2),
-lex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored), cands AS (SELECT query_id, doc_id AS owner, 'lexical' AS retriever, rank FROM lex WHERE rank <= 20 UNION ALL SELECT query_id, doc_id + 1, 'graph', rank FROM lex WHERE rank <= 10),
-fused AS (SELECT query_id, owner, round(sum(1.0 / (60 + rank)), 12) AS score, string_agg(retriever, ',' ORDER BY retriever) AS lanes FROM (SELECT query_id, owner, retriever, min(rank) AS rank FROM cands GROUP BY 1, 2, 3) GROUP BY 1, 2) SELECT query_id, owner, cast(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, owner) AS rank FROM fused) WHERE rank <= 10""")
+@query("topk_per_query", with_notes(_FUSED + " SELECT query_id, owner, cast(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, owner) AS rank FROM fused) WHERE rank <= 10"))
 def topk_per_query(spark, sf):
     return retrieval.rrf(_lanes(spark, sf)).filter('rank <= 10').select('query_id', 'owner', 'rank')
 
 
-@query("search", """WITH toks AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) AS token FROM documents), tf AS (SELECT doc_id, token, count(*)::DOUBLE AS f FROM toks GROUP BY 1, 2),
-lens AS (SELECT doc_id, len(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) AS len FROM documents), st AS (SELECT count(*) AS n, avg(len) AS a FROM lens), df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
-asked AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) AS token FROM benchmark),
-scored AS (SELECT query_id, tf.doc_id, round(sum(greatest(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END, 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / a))), 9) AS score
-FROM asked JOIN df USING (token) JOIN tf USING (token) JOIN lens USING (doc_id), st GROUP BY 1, 2),
-lex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored), cands AS (SELECT query_id, doc_id AS owner, 'lexical' AS retriever, rank FROM lex WHERE rank <= 20 UNION ALL SELECT query_id, doc_id + 1, 'graph', rank FROM lex WHERE rank <= 10),
-fused AS (SELECT query_id, owner, round(sum(1.0 / (60 + rank)), 12) AS score, string_agg(retriever, ',' ORDER BY retriever) AS lanes FROM (SELECT query_id, owner, retriever, min(rank) AS rank FROM cands GROUP BY 1, 2, 3) GROUP BY 1, 2) SELECT f.query_id, f.owner, cast(f.rank AS INTEGER) AS rank, d.lang FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, owner) AS rank FROM fused) f JOIN documents d ON d.doc_id = f.owner WHERE rank <= 10 AND d.lang IN ('en', 'de')""")
+@query("search", with_notes(f""", {_BM25} SELECT query_id, concept_id AS owner, path, lang, cast(rank AS INTEGER) AS rank FROM
+(SELECT s.query_id, n.concept_id, n.path, n.lang, row_number() OVER (PARTITION BY s.query_id ORDER BY s.score DESC, s.doc_id) AS rank FROM scored s JOIN notes n USING (doc_id) WHERE n.lang IN ('en', 'de') AND NOT starts_with(n.path, '90_Archive/')) WHERE rank <= 10"""))
 def search(spark, sf):
-    ranked = retrieval.rrf(_lanes(spark, sf)).filter('rank <= 10')
-    scope = table(spark, sf, 'documents').filter(c('lang').isin('en', 'de')).select(c('doc_id').alias('owner'), 'lang')
-    return ranked.join(scope, 'owner').select('query_id', 'owner', 'rank', 'lang')
+    """Scope and archive act before ranks are given: each item gets its first ten admitted notes."""
+    admitted = metadata.exclude_archive(notes(spark, sf).filter(c('lang').isin('en', 'de'))).select('doc_id', c('concept_id').alias('owner'), 'path', 'lang')
+    found = retrieval.bm25_search(table(spark, sf, 'documents'), _asked(spark, sf), 'doc_id', {'text': 'text'}, 10, admitted.select('doc_id'))
+    return found.join(admitted, 'doc_id').select('query_id', 'owner', 'path', 'lang', 'rank')
 
 
 @query("recall_at_k", """WITH toks AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) AS token FROM documents), tf AS (SELECT doc_id, token, count(*)::DOUBLE AS f FROM toks GROUP BY 1, 2),
@@ -450,7 +460,7 @@ scored AS (SELECT query_id, tf.doc_id, round(sum(greatest(CASE WHEN ln((n - df +
 FROM asked JOIN df USING (token) JOIN tf USING (token) JOIN lens USING (doc_id), st GROUP BY 1, 2),
 lex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored), req AS (SELECT item_id AS query_id, doc_id AS owner FROM benchmark b JOIN documents d ON contains(d.text, b.text)) SELECT query_id, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END), 9) AS recall, cast(min(rank) AS INTEGER) AS first_rank, round(coalesce(1.0 / min(rank), 0.0), 9) AS reciprocal_rank FROM req LEFT JOIN (SELECT query_id, doc_id AS owner, rank FROM lex WHERE rank <= 20) USING (query_id, owner) GROUP BY query_id""")
 def recall_at_k(spark, sf):
-    ranked = _lanes(spark, sf).filter("retriever = 'lexical'").select('query_id', 'owner', 'rank')
+    ranked = _lexical(spark, sf).select('query_id', c('doc_id').alias('owner'), 'rank')
     scores = retrieval.recall_at_k(ranked, _required(spark, sf), 10)
     return scores.select('query_id', F.round('recall', 9).alias('recall'), 'first_rank', F.round('reciprocal_rank', 9).alias('reciprocal_rank'))
 
@@ -462,7 +472,7 @@ scored AS (SELECT query_id, tf.doc_id, round(sum(greatest(CASE WHEN ln((n - df +
 FROM asked JOIN df USING (token) JOIN tf USING (token) JOIN lens USING (doc_id), st GROUP BY 1, 2),
 lex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored), req AS (SELECT item_id AS query_id, doc_id AS owner FROM benchmark b JOIN documents d ON contains(d.text, b.text)) SELECT count(*) AS cases, round(avg(recall), 9) AS recall, round(avg(rr), 9) AS mrr FROM (SELECT query_id, avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END) AS recall, coalesce(1.0 / min(rank), 0.0) AS rr FROM req LEFT JOIN (SELECT query_id, doc_id AS owner, rank FROM lex WHERE rank <= 20) USING (query_id, owner) GROUP BY query_id)""")
 def corpus_report(spark, sf):
-    ranked = _lanes(spark, sf).filter("retriever = 'lexical'").select('query_id', 'owner', 'rank')
+    ranked = _lexical(spark, sf).select('query_id', c('doc_id').alias('owner'), 'rank')
     return retrieval.corpus_report(retrieval.recall_at_k(ranked, _required(spark, sf), 10))
 
 
