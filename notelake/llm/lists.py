@@ -30,7 +30,7 @@ def clusters(posts: DataFrame, confirm: Callable[[DataFrame], DataFrame], scratc
     most two of those it met: the closest and one that its neighbours choose too. Links merge keys into
     components, and lists whose members are one component are done. When few pairs of different
     components are left in common lists, or after ``rounds`` rounds, all compatible ones of these are
-    confirmed. Left out are only pairs that are connected already, so the components are those of the
+    confirmed, each at the first of its common lists only. Left out are only pairs that are connected already, so the components are those of the
     full graph, while a group of near copies costs its size and not its square.
     """
     further = [c for c in posts.columns if c not in ("token", "key", "place")]
@@ -50,14 +50,15 @@ def clusters(posts: DataFrame, confirm: Callable[[DataFrame], DataFrame], scratc
             break
         last = turn == rounds or (turn > 0 and pairs_left <= EASY * total + 100_000)
         used = lists if last else lists.filter(F.pmod(F.col("place") - 1, F.lit(STRIDE)) == turn % STRIDE)
-        used = scratch.save(used.join(mixed.select("token", "m"), "token"))
+        used = used.join(mixed.select("token", "m"), "token")
+        used = scratch.save(_with_lists_before(used) if last else used)
         drawn = F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(_GRAIN)) * F.col("m") <= PIVOTS * _GRAIN
         other = used if last else used.filter(drawn)
-        other = other.select("token", *(F.col(c).alias(f"{c}_b") for c in ("key", "label", *further)))
+        other = other.select("token", *(F.col(c).alias(f"{c}_b") for c in ("key", "label", *further, *(["before"] if last else []))))
         order = F.col("key") < F.col("key_b") if last else F.col("key") != F.col("key_b")
         met = used.join(other, "token").filter(order & (F.col("label") != F.col("label_b")) & compatible)
         if last:
-            pairs = met.select(F.col("key").alias("a"), F.col("key_b").alias("b"))
+            pairs = met.filter(~F.arrays_overlap("before", "before_b")).select(F.col("key").alias("a"), F.col("key_b").alias("b"))
         else:
             near = met.groupBy("key").agg(F.max_by("key_b", closeness).alias("near"), F.min_by("key_b", F.xxhash64("key_b", F.lit(turn))).alias("common"))
             near = near.select("key", F.explode(F.array("near", "common")).alias("b"))
@@ -71,3 +72,12 @@ def clusters(posts: DataFrame, confirm: Callable[[DataFrame], DataFrame], scratc
         if last:
             break
     return component
+
+
+def _with_lists_before(used: DataFrame) -> DataFrame:
+    """Postings with the key's smaller lists, so that a pair can be left to the first list it shares.
+
+    Keys of different labels share no list that is done, so the lists at hand are all they share.
+    """
+    own = used.groupBy("key").agg(F.collect_list("token").alias("lists"))
+    return used.join(own, "key").withColumn("before", F.filter("lists", lambda other: other < F.col("token"))).drop("lists")
