@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notelake.llm.common import Scratch, connected_components
+from notelake.llm.common import Scratch, connected_components, width
 
 #: Members drawn from a list to meet the rest of it, on average, and rounds that draw.
 PIVOTS, ROUNDS = 4, 5
@@ -15,6 +15,11 @@ PIVOTS, ROUNDS = 4, 5
 STRIDE = 7
 #: Pairs per posting that one round may look at without pivots.
 EASY = 8
+#: Share of the pairs that a round must settle, from the second on; where it settles fewer, what is left
+#: are no groups of copies.
+SETTLED = 0.25
+#: Members of a block. Longer lists are compared block against block, each two blocks by themselves.
+BLOCK = 256
 _GRAIN = 1 << 20
 
 
@@ -29,14 +34,14 @@ def clusters(posts: DataFrame, confirm: Callable[[DataFrame], DataFrame], scratc
     In each round the members of a list meet a few drawn ones of it, and each key is confirmed with at
     most two of those it met: the closest and one that its neighbours choose too. Links merge keys into
     components, and lists whose members are one component are done. When few pairs of different
-    components are left in common lists, or after ``rounds`` rounds, all compatible ones of these are
-    confirmed, each at the first of its common lists only. Left out are only pairs that are connected already, so the components are those of the
+    components are left in common lists, when a round settled few of them, or after ``rounds`` rounds,
+    all compatible ones of these are confirmed, each at the first of its common lists only. Left out are only pairs that are connected already, so the components are those of the
     full graph, while a group of near copies costs its size and not its square.
     """
     further = [c for c in posts.columns if c not in ("token", "key", "place")]
     total = posts.count()
     closeness = closeness if closeness is not None else F.lit(0)
-    component = None
+    component, pairs_before = None, None
     for turn in range(rounds + 1):
         lists = posts.withColumn("label", F.col("key"))
         if component is not None:
@@ -48,18 +53,18 @@ def clusters(posts: DataFrame, confirm: Callable[[DataFrame], DataFrame], scratc
         if not pairs_left:
             scratch.drop(mixed)
             break
-        last = turn == rounds or (turn > 0 and pairs_left <= EASY * total + 100_000)
+        stuck = turn > 1 and pairs_left > (1 - SETTLED) * pairs_before
+        last = turn == rounds or stuck or (turn > 0 and pairs_left <= EASY * total + 100_000)
+        pairs_before = pairs_left
         used = lists if last else lists.filter(F.pmod(F.col("place") - 1, F.lit(STRIDE)) == turn % STRIDE)
         used = used.join(mixed.select("token", "m"), "token")
         used = scratch.save(_with_lists_before(used) if last else used)
-        drawn = F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(_GRAIN)) * F.col("m") <= PIVOTS * _GRAIN
-        other = used if last else used.filter(drawn)
-        other = other.select("token", *(F.col(c).alias(f"{c}_b") for c in ("key", "label", *further, *(["before"] if last else []))))
-        order = F.col("key") < F.col("key_b") if last else F.col("key") != F.col("key_b")
-        met = used.join(other, "token").filter(order & (F.col("label") != F.col("label_b")) & compatible)
         if last:
-            pairs = met.filter(~F.arrays_overlap("before", "before_b")).select(F.col("key").alias("a"), F.col("key_b").alias("b"))
+            pairs = _pairs_of_blocks(used, further, compatible)
         else:
+            drawn = F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(_GRAIN)) * F.col("m") <= PIVOTS * _GRAIN
+            other = _partners(used.filter(drawn), ["key", "label", *further])
+            met = used.join(other, "token").filter((F.col("key") != F.col("key_b")) & (F.col("label") != F.col("label_b")) & compatible)
             near = met.groupBy("key").agg(F.max_by("key_b", closeness).alias("near"), F.min_by("key_b", F.xxhash64("key_b", F.lit(turn))).alias("common"))
             near = near.select("key", F.explode(F.array("near", "common")).alias("b"))
             pairs = near.select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b"))
@@ -74,6 +79,30 @@ def clusters(posts: DataFrame, confirm: Callable[[DataFrame], DataFrame], scratc
     return component
 
 
+def _partners(posts: DataFrame, columns: list[str], by: tuple[str, ...] = ("token",)) -> DataFrame:
+    return posts.select(*by, *(F.col(c).alias(f"{c}_b") for c in columns))
+
+
+def _pairs_of_blocks(used: DataFrame, further: list[str], compatible: Column | bool) -> DataFrame:
+    """The compatible pairs of different labels in each list, at the first list they share.
+
+    A list is dealt into blocks by the key's hash. Two blocks, or one and itself, are one unit of the
+    join, so neither a long list nor few bytes put all comparisons into one task.
+    """
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    dealt = used.withColumn("own", F.pmod(F.xxhash64("key"), blocks).cast("int")).withColumn("blocks", blocks)
+    unit, count = ["token", "i", "j"], width(used.sparkSession)
+    left = dealt.withColumn("i", F.col("own")).withColumn("j", F.explode(F.sequence("own", F.col("blocks") - 1)))
+    right = dealt.withColumn("j", F.col("own")).withColumn("i", F.explode(F.sequence(F.lit(0), "own")))
+    columns = ["key", "label", *further, "before"]
+    left = left.select(*unit, *columns).repartition(count, *unit)
+    right = _partners(right, columns, tuple(unit)).repartition(count, *unit)
+    order = (F.col("i") < F.col("j")) | (F.col("key") < F.col("key_b"))
+    met = left.join(right.hint("merge"), unit).filter(order & (F.col("label") != F.col("label_b")) & compatible)
+    met = met.filter(~F.arrays_overlap("before", "before_b"))
+    return met.select(F.least("key", "key_b").alias("a"), F.greatest("key", "key_b").alias("b"))
+
+
 def _with_lists_before(used: DataFrame) -> DataFrame:
     """Postings with the key's smaller lists, so that a pair can be left to the first list it shares.
 

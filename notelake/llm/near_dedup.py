@@ -75,17 +75,26 @@ def _features(ngram: int):
     return run
 
 
+#: Shingles of the sets that a confirming task remembers; beyond them it starts anew and makes sets again.
+REMEMBERED = 4_000_000
+
+
 def _linked(ngram: int, percent: int):
     """The pairs whose full sets reach the threshold; rows come ordered by b."""
 
     def run(batches):
-        last, other = None, None
+        last, other, sets, held = None, None, {}, 0
         for batch in batches:
-            linked = []
-            for a, b, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "ta")), batch.column("tb"), strict=True):
+            linked, texts = [], batch.column("ta")
+            for at, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)):
                 if b != last:
-                    last, other = b, shingle_set(tb.as_py(), ngram)
-                mine = shingle_set(ta, ngram)
+                    last, other = b, shingle_set(batch.column("tb")[at].as_py(), ngram)
+                mine = sets.get(a)
+                if mine is None:
+                    if held > REMEMBERED:
+                        sets, held = {}, 0
+                    mine = sets[a] = shingle_set(texts[at].as_py(), ngram)
+                    held += len(mine)
                 common = len(np.intersect1d(mine, other, assume_unique=True))
                 if 100 * common >= percent * (len(mine) + len(other) - common):
                     linked.append((a, b))
