@@ -160,3 +160,62 @@ def compare_runs(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
     delta = F.round(F.col("b") - F.col("a"), 9)
     told = lambda c: F.when(F.col("comparable"), c)
     return made.select(told(delta).alias("delta"), told(F.round("swing", 9)).alias("swing"), told(F.abs(delta) > F.round("swing", 9)).alias("distinguishable"), "comparable")
+
+
+def violations(ranked: DataFrame, expected: DataFrame, k: int) -> DataFrame:
+    """``(query_id, kind, owner, rank)``: expectations ``(query_id, kind, owner)`` that a ranking broke.
+
+    A ``required`` document is missing from the first ``k``, a ``forbidden`` one is among them, a
+    ``deprioritised`` one stands anywhere before the last required one found among the first ``k``.
+    ``rank`` is null for missing documents. Repeated expectations are told once.
+    """
+    met = expected.distinct().join(ranked.select("query_id", "owner", "rank"), ["query_id", "owner"], "left")
+    found = F.coalesce(F.col("rank") <= k, F.lit(False))
+    last = met.filter((F.col("kind") == "required") & found).groupBy("query_id").agg(F.max("rank").alias("last"))
+    broken = (
+        ((F.col("kind") == "required") & ~found)
+        | ((F.col("kind") == "forbidden") & found)
+        | ((F.col("kind") == "deprioritised") & F.coalesce(F.col("rank") < F.col("last"), F.lit(False)))
+    )
+    shown = F.when(F.col("kind") != "required", F.col("rank"))
+    return met.join(last, "query_id", "left").filter(broken).select("query_id", "kind", "owner", shown.alias("rank"))
+
+
+def declared_unchanged(declared: DataFrame, given: DataFrame, documents: DataFrame) -> DataFrame:
+    """``(session, path)``: documents that a session declared changed and left as they were.
+
+    ``declared(session, concept_id, started_at)``, ``given(session, concept_id, digest)``,
+    ``documents(concept_id, path, digest, modified_at)``. A given document is unchanged while its digest
+    is the one it was given with; any other while it was not modified after the session started.
+    Documents that are gone or whose time is unknown are not held against the session.
+    """
+    held = declared.distinct().join(documents.withColumnRenamed("digest", "now"), "concept_id")
+    judged = held.join(given.select("session", "concept_id", "digest"), ["session", "concept_id"], "left")
+    same = F.when(F.col("digest").isNotNull(), F.col("now") == F.col("digest")).otherwise(F.col("modified_at") <= F.col("started_at"))
+    return judged.filter(F.coalesce(same, F.lit(False))).select("session", "path").distinct()
+
+
+#: The stage of each reason code.
+STAGES = {
+    "workspace_required": "scope",
+    "parent_workspace": "scope",
+    "metadata_filter": "metadata",
+    "freshness": "metadata",
+    "structural_location": "structure",
+    "exact_identifier_match": "lexical",
+    "fts_rank": "lexical",
+    "foreign_material": "lexical",
+    "relation_depth": "relation",
+    "recent_activity": "external_state",
+    "git_changed_file": "external_state",
+    "work_item_current": "external_state",
+    "external_memory_candidate": "external_state",
+    "vector_rank": "semantic",
+    "llm_rerank": "enrichment",
+}
+
+
+def reason_stage(code: Column, named: Column | None = None) -> Column:
+    """The stage of a reason code; a code that is not known has the stage named with it, or null."""
+    known = F.element_at(F.create_map(*(F.lit(x) for pair in STAGES.items() for x in pair)), code)
+    return known if named is None else F.coalesce(known, named)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from notelake.operators import curation
+from notelake.operators import curation, graph, retrieval
 from notelake.plans.fixtures import edges, notes, table, with_notes
 from notelake.plans.registry import query
 
@@ -149,3 +149,69 @@ def missing_manifest(spark, sf):
 def compare_runs(spark, sf):
     runs = table(spark, sf, "lineitem").groupBy(c("l_orderkey").alias("case_id")).agg(F.avg("l_discount").alias("a"), F.avg("l_tax").alias("b")).withColumn("k", F.lit(5))
     return curation.compare_runs(runs.select("case_id", "k", c("a").alias("recall")), runs.select("case_id", "k", c("b").alias("recall")))
+
+
+_RANKED = "SELECT source AS query_id, concept_id AS owner, lifecycle, row_number() OVER (PARTITION BY source ORDER BY created_at DESC, path) AS rank FROM notes"
+
+
+@query(
+    "violations",
+    with_notes(
+        f"SELECT r.query_id, kind, r.owner, CASE WHEN kind <> 'required' THEN rank END AS rank FROM (SELECT *, CASE lifecycle WHEN 'accepted' THEN 'required' WHEN 'rejected' THEN 'forbidden' ELSE 'deprioritised' END AS kind FROM ({_RANKED})) r "
+        f"LEFT JOIN (SELECT query_id, max(rank) AS last FROM ({_RANKED}) WHERE lifecycle = 'accepted' AND rank <= 10 GROUP BY query_id) l ON l.query_id = r.query_id "
+        "WHERE (kind = 'required' AND rank > 10) OR (kind = 'forbidden' AND rank <= 10) OR (kind = 'deprioritised' AND rank < last)"
+    ),
+)
+def violations(spark, sf):
+    ranked = curation.rank_in_query(notes(spark, sf).withColumn("query_id", c("source")), F.desc("created_at"), c("path")).withColumnRenamed("concept_id", "owner")
+    kind = F.when(c("lifecycle") == "accepted", "required").when(c("lifecycle") == "rejected", "forbidden").otherwise("deprioritised")
+    return curation.violations(ranked, ranked.select("query_id", "owner", kind.alias("kind")), 10)
+
+
+@query(
+    "declared_unchanged",
+    with_notes(
+        "SELECT DISTINCT user_id AS session, path FROM events JOIN notes ON doc_id = event_id % 1000 WHERE CASE WHEN user_id % 2 = 0 THEN event_id % 3 = 0 ELSE created_at <= '2024-06-01' END"
+    ),
+)
+def declared_unchanged(spark, sf):
+    held = notes(spark, sf).select("doc_id", "concept_id", "path", F.sha2("body", 256).alias("digest"), c("created_at").alias("modified_at"))
+    said = table(spark, sf, "events").select(c("user_id").alias("session"), (c("event_id") % 1000).alias("doc_id"), "event_id").join(held, "doc_id")
+    declared = said.select("session", "concept_id", F.lit("2024-06-01").alias("started_at"))
+    digest = F.when(c("event_id") % 3 == 0, c("digest")).otherwise(F.lit("another"))
+    given = said.filter("session % 2 = 0").select("session", "concept_id", digest.alias("digest"))
+    return curation.declared_unchanged(declared, given, held.drop("doc_id"))
+
+
+@query(
+    "reason_stage",
+    "SELECT event_id, CASE event_type WHEN 'view' THEN 'external_state' WHEN 'click' THEN 'lexical' ELSE 'named' END AS stage FROM events",
+)
+def reason_stage(spark, sf):
+    code = F.when(c("event_type") == "view", "recent_activity").when(c("event_type") == "click", "fts_rank").otherwise(c("event_type"))
+    return table(spark, sf, "events").select("event_id", curation.reason_stage(code, F.lit("named")).alias("stage"))
+
+
+@query(
+    "required_closure",
+    with_notes(
+        "SELECT concept_id FROM (WITH RECURSIVE r(concept_id) AS (SELECT concept_id FROM notes WHERE doc_id % 50 = 1 UNION SELECT source_id FROM edges JOIN r ON target_id = concept_id WHERE relation_type = 'implements') SELECT concept_id FROM r)"
+    ),
+)
+def required_closure(spark, sf):
+    return graph.required_closure(notes(spark, sf).filter("doc_id % 50 = 1"), edges(spark, sf).filter("relation_type = 'implements'"))
+
+
+def _first_accepted(spark, sf):
+    ranked = curation.rank_in_query(notes(spark, sf).withColumn("query_id", c("source")), F.desc("created_at"), c("path")).withColumnRenamed("concept_id", "owner")
+    return retrieval.recall_at_k(ranked.select("query_id", "owner", "rank"), ranked.filter("lifecycle = 'accepted'"), 10)
+
+
+@query("reciprocal_rank", with_notes(f"SELECT query_id, 1.0 / min(rank) AS reciprocal_rank FROM ({_RANKED}) WHERE lifecycle = 'accepted' GROUP BY query_id"))
+def reciprocal_rank(spark, sf):
+    return _first_accepted(spark, sf).select("query_id", "reciprocal_rank")
+
+
+@query("first_required_rank", with_notes(f"SELECT query_id, min(rank) AS first_rank FROM ({_RANKED}) WHERE lifecycle = 'accepted' GROUP BY query_id"))
+def first_required_rank(spark, sf):
+    return _first_accepted(spark, sf).select("query_id", "first_rank")

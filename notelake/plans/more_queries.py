@@ -221,17 +221,6 @@ def resurfaces(spark, sf):
     return notes(spark, sf).select('concept_id', F.when(c('type').isin('context', 'standard'), True).when(c('type') == 'decision', F.coalesce(c('lifecycle') != 'rejected', F.lit(True))).otherwise(c('workspace').isNotNull()).alias('surfaces'))
 
 
-@query("first_required_rank", "SELECT conv_id AS query_id, min(CASE WHEN role = 'user' THEN turn END) AS first_rank FROM conversations GROUP BY conv_id")
-def first_required_rank(spark, sf):
-    return table(spark, sf, 'conversations').groupBy(c('conv_id').alias('query_id')).agg(F.min(F.when(c('role') == 'user', c('turn'))).alias('first_rank'))
-
-
-@query("violations", with_notes("SELECT source AS query_id, concept_id AS owner, 'forbidden' AS kind FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY created_at DESC, path) AS rank FROM notes) WHERE rank <= 10 AND lifecycle = 'rejected'"))
-def violations(spark, sf):
-    ranked = top_k(notes(spark, sf), ['source'], [F.desc('created_at'), 'path'], 10)
-    return ranked.filter("lifecycle = 'rejected'").select(c('source').alias('query_id'), c('concept_id').alias('owner'), F.lit('forbidden').alias('kind'))
-
-
 @query("normalize_work_relations", "SELECT DISTINCT * FROM (SELECT l_partkey AS item, 'supplied_by' AS kind, l_suppkey AS other FROM lineitem UNION ALL SELECT l_suppkey, 'supplies', l_partkey FROM lineitem)")
 def normalize_work_relations(spark, sf):
     from notelake.sources.readers import work_relations

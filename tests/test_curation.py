@@ -40,3 +40,24 @@ def test_identifiers_are_found_whole(spark):
     asked = spark.createDataFrame([(1, "ADR-0002"), (1, " "), (2, "x")], "query_id int, identifier string")
     texts = spark.createDataFrame([("a", "see adr-0002."), ("b", "ADR-00021 my-ADR-0002"), ("c", None)], "concept_id string, body string")
     assert [tuple(r) for r in curation.exact_identifier_lane(asked, texts).collect()] == [(1, "ADR-0002", "a")]
+
+
+def test_broken_expectations(spark):
+    ranked = spark.createDataFrame([(1, "d", 1), (1, "f", 2), (1, "r", 3), (1, "late", 4), (1, "g", 5)], "query_id int, owner string, rank int")
+    wanted = [("required", "r"), ("required", "late"), ("required", "absent"), ("forbidden", "f"), ("forbidden", "g"), ("deprioritised", "d"), ("deprioritised", "g"), ("deprioritised", "absent")]
+    expected = spark.createDataFrame([(1, k, o) for k, o in wanted + wanted[:1]] + [(2, "required", "r")], "query_id int, kind string, owner string")
+    assert sorted(map(tuple, curation.violations(ranked, expected, 3).collect()), key=str) == [
+        (1, "deprioritised", "d", 1),
+        (1, "forbidden", "f", 2),
+        (1, "required", "absent", None),
+        (1, "required", "late", None),
+        (2, "required", "r", None),
+    ]
+
+
+def test_declared_documents_that_did_not_change(spark):
+    docs = spark.createDataFrame([("a", "a.md", "1", "09"), ("b", "b.md", "1", "09"), ("c", "c.md", "1", "09"), ("d", "d.md", "1", "11"), ("e", "e.md", "1", None)], "concept_id string, path string, digest string, modified_at string")
+    declared = spark.createDataFrame([("s", x, "10") for x in "aabcdex"], "session string, concept_id string, started_at string")
+    given = spark.createDataFrame([("s", "a", "1"), ("s", "b", "0"), ("t", "c", "0")], "session string, concept_id string, digest string")
+    made = curation.declared_unchanged(declared, given, docs)
+    assert sorted(map(tuple, made.collect())) == [("s", "a.md"), ("s", "c.md")]
