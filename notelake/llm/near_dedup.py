@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from notelake.llm.common import Scratch, small
+from notelake.llm.common import Scratch, small, width
 from notelake.llm.lists import clusters
 from notelake.llm.textbytes import mix, shingle_set
 
@@ -75,26 +75,24 @@ def _features(ngram: int):
     return run
 
 
-#: Shingles of the sets that a confirming task remembers; beyond them it starts anew and makes sets again.
-REMEMBERED = 4_000_000
+#: Texts that a block of the confirming step holds, about; a task holds the sets of two blocks.
+BLOCK = 2000
 
 
 def _linked(ngram: int, percent: int):
-    """The pairs whose full sets reach the threshold; rows come ordered by b."""
+    """The pairs whose full sets reach the threshold; the texts of a cell come before its pairs."""
 
     def run(batches):
-        last, other, sets, held = None, None, {}, 0
+        cell, sets = None, {}
         for batch in batches:
-            linked, texts = [], batch.column("ta")
-            for at, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)):
-                if b != last:
-                    last, other = b, shingle_set(batch.column("tb")[at].as_py(), ngram)
-                mine = sets.get(a)
-                if mine is None:
-                    if held > REMEMBERED:
-                        sets, held = {}, 0
-                    mine = sets[a] = shingle_set(texts[at].as_py(), ngram)
-                    held += len(mine)
+            linked, texts = [], batch.column("text")
+            for at, (i, j, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in "ijab"), strict=True)):
+                if cell != (i, j):
+                    cell, sets = (i, j), {}
+                if b is None:
+                    sets[a] = shingle_set(texts[at].as_py(), ngram)
+                    continue
+                mine, other = sets[a], sets[b]
                 common = len(np.intersect1d(mine, other, assume_unique=True))
                 if 100 * common >= percent * (len(mine) + len(other) - common):
                     linked.append((a, b))
@@ -104,6 +102,19 @@ def _linked(ngram: int, percent: int):
     return run
 
 
+def _cells(pairs: DataFrame, texts: DataFrame, blocks: int, scratch: Scratch) -> DataFrame:
+    """Rows ``(i, j, a, b, text)``: each pair in the cell of its two blocks, behind the texts that the cell's pairs need.
+
+    A text comes once a cell and not once a pair, so a group of n near copies costs n * blocks texts.
+    """
+    block = lambda key: F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+    dealt = scratch.save(pairs.select(block("a").alias("i"), block("b").alias("j"), "a", "b"))
+    needed = dealt.select("i", "j", F.col("a").alias("key")).union(dealt.select("i", "j", "b")).distinct().join(texts, "key")
+    rows = needed.select("i", "j", F.col("key").alias("a"), F.lit(None).cast("bigint").alias("b"), "text")
+    rows = rows.union(dealt.select("i", "j", "a", "b", F.lit(None).cast("binary")))
+    return rows.repartition(width(pairs.sparkSession), "i", "j").sortWithinPartitions("i", "j", F.col("b").isNotNull())
+
+
 def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, ``n_shingles``, ``component_id`` and ``kept``.
 
@@ -126,10 +137,10 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = 80, id_col:
     wanted = scratch.save(nodes.join(posts.select("key").distinct(), "key", "left_semi").select("key", "rep.*"))
     texts = scratch.save(rows.join(small(wanted), ["id", "h"]).select("key", "text").dropDuplicates(["key"]))
 
+    blocks = max(1, texts.count() // BLOCK)
+
     def confirm(pairs: DataFrame) -> DataFrame:
-        one = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
-        both = one.join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
-        return both.mapInArrow(_linked(ngram, percent), "src bigint, dst bigint")
+        return _cells(pairs, texts, blocks, scratch).mapInArrow(_linked(ngram, percent), "src bigint, dst bigint")
 
     sized = 100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")
     differ = F.bit_count(F.col("s1").bitwiseXOR(F.col("s1_b"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("s2_b")))
