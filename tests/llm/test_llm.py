@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from notelake.llm import bpe, decontaminate, edits, embedding_dedup, line_dedup, near_dedup, pseudonyms, substring_dedup, suffix_dedup, suffix_tree_lm, toxicity
+from notelake.llm import bpe, decontaminate, edits, embedding_dedup, line_dedup, lists, near_dedup, pseudonyms, substring_dedup, suffix_dedup, suffix_tree_lm, toxicity
 from notelake.llm.common import Scratch, connected_components
 from notelake.llm.suffix_groups import suffix_order
 
@@ -66,7 +66,10 @@ def test_suffix_order_equals_sorting():
         assert suffix_order(np.array(x, np.int64)).tolist() == sorted(range(len(x)), key=lambda i: x[i:])
 
 
-def test_near_duplicates_equal_brute_force(docs, empty):
+@pytest.mark.parametrize("block", [2, 2000])
+def test_near_duplicates_equal_brute_force(docs, empty, block, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(lists, "BLOCK", block)
     for n in (2, 5):
         sets = []
         for d, t, *_ in CORPUS:
