@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from notelake.llm.bpe import bpe_digest, read_ranks
 from notelake.llm.decontaminate import CONTAINED_SQL, contained_items
@@ -17,6 +18,7 @@ from notelake.llm.substring_dedup import near_duplicate_passages
 from notelake.llm.suffix_dedup import suffix_digest, without_repeated_bytes
 from notelake.llm.suffix_tree_lm import suffix_tree_scores
 from notelake.llm.toxicity import toxicity
+from notelake.llm.whitening import whitened
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Key of the registered query; production jobs pass their own.
@@ -68,6 +70,11 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), ngram=2, percent=80)
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = whitened(table(spark, sf_dir, "embeddings"), first=8)
+    return made.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,7 +82,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_suffix_array_dedup, op3_fuzzy_line_dedup, op4_toxicity, op5_byte_level_bpe, op6_benchmark_decontamination, op7_embedding_near_dedup, op8_pii_pseudonyms, op9_suffix_tree_lm, op10_minhash_near_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_suffix_array_dedup, op3_fuzzy_line_dedup, op4_toxicity, op5_byte_level_bpe, op6_benchmark_decontamination, op7_embedding_near_dedup, op8_pii_pseudonyms, op9_suffix_tree_lm, op10_minhash_near_dedup, op11_embedding_whitening, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
