@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from notelake.llm.alignment import cross_tokenizer_alignment
 from notelake.llm.bpe import bpe_digest, read_ranks
+from notelake.llm.byte_cnn import quality
 from notelake.llm.decontaminate import CONTAINED_SQL, contained_items
 from notelake.llm.embedding_dedup import near_vectors
 from notelake.llm.line_dedup import line_digest, without_repeated_lines
@@ -80,6 +81,10 @@ def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     return cross_tokenizer_alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -87,7 +92,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_suffix_array_dedup, op3_fuzzy_line_dedup, op4_toxicity, op5_byte_level_bpe, op6_benchmark_decontamination, op7_embedding_near_dedup, op8_pii_pseudonyms, op9_suffix_tree_lm, op10_minhash_near_dedup, op11_embedding_whitening, op12_cross_tokenizer_alignment, pipeline)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_suffix_array_dedup, op3_fuzzy_line_dedup, op4_toxicity, op5_byte_level_bpe, op6_benchmark_decontamination, op7_embedding_near_dedup, op8_pii_pseudonyms, op9_suffix_tree_lm, op10_minhash_near_dedup, op11_embedding_whitening, op12_cross_tokenizer_alignment, op13_quality_classifier, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
