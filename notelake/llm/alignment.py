@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from notelake.llm.common import Scratch
 from notelake.llm.textbytes import small_parts
 
-#: Bytes of text handled at once, pieces a worker remembers, longest piece it remembers, bytes encoded in one call.
-PART_BYTES, REMEMBERED, LONGEST, CALL_BYTES = 1 << 20, 300_000, 256, 1 << 14
+#: Bytes of text handled at once, pieces a worker remembers (twice), longest piece it remembers, bytes encoded in one call.
+PART_BYTES, REMEMBERED, LONGEST, CALL_BYTES = 1 << 20, 200_000, 256, 1 << 14
 #: Pairs outside the identity map whose counts are broadcast at most (20 bytes each); the rarer ones are joined.
 HOT_PAIRS = 1_000_000
 #: Distinct pairs a task holds before it hands on partial counts.
@@ -67,13 +67,16 @@ class Tokenizers:
         by_bytes = {self.b_bytes[i]: i for i in sorted(usable, key=lambda i: (self.b.is_byte(i), i), reverse=True)}
         self.same = np.array([by_bytes.get(t, -1) if t else -1 for t in self.a_bytes])
         self.space = self.b.piece_to_id("▁")
+        # Ids as text with what follows them in groups: first A's with "," and "|", then B's with "," and ";".
+        self.labels = [f"{i}{mark}" for size, marks in ((len(self.a_bytes), ",|"), (len(self.b_bytes), ",;")) for mark in marks for i in range(size)]
+        self.label_size = np.array([len(x) for x in self.labels])
 
     def encode(self, text: str) -> tuple[list[int], list[int]]:
         """Ids of both for a string that begins with the space B adds."""
         return self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:]) if len(text) > 1 else [self.space]
 
     def exact(self, text: bytes, a: list[int], b: list[int]) -> bool:
-        return b"".join([self.a_bytes[i] for i in a]) == text and b"".join([self.b_bytes[i] for i in b]) == text
+        return b"".join(map(self.a_bytes.__getitem__, a)) == text and b"".join(map(self.b_bytes.__getitem__, b)) == text
 
 
 class Aligner:
@@ -83,7 +86,9 @@ class Aligner:
 
     def __init__(self, tokenizers: Tokenizers):
         self.t = tokenizers
-        self.known: dict[str, tuple[bytes, bytes, int] | None] = {}
+        # Pieces met lately, and those before them, which move up when they are met again.
+        self.known: dict[str, tuple[bytes, bytes, int, int] | None] = {}
+        self.before: dict[str, tuple[bytes, bytes, int, int] | None] = {}
 
     @classmethod
     def of(cls, files) -> Aligner:
@@ -120,37 +125,44 @@ class Aligner:
             for p in pieces:
                 self._one(p)
 
-    def _aligned(self, raw: list[bytes], a: list[int], b: list[int]) -> list[tuple[bytes, bytes, int]]:
-        """Links, groups as text and A tokens of each of the pieces that ``a`` and ``b`` cut."""
+    def _aligned(self, raw: list[bytes], a: list[int], b: list[int]) -> list[tuple[bytes, bytes, int, int]]:
+        """Links, groups as text, A tokens and groups of each of the pieces that ``a`` and ``b`` cut."""
         a, b = np.array(a), np.array(b)
         a_end, b_end = np.cumsum(self.t.a_size[a]), np.cumsum(self.t.b_size[b])
         ends = np.cumsum([len(r) for r in raw])
-        both = np.union1d(a_end, b_end)
+        here = b_end[np.searchsorted(b_end, a_end)] == a_end
+        stops = a_end[here]
+        both = np.sort(np.concatenate([a_end[~here], b_end]))
         links = (a[np.searchsorted(a_end, both)] << _SHIFT) | b[np.searchsorted(b_end, both)]
-        links_at = np.searchsorted(both, ends, "right").tolist()
-        stops = np.intersect1d(a_end, b_end, assume_unique=True)
-        a_at, b_at = np.searchsorted(a_end, stops, "right").tolist(), np.searchsorted(b_end, stops, "right").tolist()
-        a_text, b_text = [str(i) for i in a.tolist()], [str(i) for i in b.tolist()]
-        groups, i, j = [], 0, 0
-        for k, m in zip(a_at, b_at, strict=True):
-            groups.append(f"{a_text[i]}|{b_text[j]}" if k - i == 1 == m - j else f"{','.join(a_text[i:k])}|{','.join(b_text[j:m])}")
-            i, j = k, m
-        groups_at = np.searchsorted(stops, ends, "right").tolist()
-        tokens_at = np.searchsorted(a_end, ends, "right").tolist()
-        packed, out, x, y, z = links.tobytes(), [], 0, 0, 0
-        for p, q, r in zip(links_at, groups_at, tokens_at, strict=True):
-            out.append((packed[8 * x : 8 * p], ";".join(groups[y:q]).encode(), r - z))
-            x, y, z = p, q, r
+        a_stop, b_stop = np.flatnonzero(here) + 1, np.searchsorted(b_end, stops) + 1
+        # In the text of the groups A's tokens of a group stand behind B's of the groups before, B's behind A's of the same group.
+        a_count, b_count = np.diff(a_stop, prepend=0), np.diff(b_stop, prepend=0)
+        labels = np.empty(len(a) + len(b), np.int64)
+        n_a, n_b = len(self.t.a_bytes), len(self.t.b_bytes)
+        labels[np.arange(len(a)) + np.repeat(b_stop - b_count, a_count)] = a + n_a * here
+        last = np.zeros(len(b), np.int64)
+        last[b_stop - 1] = n_b
+        labels[np.arange(len(b)) + np.repeat(a_stop, b_count)] = 2 * n_a + b + last
+        text = "".join(map(self.t.labels.__getitem__, labels.tolist())).encode()
+        groups_at = np.searchsorted(stops, ends, "right")
+        tokens = a_stop[groups_at - 1]
+        text_at = np.cumsum(self.t.label_size[labels])[tokens + b_stop[groups_at - 1] - 1].tolist()
+        packed, out, x, y, z, g = links.tobytes(), [], 0, 0, 0, 0
+        for p, q, r, h in zip((8 * np.searchsorted(both, ends, "right")).tolist(), text_at, tokens.tolist(), groups_at.tolist(), strict=True):
+            out.append((packed[x:p], text[y : q - 1], r - z, h - g))
+            x, y, z, g = p, q, r, h
         return out
 
-    def texts(self, texts: list[str | None]) -> list[list[tuple[bytes, bytes, int]]]:
+    def texts(self, texts: list[str | None]) -> list[list[tuple[bytes, bytes, int, int]]]:
         """The aligned pieces of each text; none for null, empty and texts whose tokens do not give their bytes back."""
         cut = [_CUT.split(" " + t) if t else [] for t in texts]
+        if len(self.known) > REMEMBERED:
+            self.known, self.before = {}, self.known
         fresh = {p for pieces in cut for p in pieces}.difference(self.known)
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known.clear()
-            fresh = {p for pieces in cut for p in pieces}
-        self.learn(sorted(fresh))
+        again = fresh.intersection(self.before)
+        self.known.update((p, self.before.pop(p)) for p in again)
+        fresh -= again
+        self.learn(list(fresh))
         out = []
         for text, pieces in zip(texts, cut, strict=True):
             found = [self.known[p] for p in pieces]
@@ -165,7 +177,7 @@ class Aligner:
         return out
 
 
-def _digest(found: list[tuple[bytes, bytes, int]], keep: bool) -> tuple[str, str | None]:
+def _digest(found: list[tuple[bytes, bytes, int, int]], keep: bool) -> tuple[str, str | None]:
     """SHA-256 of the groups, piece by piece, and the groups if they are kept."""
     if not found:
         return "", "" if keep else None
@@ -218,7 +230,7 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
                     distinct, times = np.unique(links, return_counts=True)
                     a = distinct >> _SHIFT
                     along = same[a] == distinct & _LOW
-                    n_a, n_groups = sum([f[2] for f in found]), sum([f[1].count(b";") + 1 for f in found])
+                    n_a, n_groups = sum([f[2] for f in found]), sum([f[3] for f in found])
                     times = times.astype(np.int32)
                     rows.append((n_a, len(links) + n_groups - n_a, n_groups, len(links), *_digest(found, keep_groups), a[along].astype(np.int32).tobytes(), times[along].tobytes(), distinct[~along].tobytes(), times[~along].tobytes()))
                 kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.binary()] * 4
