@@ -5,26 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from notelake.functions.words import stem_tokens, word_count, words
+from notelake.operators.sizes import spread
+
 #: BM25 and reciprocal rank fusion constants, field weights.
 K1, B, RRF_K = 1.2, 0.75, 60
 FIELD_WEIGHTS = {"title": 5.0, "heading": 2.0, "text": 1.0, "keywords": 3.0}
 
 
-def tokens(column):
-    """Runs of ASCII letters and digits, lower-cased."""
-    return F.filter(F.split(F.lower(F.coalesce(column, F.lit(""))), "[^a-z0-9]+"), lambda t: t != "")
-
-
 def build_postings(chunks: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
-    """``(key, field, token, n)``: how often a token occurs in each field of a chunk."""
-    parts = F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(c)).alias("tokens")) for f, c in fields.items()])
-    each = chunks.select(key, F.explode(parts).alias("p")).select(key, "p.field", F.explode("p.tokens").alias("token"))
+    """``(key, field, token, n)``: how often a stem occurs in each field of a chunk."""
+    each = None
+    for field, column in fields.items():
+        part = chunks.select(key, F.lit(field).alias("field"), F.explode(stem_tokens(F.col(column))).alias("token"))
+        each = part if each is None else each.unionByName(part)
     return each.groupBy(key, "field", "token").agg(F.count("*").alias("n"))
 
 
 def chunk_lengths(chunks: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
-    """Tokens of all fields of each chunk, unweighted; computed without a shuffle."""
-    total = sum((F.size(tokens(F.col(c))) for c in fields.values()), F.lit(0))
+    """Words of all fields of each chunk, unweighted; computed without a shuffle."""
+    total = sum((word_count(F.col(c)) for c in fields.values()), F.lit(0))
     return chunks.select(key, total.cast("long").alias("len"))
 
 
@@ -33,57 +33,85 @@ def collection_stats(postings: DataFrame, key: str) -> DataFrame:
     return postings.groupBy("token").agg(F.countDistinct(key).alias("df"))
 
 
+def asked_stems(queries: DataFrame) -> DataFrame:
+    """``(query_id, token)``: the distinct stems of ``queries(query_id, text)``."""
+    return queries.select("query_id", F.explode(F.array_distinct(stem_tokens(F.col("text")))).alias("token"))
+
+
+def idf(chunks, df):
+    """Inverse document frequency; tokens of more than half of the chunks keep a trace of weight."""
+    value = F.log((chunks - df + 0.5) / (df + 0.5))
+    return F.when(value > 0, value).otherwise(F.lit(1e-6))
+
+
+def saturated(f, length, average):
+    """A token's frequency in a chunk as BM25 counts it."""
+    return f * (K1 + 1) / (f + K1 * (1 - B + B * length / average))
+
+
 def bm25_search(chunks: DataFrame, queries: DataFrame, key: str, fields: dict[str, str], limit: int | None = None, scope: DataFrame | None = None) -> DataFrame:
-    """``(query_id, key, score, rank)``: chunks that hold any token of ``queries(query_id, text)``.
+    """``(query_id, key, score, rank)``: chunks that hold any stem of ``queries(query_id, text)``.
 
-    ``key`` names a chunk. Texts are cut into tokens once for the hits, which carry the chunk's length
-    along, and once for the corpus statistics. Only asked tokens leave their task: the distinct query
-    tokens filter them first. ``scope`` holds the admitted keys, for all queries or by ``query_id``; it
-    acts before ranks are given, so a limit counts admitted chunks only, while statistics stay those of
-    all chunks. Ties are broken by the key.
+    ``key`` names a chunk. Words are folded and stemmed in the task that reads the text; only asked stems
+    leave it, with the chunk's length. Statistics count words in a second, cheaper pass. ``scope`` holds
+    the admitted keys, for all queries or by ``query_id``; it acts before ranks are given, so a limit
+    counts admitted chunks only, while statistics stay those of all chunks. Ties are broken by the key.
+    Searches that repeat over one corpus keep its postings instead, see ``operators.postings``.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
-    parts = [F.struct(F.lit(FIELD_WEIGHTS.get(f, 1.0)).alias("weight"), tokens(F.col(c)).alias("tokens")) for f, c in fields.items()]
-    cut = chunks.select(key, F.array(*parts).alias("parts"))
-    length = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + F.size(p["tokens"]))
-    each = cut.select(key, length.alias("len"), F.explode("parts").alias("p")).select(key, "len", "p.weight", F.explode("p.tokens").alias("token"))
-    hits = each.join(asked.select("token").distinct(), "token", "left_semi").groupBy(key, "len", "token").agg(F.sum("weight").alias("f"))
+    asked = asked_stems(queries)
+    chunks = spread(chunks.select(key, *dict.fromkeys(fields.values())))
+    wanted = asked.select("token").distinct()
+    lengths = sum((word_count(F.col(c)) for c in fields.values()), F.lit(0)).cast("long")
+    each = None
+    for field, column in fields.items():
+        part = chunks.select(key, lengths.alias("len"), F.lit(FIELD_WEIGHTS.get(field, 1.0)).alias("weight"), F.explode(stem_tokens(F.col(column))).alias("token"))
+        part = part.join(wanted, "token", "left_semi")
+        each = part if each is None else each.unionByName(part)
+    hits = each.groupBy(key, "len", "token").agg(F.sum("weight").alias("f"))
     corpus = chunk_lengths(chunks, key, fields).agg(F.count("*").alias("chunks"), F.avg("len").alias("avglen"))
     # Counting f and not rows keeps both uses of the hits alike, so that one exchange serves them.
     stats = hits.groupBy("token").agg(F.count("f").alias("df"))
-    idf = F.log((F.col("chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = F.when(idf > 0, idf).otherwise(F.lit(1e-6))
-    norm = F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avglen"))
     scored = (
         hits.join(asked.join(stats, "token"), "token")
         .join(F.broadcast(corpus))  # one row
-        .withColumn("part", idf * F.col("f") * (K1 + 1) / norm)
-        .groupBy("query_id", key)
-        .agg(F.round(F.sum("part"), 9).alias("score"))
+        .withColumn("part", idf(F.col("chunks"), F.col("df")) * saturated(F.col("f"), F.col("len"), F.col("avglen")))
     )
+    return ranked_hits(scored, key, limit, scope)
+
+
+def ranked_hits(parts: DataFrame, key: str, limit: int | None, scope: DataFrame | None) -> DataFrame:
+    """Adds up ``part`` for each query and chunk, keeps admitted chunks, ranks them and cuts."""
     if scope is not None:
-        scored = scored.join(scope, [c for c in ("query_id", key) if c in scope.columns], "left_semi")
+        parts = parts.join(scope, [c for c in ("query_id", key) if c in scope.columns], "left_semi")
+    scored = parts.groupBy("query_id", key).agg(F.round(F.sum("part"), 9).alias("score"))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key)))
     return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
 
 
 def tf_search(chunks: DataFrame, queries: DataFrame, key: str, fields: dict[str, str], limit: int) -> DataFrame:
-    """Chunks by how often they hold the query's tokens; ties by the key."""
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
-    counted = build_postings(chunks, key, fields).join(asked, "token").groupBy("query_id", key).agg(F.sum("n").alias("score"))
+    """Chunks by how often they hold the query's words, folded and not stemmed; ties by the key."""
+    asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("token"))
+    held = spread(chunks.select(key, *dict.fromkeys(fields.values()))).select(key, F.explode(F.concat(*[words(F.col(c)) for c in fields.values()])).alias("token"))
+    counted = held.join(asked, "token").groupBy("query_id", key).agg(F.count("*").alias("score"))
     return counted.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))).filter(F.col("rank") <= limit)
 
 
 def phrase_match(chunks: DataFrame, phrases: DataFrame, key: str, text: str) -> DataFrame:
-    """``(phrase_id, key)``: chunks whose tokens hold the phrase's tokens in a row.
+    """``(phrase_id, key)``: chunks whose stems hold the phrase's stems in a row.
 
-    Joined on the phrase's first token, then checked on the token array, so no positions are shuffled.
+    A chunk is a candidate if it holds the phrase's rarest stem; only candidates' texts meet their
+    phrases. Phrases without words match nothing.
     """
-    wanted = phrases.select("phrase_id", tokens(F.col("phrase")).alias("wanted")).filter(F.size("wanted") > 0).withColumn("token", F.element_at("wanted", 1))
-    held = chunks.select(key, tokens(F.col(text)).alias("tokens"))
-    first = held.select(key, "tokens", F.explode(F.array_distinct("tokens")).alias("token")).join(wanted, "token")
-    found = F.contains(F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" ")), F.concat(F.lit(" "), F.array_join("wanted", " "), F.lit(" ")))
-    return first.filter(found).select("phrase_id", key)
+    chunks = spread(chunks.select(key, text))
+    wanted = phrases.select("phrase_id", stem_tokens(F.col("phrase")).alias("wanted")).filter(F.size("wanted") > 0)
+    asked = wanted.select("phrase_id", F.explode(F.array_distinct("wanted")).alias("token"))
+    held = chunks.select(key, F.explode(F.array_distinct(stem_tokens(F.col(text)))).alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
+    seen = asked.join(held.groupBy("token").agg(F.count("*").alias("df")), "token", "left")
+    rarest = seen.groupBy("phrase_id").agg(F.min_by("token", F.struct(F.coalesce("df", F.lit(0)), "token")).alias("token"))
+    met = held.join(rarest, "token").select("phrase_id", key).join(wanted, "phrase_id")
+    spaced = lambda column: F.concat(F.lit(" "), F.array_join(column, " "), F.lit(" "))
+    found = chunks.join(met, key).select("phrase_id", key, spaced(stem_tokens(F.col(text))).alias("held"), spaced(F.col("wanted")).alias("wanted"))
+    return found.filter(F.contains("held", "wanted")).select("phrase_id", key)
 
 
 def best_rank_per_lane(candidates: DataFrame) -> DataFrame:

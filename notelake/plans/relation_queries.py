@@ -8,16 +8,19 @@ from pyspark.sql import functions as F
 from notelake.functions import text as T
 from notelake.operators import graph, metadata, retrieval, state
 from notelake.operators.ranking import top_k
+from notelake.plans import stem_sql
 from notelake.plans.fixtures import edges, items, links, notes, table, with_items, with_links, with_notes
 from notelake.plans.registry import query
 
 c = F.col
 
 
+_STEMS = stem_sql.stems({"documents": "text", "benchmark": "text"})
+_WORDS = stem_sql.words("text")
 #: BM25 of each benchmark item over all documents, as common table expressions up to ``scored``.
-_BM25 = """toks AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) AS token FROM documents), tf AS (SELECT doc_id, token, count(*)::DOUBLE AS f FROM toks GROUP BY 1, 2),
-lens AS (SELECT doc_id, len(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) AS len FROM documents), st AS (SELECT count(*) AS n, avg(len) AS a FROM lens), df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
-asked AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) AS token FROM benchmark),
+_BM25 = f"""{_STEMS}, toks AS (SELECT doc_id, stem AS token FROM (SELECT doc_id, unnest({_WORDS}) AS token FROM documents) JOIN stems USING (token)), tf AS (SELECT doc_id, token, count(*)::DOUBLE AS f FROM toks GROUP BY 1, 2),
+lens AS (SELECT doc_id, len({_WORDS}) AS len FROM documents), st AS (SELECT count(*) AS n, avg(len) AS a FROM lens), df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
+asked AS (SELECT DISTINCT query_id, stem AS token FROM (SELECT item_id AS query_id, unnest({_WORDS}) AS token FROM benchmark) JOIN stems USING (token)),
 scored AS (SELECT query_id, tf.doc_id, round(sum(greatest(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END, 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / a))), 9) AS score
 FROM asked JOIN df USING (token) JOIN tf USING (token) JOIN lens USING (doc_id), st GROUP BY 1, 2)"""
 #: The first 20 lexical hits, the first 20 neighbours of the first 10 of them, and both lanes fused.
@@ -400,21 +403,17 @@ def embedding_backlog(spark, sf):
     return table(spark, sf, 'documents').select('doc_id').join(table(spark, sf, 'embeddings').filter('label <> 3').select(c('vec_id').alias('doc_id')), 'doc_id', 'left_anti')
 
 
-@query("build_postings", """SELECT doc_id, 'text' AS field, token, count(*) AS n FROM (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) AS token FROM documents) GROUP BY doc_id, token""")
+@query("build_postings", f"""WITH {_STEMS} SELECT doc_id, 'text' AS field, stem AS token, count(*) AS n FROM (SELECT doc_id, unnest({_WORDS}) AS token FROM documents) JOIN stems USING (token) GROUP BY doc_id, stem""")
 def build_postings(spark, sf):
     return retrieval.build_postings(table(spark, sf, 'documents'), 'doc_id', {'text': 'text'})
 
 
-@query("collection_stats", """SELECT token, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) AS token FROM documents) GROUP BY token""")
+@query("collection_stats", f"""WITH {_STEMS} SELECT stem AS token, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({_WORDS}) AS token FROM documents) JOIN stems USING (token) GROUP BY stem""")
 def collection_stats(spark, sf):
     return retrieval.collection_stats(retrieval.build_postings(table(spark, sf, 'documents'), 'doc_id', {'text': 'text'}), 'doc_id')
 
 
-@query("bm25_search", """WITH toks AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) AS token FROM documents), tf AS (SELECT doc_id, token, count(*)::DOUBLE AS f FROM toks GROUP BY 1, 2),
-lens AS (SELECT doc_id, len(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) AS len FROM documents), st AS (SELECT count(*) AS n, avg(len) AS a FROM lens), df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
-asked AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) AS token FROM benchmark),
-scored AS (SELECT query_id, tf.doc_id, round(sum(greatest(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END, 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / a))), 9) AS score
-FROM asked JOIN df USING (token) JOIN tf USING (token) JOIN lens USING (doc_id), st GROUP BY 1, 2),
+@query("bm25_search", f"""WITH {_BM25},
 lex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored) SELECT query_id, doc_id, round(score, 5) AS score FROM lex WHERE rank <= 20""")
 def bm25_search(spark, sf):
     asked = table(spark, sf, 'benchmark').select(c('item_id').alias('query_id'), 'text')
@@ -422,16 +421,19 @@ def bm25_search(spark, sf):
     return found.select('query_id', 'doc_id', F.round('score', 5).alias('score'))
 
 
-@query("tf_search", """WITH toks AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) AS token FROM documents), asked AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) AS token FROM benchmark)
+@query("tf_search", f"""WITH toks AS (SELECT doc_id, unnest({_WORDS}) AS token FROM documents), asked AS (SELECT DISTINCT item_id AS query_id, unnest({_WORDS}) AS token FROM benchmark)
 SELECT query_id, doc_id, score, cast(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, count(*) AS score FROM asked JOIN toks USING (token) GROUP BY 1, 2)) WHERE rank <= 10""")
 def tf_search(spark, sf):
     return retrieval.tf_search(table(spark, sf, 'documents'), table(spark, sf, 'benchmark').select(c('item_id').alias('query_id'), 'text'), 'doc_id', {'text': 'text'}, 10)
 
 
-@query("phrase_match", """SELECT item_id AS phrase_id, doc_id FROM (SELECT item_id, ' ' || array_to_string((list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> ''))[1:2], ' ') || ' ' AS p FROM benchmark) b JOIN (SELECT doc_id, ' ' || array_to_string(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> ''), ' ') || ' ' AS t FROM documents) d ON contains(t, p)""")
+_STEMMED = "SELECT {key}, ' ' || string_agg(stem, ' ' ORDER BY place) || ' ' AS t FROM (SELECT {key}, unnest(w) AS token, generate_subscripts(w, 1) AS place FROM (SELECT {key}, {words} AS w FROM {table})) JOIN stems USING (token) GROUP BY {key}"
+
+
+@query("phrase_match", f"""WITH {_STEMS}, items AS ({_STEMMED.format(key='item_id', words=_WORDS, table='benchmark')}), held AS ({_STEMMED.format(key='doc_id', words=_WORDS, table='documents')})
+SELECT item_id AS phrase_id, doc_id FROM items JOIN held ON contains(held.t, items.t)""")
 def phrase_match(spark, sf):
-    wanted = table(spark, sf, 'benchmark').select(c('item_id').alias('phrase_id'), F.array_join(F.slice(retrieval.tokens(c('text')), 1, 2), ' ').alias('phrase'))
-    return retrieval.phrase_match(table(spark, sf, 'documents'), wanted, 'doc_id', 'text')
+    return retrieval.phrase_match(table(spark, sf, 'documents'), table(spark, sf, 'benchmark').select(c('item_id').alias('phrase_id'), c('text').alias('phrase')), 'doc_id', 'text')
 
 
 @query("rrf", with_notes(_FUSED + " SELECT query_id, owner, round(score, 9) AS score, lanes FROM fused"))
@@ -453,11 +455,7 @@ def search(spark, sf):
     return found.join(admitted, 'doc_id').select('query_id', 'owner', 'path', 'lang', 'rank')
 
 
-@query("recall_at_k", """WITH toks AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) AS token FROM documents), tf AS (SELECT doc_id, token, count(*)::DOUBLE AS f FROM toks GROUP BY 1, 2),
-lens AS (SELECT doc_id, len(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) AS len FROM documents), st AS (SELECT count(*) AS n, avg(len) AS a FROM lens), df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
-asked AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) AS token FROM benchmark),
-scored AS (SELECT query_id, tf.doc_id, round(sum(greatest(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END, 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / a))), 9) AS score
-FROM asked JOIN df USING (token) JOIN tf USING (token) JOIN lens USING (doc_id), st GROUP BY 1, 2),
+@query("recall_at_k", f"""WITH {_BM25},
 lex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored), req AS (SELECT item_id AS query_id, doc_id AS owner FROM benchmark b JOIN documents d ON contains(d.text, b.text)) SELECT query_id, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END), 9) AS recall, cast(min(rank) AS INTEGER) AS first_rank, round(coalesce(1.0 / min(rank), 0.0), 9) AS reciprocal_rank FROM req LEFT JOIN (SELECT query_id, doc_id AS owner, rank FROM lex WHERE rank <= 20) USING (query_id, owner) GROUP BY query_id""")
 def recall_at_k(spark, sf):
     ranked = _lexical(spark, sf).select('query_id', c('doc_id').alias('owner'), 'rank')
@@ -465,11 +463,7 @@ def recall_at_k(spark, sf):
     return scores.select('query_id', F.round('recall', 9).alias('recall'), 'first_rank', F.round('reciprocal_rank', 9).alias('reciprocal_rank'))
 
 
-@query("corpus_report", """WITH toks AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) AS token FROM documents), tf AS (SELECT doc_id, token, count(*)::DOUBLE AS f FROM toks GROUP BY 1, 2),
-lens AS (SELECT doc_id, len(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) AS len FROM documents), st AS (SELECT count(*) AS n, avg(len) AS a FROM lens), df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
-asked AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) AS token FROM benchmark),
-scored AS (SELECT query_id, tf.doc_id, round(sum(greatest(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END, 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / a))), 9) AS score
-FROM asked JOIN df USING (token) JOIN tf USING (token) JOIN lens USING (doc_id), st GROUP BY 1, 2),
+@query("corpus_report", f"""WITH {_BM25},
 lex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored), req AS (SELECT item_id AS query_id, doc_id AS owner FROM benchmark b JOIN documents d ON contains(d.text, b.text)) SELECT count(*) AS cases, round(avg(recall), 9) AS recall, round(avg(rr), 9) AS mrr FROM (SELECT query_id, avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END) AS recall, coalesce(1.0 / min(rank), 0.0) AS rr FROM req LEFT JOIN (SELECT query_id, doc_id AS owner, rank FROM lex WHERE rank <= 20) USING (query_id, owner) GROUP BY query_id)""")
 def corpus_report(spark, sf):
     ranked = _lexical(spark, sf).select('query_id', c('doc_id').alias('owner'), 'rank')
