@@ -23,7 +23,7 @@ BLOCK = 256
 _GRAIN = 1 << 20
 
 
-def clusters(posts: DataFrame, confirm: Callable[[DataFrame], DataFrame], scratch: Scratch, compatible: Column | bool = True, closeness: Column | None = None, rounds: int = ROUNDS) -> DataFrame | None:
+def clusters(posts: DataFrame, confirm: Callable[[DataFrame], DataFrame], scratch: Scratch, compatible: Column | bool = True, closeness: Column | None = None, rounds: int = ROUNDS, kind: tuple[str, ...] = ()) -> DataFrame | None:
     """``(key, component)`` of the linked keys of ``posts(token, key, place, ...)``; None without candidates.
 
     ``confirm`` takes ``pairs(a, b)`` and returns the linked ones as ``(src, dst)``. ``compatible`` is a
@@ -35,8 +35,10 @@ def clusters(posts: DataFrame, confirm: Callable[[DataFrame], DataFrame], scratc
     most two of those it met: the closest and one that its neighbours choose too. Links merge keys into
     components, and lists whose members are one component are done. When few pairs of different
     components are left in common lists, when a round settled few of them, or after ``rounds`` rounds,
-    all compatible ones of these are confirmed, each at the first of its common lists only. Left out are only pairs that are connected already, so the components are those of the
-    full graph, while a group of near copies costs its size and not its square.
+    all compatible ones of these are confirmed, each at the first of its common lists only. Where
+    ``compatible`` does not say the same in every list, ``kind`` names the columns that it depends on, and
+    a pair is met once in each kind of list. Left out are only pairs that are connected already, so the
+    components are those of the full graph, while a group of near copies costs its size and not its square.
     """
     further = [c for c in posts.columns if c not in ("token", "key", "place")]
     total = posts.count()
@@ -58,7 +60,7 @@ def clusters(posts: DataFrame, confirm: Callable[[DataFrame], DataFrame], scratc
         pairs_before = pairs_left
         used = lists if last else lists.filter(F.pmod(F.col("place") - 1, F.lit(STRIDE)) == turn % STRIDE)
         used = used.join(mixed.select("token", "m"), "token")
-        used = scratch.save(_with_lists_before(used) if last else used)
+        used = scratch.save(_with_lists_before(used, kind) if last else used)
         if last:
             pairs = _pairs_of_blocks(used, further, compatible)
         else:
@@ -103,10 +105,10 @@ def _pairs_of_blocks(used: DataFrame, further: list[str], compatible: Column | b
     return met.select(F.least("key", "key_b").alias("a"), F.greatest("key", "key_b").alias("b"))
 
 
-def _with_lists_before(used: DataFrame) -> DataFrame:
-    """Postings with the key's smaller lists, so that a pair can be left to the first list it shares.
+def _with_lists_before(used: DataFrame, kind: tuple[str, ...]) -> DataFrame:
+    """Postings with the key's smaller lists of their kind, so that a pair can be left to the first list it shares.
 
     Keys of different labels share no list that is done, so the lists at hand are all they share.
     """
-    own = used.groupBy("key").agg(F.collect_list("token").alias("lists"))
-    return used.join(own, "key").withColumn("before", F.filter("lists", lambda other: other < F.col("token"))).drop("lists")
+    own = used.groupBy("key", *kind).agg(F.collect_list("token").alias("lists"))
+    return used.join(own, ["key", *kind]).withColumn("before", F.filter("lists", lambda other: other < F.col("token"))).drop("lists")
