@@ -48,16 +48,23 @@ def ledger_reconcile(ledger: DataFrame, current: DataFrame, now: str, examined:
 
 
 def fold_sessions(events: DataFrame) -> DataFrame:
-    """One row per session of ``(session, ts, kind)``: first and last time, and whether it was wrapped."""
-    return events.groupBy("session").agg(
-        F.min("ts").alias("opened_at"), F.max("ts").alias("last_seen_at"), F.count("*").alias("events"), F.max(F.col("kind") == "purchase").alias("wrapped")
+    """One row per session of ``(session, at, kind, event_id)``: times, whether it was opened and wrapped, and its checkpoints.
+
+    Events are judged by ``reconcile.session_log``: what comes before the opening is refused and does not count.
+    """
+    from notelake.operators.reconcile import session_log
+
+    times = events.groupBy("session").agg(F.min("at").alias("first_event_at"), F.max("at").alias("last_event_at"), F.count("*").alias("events"))
+    judged = session_log(events).groupBy("session").agg(
+        F.max(F.col("outcome") == "opened").alias("opened"), F.max(F.col("outcome") == "wrapped").alias("wrapped"), F.count_if(F.col("outcome") == "logged").alias("checkpoints"), F.max("last_seen_at").alias("last_seen_at")
     )
+    return times.join(judged, "session")
 
 
-def expire_sessions(sessions: DataFrame, now: str, days: int = 1) -> DataFrame:
-    """Sessions that are not wrapped, hold one event and were last seen a day ago or earlier."""
-    limit = F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(days))
-    return sessions.filter(~F.col("wrapped") & (F.col("events") <= 1) & (F.col("last_seen_at") <= limit))
+def expire_sessions(sessions: DataFrame, before: DataFrame) -> DataFrame:
+    """Opened sessions without checkpoints that were not wrapped and were last seen before the one row of ``before(before)``."""
+    idle = sessions.filter("opened and not wrapped and checkpoints = 0")
+    return idle.join(F.broadcast(before), F.col("last_seen_at") < F.col("before")).drop("before")
 
 
 def given_once(events: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:

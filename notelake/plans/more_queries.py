@@ -92,11 +92,6 @@ def parent_mismatch(spark, sf):
     return notes(spark, sf).join(up, c('concept_id') == c('source_id'), 'left').select('concept_id', state_of.alias('state'))
 
 
-@query("referrers_to_revisit", with_links("SELECT DISTINCT page_id FROM links WHERE href IN (SELECT url FROM pages WHERE page_id % 5 = 0)"))
-def referrers_to_revisit(spark, sf):
-    return links(spark, sf).join(table(spark, sf, 'pages').filter('page_id % 5 = 0').select(c('url').alias('href')), 'href', 'left_semi').select('page_id').distinct()
-
-
 @query("prefer_explicit_scope", with_notes("SELECT concept_id, coalesce(workspace, CASE WHEN doc_id % 2 = 0 THEN source END, 'unmapped') AS scope FROM notes"))
 def prefer_explicit_scope(spark, sf):
     return notes(spark, sf).select('concept_id', F.coalesce('workspace', F.when(c('doc_id') % 2 == 0, c('source')), F.lit('unmapped')).alias('scope'))
@@ -172,17 +167,6 @@ def session_signals(spark, sf):
     return t.join(t.filter('turn > 4').select('conv_id'), 'conv_id', 'left_anti').groupBy('conv_id').agg(F.max('turn').alias('last_turn'))
 
 
-@query("append_checkpoints", "SELECT event_id FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase') AND event_type <> 'purchase'")
-def append_checkpoints(spark, sf):
-    e = table(spark, sf, 'events')
-    return e.filter("event_type <> 'purchase'").join(e.filter("event_type = 'purchase'").select('user_id'), 'user_id', 'left_semi').select('event_id')
-
-
-@query("expire_sessions", "SELECT user_id AS session FROM events GROUP BY user_id HAVING NOT bool_or(event_type = 'purchase') AND count(*) <= 1")
-def expire_sessions(spark, sf):
-    return state.expire_sessions(state.fold_sessions(table(spark, sf, 'events').select(c('user_id').alias('session'), 'ts', c('event_type').alias('kind'))), '2099-01-01').select('session')
-
-
 @query("cache_prune", with_items("SELECT external_id FROM items WHERE NOT (project IN (SELECT project FROM items WHERE priority = '1-URGENT') AND status = 'F')"))
 def cache_prune(spark, sf):
     complete = items(spark, sf).filter("priority = '1-URGENT'").select('project').distinct()

@@ -383,9 +383,12 @@ def ledger_scoped(spark, sf):
     return state.ledger_reconcile(ledger, n.filter('doc_id % 3 <> 0'), 't2', n.filter('doc_id % 2 = 0').select('path'))
 
 
-@query("fold_sessions", "SELECT user_id AS session, min(ts) AS opened_at, max(ts) AS last_seen_at, count(*) AS events, bool_or(event_type = 'purchase') AS wrapped FROM events GROUP BY user_id")
+@query("fold_sessions", """WITH o AS (SELECT user_id, min(row(ts, event_id)) AS first FROM events WHERE event_type = 'signup' GROUP BY user_id) SELECT user_id AS session, min(ts) AS first_event_at, max(ts) AS last_event_at, count(*) AS events,
+    bool_or(o.first IS NOT NULL) AS opened, coalesce(bool_or(event_type = 'purchase' AND row(ts, event_id) > o.first), false) AS wrapped, count(CASE WHEN event_type NOT IN ('signup', 'purchase') AND row(ts, event_id) > o.first THEN 1 END) AS checkpoints
+    FROM events LEFT JOIN o USING (user_id) GROUP BY user_id""")
 def fold_sessions(spark, sf):
-    return state.fold_sessions(table(spark, sf, 'events').select(c('user_id').alias('session'), 'ts', c('event_type').alias('kind')))
+    kind = F.when(c('event_type') == 'signup', 'open').when(c('event_type') == 'purchase', 'wrap').otherwise('checkpoint')
+    return state.fold_sessions(table(spark, sf, 'events').select(c('user_id').alias('session'), 'event_id', c('ts').alias('at'), kind.alias('kind'))).drop('last_seen_at')
 
 
 @query("given_once", "SELECT user_id, event_type, arg_min(value, row(ts, event_id)) AS value FROM events GROUP BY user_id, event_type")
