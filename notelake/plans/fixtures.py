@@ -55,6 +55,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Run fixture SQL over the driver tables it names."""
     used = {t: table(spark, sf_dir, t) for t in TABLES if f" {t}" in sql}
+    sql = sql.replace("{", "{{").replace("}", "}}")
     for name in sorted(used, key=len, reverse=True):
         sql = sql.replace(f"FROM {name}", f"FROM {{{name}}}").replace(f"JOIN {name}", f"JOIN {{{name}}}")
     return spark.sql(sql, **used)
