@@ -107,11 +107,6 @@ def decision_number(path: Column) -> Column:
     return F.when(found != "", found.cast("int"))
 
 
-def effective_path(path: Column, archive: str = "90_Archive") -> Column:
-    """An archived path as it was before it was archived."""
-    return F.when(F.startswith(path, F.lit(f"{archive}/")), F.substring(path, len(archive) + 2, 1_000_000)).otherwise(path)
-
-
 def resolve_path(source: Column, target: Column) -> Column:
     """A relative target against the source's directory; null if it leaves the root."""
     parts = F.concat(F.slice(segments(source), 1, F.size(segments(source)) - 1), segments(target))

@@ -14,13 +14,6 @@ from notelake.plans.registry import query
 c = F.col
 
 
-@query("classify_path", with_notes("SELECT concept_id, CASE WHEN path LIKE '90_Archive/%' THEN 'archived' WHEN path LIKE '20_Knowledge/%' THEN 'knowledge' ELSE 'workspace' END AS role, split_part(path, '/', 3) AS section FROM notes"))
-def classify_path(spark, sf):
-    parts = T.segments(c('path'))
-    role = F.when(F.element_at(parts, 1) == '90_Archive', 'archived').when(F.element_at(parts, 1) == '20_Knowledge', 'knowledge').otherwise('workspace')
-    return notes(spark, sf).select('concept_id', role.alias('role'), F.element_at(parts, 3).alias('section'))
-
-
 @query("keywords", with_notes("SELECT concept_id, concat_ws(' ', lang, tag, lifecycle) AS keywords FROM notes"))
 def keywords(spark, sf):
     return notes(spark, sf).select('concept_id', F.concat_ws(' ', 'lang', 'tag', 'lifecycle').alias('keywords'))

@@ -100,11 +100,6 @@ def written_title(spark, sf):
     return notes(spark, sf).select("concept_id", T.written_title(c("body"), c("path")).alias("title"))
 
 
-@query("effective_path", with_notes("SELECT concept_id, CASE WHEN starts_with(path, '90_Archive/') THEN substring(path, 12) ELSE path END AS effective FROM notes"))
-def effective_path(spark, sf):
-    return notes(spark, sf).select("concept_id", T.effective_path(c("path")).alias("effective"))
-
-
 @query("resolve_path", with_notes("SELECT concept_id, concat(split_part(path, '/', 1), '/', split_part(path, '/', 2), '/Context/x', cast(doc_id AS VARCHAR), '.md') AS inside, NULL::VARCHAR AS outside FROM notes"))
 def resolve_path(spark, sf):
     relative = F.concat(F.lit("../Context/./x"), c("doc_id").cast("string"), F.lit(".md"))
