@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from notelake.functions import markdown
-from notelake.operators import packs, quality
+from notelake.operators import quality
 from notelake.plans.fixtures import edges, notes, with_notes
 from notelake.plans.registry import query
 
-c = F.col
 #: A note's body with a heading, a list and a link around the document's text.
 _BODY = "concat('# ', lang, chr(10), chr(10), body, chr(10), chr(10), '## Links', chr(10), '- see [next](../', cast(doc_id AS string), '.md) and `[no](x.md)`')"
 
@@ -58,26 +57,3 @@ def validate_changed(spark, sf):
 )
 def rule_relations(spark, sf):
     return quality.rule_relations(edges(spark, sf), notes(spark, sf), ("superseded_by", "depends_on", "related_to", "closes"))
-
-
-def _items(spark, sf):
-    order = F.when(c("type") == "context", 50).when(c("type") == "standard", 100).when(c("type") == "decision", 300).when(c("type") == "task", 500).otherwise(600)
-    return notes(spark, sf).select(
-        c("source").alias("scope_id"), "concept_id", F.when(c("type").isin("log", "knowledge"), "activity").otherwise(c("type")).alias("category"), order.alias("priority"),
-        (c("type") == "standard").alias("binding"), (c("type") == "context").alias("required"), (c("doc_id") % 9 == 0).alias("stale"), F.length("body").cast("long").alias("characters"), c("lang").alias("title"),
-    )
-
-
-@query("apply_budget")
-def apply_budget(spark, sf):
-    return packs.apply_budget(_items(spark, sf))
-
-
-@query("pack_usage")
-def pack_usage(spark, sf):
-    return packs.pack_usage(packs.apply_budget(_items(spark, sf)), _items(spark, sf))
-
-
-@query("index_room", with_notes("SELECT source AS scope_id, greatest(0, cast(16000 - sum(length(lang) + 110) AS BIGINT)) AS room FROM notes GROUP BY source"))
-def index_room(spark, sf):
-    return packs.index_room(_items(spark, sf))
