@@ -41,8 +41,9 @@ def query_terms(query: Column) -> Column:
 
 
 def identifier_terms(query: Column) -> Column:
-    """Words that look like identifiers: a letter, then a hyphen or hash, and a digit."""
-    return F.filter(query_terms(query), lambda w: w.rlike(r"^[A-Za-z][A-Za-z0-9]*[-#][A-Za-z0-9-]*[0-9][A-Za-z0-9-]*$"))
+    """Words that look like identifiers: letters, digits, underscores or a leading hash, a hyphen or hash inside, a digit behind it."""
+    word = r"[\p{L}\p{N}_]"
+    return F.filter(query_terms(query), lambda w: w.rlike(rf"^[#\p{{L}}\p{{N}}_]*{word}[-#][\p{{L}}\p{{N}}_-]*\p{{Nd}}[\p{{L}}\p{{N}}_-]*$"))
 
 
 def merge_terms(*lists: Column) -> Column:
@@ -96,15 +97,18 @@ def segments(path: Column) -> Column:
     return F.split(path, "/")
 
 
+#: A numbered decision's file: adr, a series if there is one, and four digits at least.
+_NUMBERED = r"(?i)^adr-(?:([a-z][a-z0-9]*)-)?(\d{4,})(?:_|\.md$)"
+
+
 def decision_series(path: Column) -> Column:
-    """Series name of a numbered file, null without a number."""
-    found = F.regexp_extract(F.element_at(segments(path), -1), r"^([a-z]+)-(\d+)_", 1)
-    return F.when(found != "", found)
+    """Series of a numbered file in lower case, empty for the main one; null without a number."""
+    name = F.element_at(segments(path), -1)
+    return F.when(name.rlike(_NUMBERED), F.lower(F.regexp_extract(name, _NUMBERED, 1)))
 
 
 def decision_number(path: Column) -> Column:
-    found = F.regexp_extract(F.element_at(segments(path), -1), r"^([a-z]+)-(\d+)_", 2)
-    return F.when(found != "", found.cast("int"))
+    return F.regexp_extract(F.element_at(segments(path), -1), _NUMBERED, 2).try_cast("long")
 
 
 def resolve_path(source: Column, target: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from notelake.sources.shared import saved
+
 #: Relations that never second a document.
 NEVER_CORROBORATE = ("links_to", "parent", "superseded_by", "closes")
 
@@ -101,15 +103,18 @@ def expand_hits(hits: DataFrame, edges: DataFrame, hits_per_hop: int = 10) -> Da
     return placed.select("query_id", F.col("other").alias("owner"), F.col("place").alias("rank"))
 
 
-def required_closure(required: DataFrame, excepts: DataFrame, max_rounds: int = 32) -> DataFrame:
-    """Required documents, and those that except a required one, to a fixpoint."""
-    found = required.select("concept_id").distinct()
-    size = found.count()
+def required_closure(required: DataFrame, excepts: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """Required documents, and those that except a required one, to a fixpoint.
+
+    Each round joins only what the round before found, and its result is saved, so neither plan nor work
+    grows with the rounds before. A chain longer than ``max_rounds`` is an error.
+    """
+    steps = saved(excepts.select("source_id", "target_id").distinct(), "closure")
+    found = fresh = saved(required.select("concept_id").filter("concept_id is not null").distinct(), "closure")
     for _ in range(max_rounds):
-        more = excepts.join(found.select(F.col("concept_id").alias("target_id")), "target_id").select(F.col("source_id").alias("concept_id"))
-        found = found.unionByName(more).distinct()
-        grown = found.count()
-        if grown == size:
+        met = steps.join(fresh.select(F.col("concept_id").alias("target_id")), "target_id", "left_semi").select(F.col("source_id").alias("concept_id")).distinct()
+        fresh = saved(met.join(found, "concept_id", "left_anti"), "closure")
+        if fresh.isEmpty():
             return found
-        size = grown
-    raise RuntimeError("the closure did not settle")
+        found = found.unionByName(fresh)
+    raise RuntimeError(f"the closure did not settle in {max_rounds} rounds")

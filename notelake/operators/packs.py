@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from notelake.operators.graph import required_closure
 from notelake.operators.sizes import broadcast_if_small
+from notelake.sources.shared import saved
 
 #: Items of each category in a startup pack and in a deep one, items and characters of a pack.
 CAPS = {"context": 8, "standard": 6, "goal": 6, "decision": 8, "plan": 6, "walkthrough": 3, "task": 10, "activity": 3, "retrieved": 5}
@@ -102,6 +103,7 @@ def mark_required(items: DataFrame, records: DataFrame, excepts: DataFrame) -> D
     when it stands in the system's folder; one that excepts a required standard is required too, in any number of steps:
     ``excepts(source_id, target_id)``.
     """
+    items = saved(items, "items")  # read four times below
     facts = records.select("concept_id", F.col("path").alias("at"), "required_reading", "covers")
     held = items.join(facts, "concept_id", "left")
     default = F.coalesce("required_reading", F.startswith("at", F.lit("50_System/")))
@@ -173,7 +175,7 @@ def apply_budget(items: DataFrame, limit: int = CHARACTERS, most: int = ITEMS, d
     bodies (``most`` if None), or the room spent. An item without characters has no body and no reason.
     The greedy step is a fold over the sizes of one pack.
     """
-    kept = admitted(items, most, caps)
+    kept = saved(admitted(items, most, caps), "admitted")
     rooms = index_room(kept, limit, response)
     documents = most if documents is None else documents
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from notelake.functions.words import stem_tokens, word_count
 from notelake.operators.retrieval import FIELD_WEIGHTS, asked_stems, idf, ranked_hits, saturated
 from notelake.operators.sizes import broadcast_if_small, spread
+from notelake.sources.shared import shared_dir
 
 
 class Index(NamedTuple):
@@ -88,6 +90,11 @@ def write_index(index: Index, path: str) -> Index:
     return read_index(spark, path)
 
 
+def kept_for_searches(index: Index) -> Index:
+    """The index written to the shared folder for the searches of one job."""
+    return write_index(index, f"{shared_dir(index.postings.sparkSession)}/index-{uuid.uuid4().hex}")
+
+
 def read_index(spark, path: str) -> Index:
     return Index(*(spark.read.parquet(f"{path}/{name}") for name in Index._fields))
 

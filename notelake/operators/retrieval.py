@@ -128,7 +128,11 @@ def rrf(candidates: DataFrame, k: int = RRF_K) -> DataFrame:
     return fused.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "owner")))
 
 
-def lift_successors(ranked: DataFrame, supersedes: DataFrame, max_moves: int = 8) -> DataFrame:
+#: Moves that a list is reordered by at most: supersession can run in a circle.
+MOVES = 8
+
+
+def lift_successors(ranked: DataFrame, supersedes: DataFrame, max_moves: int = MOVES) -> DataFrame:
     """A superseded document never outranks its replacement: the replacement is moved to its place.
 
     ``ranked(query_id, owner, rank)`` and ``supersedes(old, new)``. Only queries whose list holds such a

@@ -47,6 +47,10 @@ SELECT cast(o_orderkey AS string) AS external_id, cast(o_custkey AS string) AS p
 FROM orders
 """
 
+#: Decisions' files: with and without a series, with too few digits, of other kinds.
+NUMBERED = """SELECT concat('n', lpad(cast(doc_id AS string), 9, '0')) AS concept_id, concat(source, '/Decisions/', CASE doc_id % 6 WHEN 0 THEN concat('adr-', lpad(cast(doc_id % 70 AS string), 4, '0'), '_', lang, '.md') WHEN 1 THEN concat('ADR-', lang, '-', lpad(cast(doc_id % 90 AS string), 5, '0'), '.md')
+  WHEN 2 THEN concat('adr-', cast(doc_id % 90 AS string), '_x.md') WHEN 3 THEN concat('adr-', upper(lang), '-', lpad(cast(doc_id % 50 AS string), 4, '0'), '_y.md') WHEN 4 THEN concat('plan-', lpad(cast(doc_id % 50 AS string), 4, '0'), '_z.md') ELSE concat('adr-', lpad(cast(doc_id % 70 AS string), 4, '0'), 'z.md') END) AS path FROM documents"""
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -65,6 +69,10 @@ def notes(spark, sf_dir):
     return view(spark, sf_dir, NOTES)
 
 
+def numbered(spark, sf_dir):
+    return view(spark, sf_dir, NUMBERED)
+
+
 def edges(spark, sf_dir):
     return view(spark, sf_dir, EDGES)
 
@@ -87,3 +95,10 @@ def with_links(sql: str) -> str:
 
 def with_items(sql: str) -> str:
     return f"WITH items AS ({ITEMS.replace('AS string', 'AS VARCHAR')}) {sql}"
+
+
+def with_numbered(sql: str) -> str:
+    """Numbered files with their folder, series and number."""
+    found = "regexp_extract(list_extract(string_split(path, '/'), -1), '^adr-(?:([a-z][a-z0-9]*)-)?([0-9]{{4,}})(?:_|\\.md$)', {n}, 'i')"
+    parts = f"SELECT concept_id, regexp_replace(path, '/[^/]*$', '') AS folder, CASE WHEN {found.format(n=0)} <> '' THEN lower({found.format(n=1)}) END AS series, cast(nullif({found.format(n=2)}, '') AS BIGINT) AS number FROM numbered"
+    return f"WITH numbered AS ({NUMBERED.replace('AS string', 'AS VARCHAR')}), parts AS ({parts}) {sql}"

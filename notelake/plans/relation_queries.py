@@ -6,10 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from notelake.functions import text as T
-from notelake.operators import graph, metadata, retrieval, state
+from notelake.operators import graph, metadata, postings, retrieval, state
+from notelake.operators import search as documents
 from notelake.operators.ranking import top_k
+from notelake.operators.sizes import spread
 from notelake.plans import stem_sql
-from notelake.plans.fixtures import edges, items, links, notes, table, with_items, with_links, with_notes
+from notelake.plans.fixtures import edges, items, links, notes, numbered, table, with_items, with_links, with_notes, with_numbered
 from notelake.plans.registry import query
 
 c = F.col
@@ -117,14 +119,14 @@ def near_duplicate_tags(spark, sf):
     return metadata.near_duplicate_tags(notes(spark, sf))
 
 
-@query("duplicate_numbers", with_notes("SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY folder, series, number) AS holders FROM (SELECT concept_id, regexp_replace(path, '/[^/]*$', '') AS folder, regexp_extract(path, '([a-z]+)-(\\d+)_[^/]*$', 1) AS series, cast(regexp_extract(path, '([a-z]+)-(\\d+)_[^/]*$', 2) AS INTEGER) AS number FROM notes)) WHERE holders > 1"))
+@query("duplicate_numbers", with_numbered("SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY folder, series, number) AS holders FROM parts WHERE series IS NOT NULL) WHERE holders > 1"))
 def duplicate_numbers(spark, sf):
-    return metadata.duplicate_numbers(notes(spark, sf))
+    return metadata.duplicate_numbers(numbered(spark, sf))
 
 
-@query("next_number", with_notes("SELECT folder, series, max(number) + 1 AS next FROM (SELECT regexp_replace(path, '/[^/]*$', '') AS folder, regexp_extract(path, '([a-z]+)-(\\d+)_[^/]*$', 1) AS series, cast(regexp_extract(path, '([a-z]+)-(\\d+)_[^/]*$', 2) AS INTEGER) AS number FROM notes) GROUP BY folder, series"))
+@query("next_number", with_numbered("SELECT folder, series, max(number) + 1 AS next FROM parts WHERE series IS NOT NULL GROUP BY folder, series"))
 def next_number(spark, sf):
-    return metadata.next_number(notes(spark, sf))
+    return metadata.next_number(numbered(spark, sf))
 
 
 @query("broken_links", with_links("SELECT page_id, href FROM links WHERE href NOT IN (SELECT url FROM pages)"))
@@ -449,13 +451,38 @@ def topk_per_query(spark, sf):
     return retrieval.rrf(_lanes(spark, sf)).filter('rank <= 10').select('query_id', 'owner', 'rank')
 
 
-@query("search", with_notes(f""", {_BM25} SELECT query_id, concept_id AS owner, path, lang, cast(rank AS INTEGER) AS rank FROM
-(SELECT s.query_id, n.concept_id, n.path, n.lang, row_number() OVER (PARTITION BY s.query_id ORDER BY s.score DESC, s.doc_id) AS rank FROM scored s JOIN notes n USING (doc_id) WHERE n.lang IN ('en', 'de') AND NOT starts_with(n.path, '90_Archive/')) WHERE rank <= 10"""))
+#: Paragraphs of notes as chunks, each with a line that names the note; items ask for words and one of the names.
+_NAMED = "concat(text, chr(10), 'see ref-', cast(doc_id % 97 AS VARCHAR), '.')"
+_CHUNKS = f"""parts AS (SELECT doc_id AS owner, place, part, md5(concat(cast(doc_id AS VARCHAR), '-', cast(place AS VARCHAR), '-', part)) AS chunk_key FROM (SELECT doc_id, generate_subscripts(p, 1) - 1 AS place, unnest(p) AS part FROM (SELECT doc_id, string_split({_NAMED}, chr(10)) AS p FROM documents))),
+  items AS (SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN concat(text, ' REF-', cast(item_id % 97 AS VARCHAR)) ELSE text END AS text FROM benchmark)"""
+
+
+def _scores(asked: str, name: str) -> str:
+    return f"""{name} AS (SELECT query_id, chunk_key, round(sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / a))), 9) AS score FROM {asked} JOIN df USING (token) JOIN tf USING (token) JOIN lens USING (chunk_key), st GROUP BY 1, 2)"""
+
+
+@query("search", f"""WITH {_CHUNKS}, {stem_sql.stems({'parts': 'part', 'items': 'text'})}, tf AS (SELECT chunk_key, stem AS token, count(*)::DOUBLE AS f FROM (SELECT chunk_key, unnest({stem_sql.words('part')}) AS token FROM parts) JOIN stems USING (token) GROUP BY 1, 2), lens AS (SELECT chunk_key, len({stem_sql.words('part')}) AS len FROM parts), st AS (SELECT count(*) AS n, avg(len) AS a FROM lens), df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
+  asked AS (SELECT DISTINCT query_id, stem AS token FROM (SELECT query_id, unnest({_WORDS}) AS token FROM items) JOIN stems USING (token)), named AS (SELECT query_id, stem AS token, at_id FROM (SELECT query_id, concat('ref-', cast(query_id % 97 AS VARCHAR)) AS at_id, unnest(['ref', cast(query_id % 97 AS VARCHAR)]) AS token FROM items WHERE query_id % 2 = 0) JOIN stems USING (token)),
+  {_scores('asked', 'lexical')}, {_scores('named', 'named_scores')}, lanes AS (SELECT query_id, chunk_key, score, 1 AS lane FROM lexical UNION ALL SELECT s.query_id, s.chunk_key, s.score, 0 FROM named_scores s JOIN parts p USING (chunk_key) WHERE list_contains(regexp_split_to_array(lower(p.part), '[^\\p{{L}}\\p{{N}}_-]+'), concat('ref-', cast(s.query_id % 97 AS VARCHAR)))),
+  best AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_key ORDER BY lane, score DESC) AS k FROM lanes), placed AS (SELECT query_id, chunk_key, row_number() OVER (PARTITION BY query_id ORDER BY lane, score DESC, chunk_key) AS r FROM best WHERE k = 1),
+  fused AS (SELECT query_id, owner, min(r) AS r, arg_min(chunk_key, r) AS chunk_key FROM placed JOIN parts USING (chunk_key) GROUP BY 1, 2), ordered AS (SELECT query_id, owner, chunk_key, row_number() OVER (PARTITION BY query_id ORDER BY round(1.0 / (60 + r), 12) DESC, owner) AS p FROM fused),
+  lifted AS (SELECT o.*, CASE WHEN w.p < o.p THEN w.p ELSE o.p END AS q, CASE WHEN w.p < o.p THEN 0 ELSE 1 END AS first FROM ordered o LEFT JOIN ordered w ON w.query_id = o.query_id AND o.owner % 4 = 3 AND w.owner = o.owner - 1),
+  shown AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY q, first) AS rank FROM lifted WHERE owner % 10 <> 9), flat AS (SELECT s.query_id, s.owner, s.rank, trim(regexp_replace(p.part, '[ \\t\\n\\r\\f]+', ' ', 'g')) AS f, place FROM shown s JOIN parts p USING (chunk_key) WHERE rank <= 10)
+  SELECT query_id, owner, cast(rank AS INTEGER) AS rank, CASE WHEN length(f) <= 320 THEN f ELSE concat(rtrim(left(f, 319)), '…') END AS passage, cast(place AS INTEGER) AS start_line FROM flat""")
 def search(spark, sf):
-    """Scope and archive act before ranks are given: each item gets its first ten admitted notes."""
-    admitted = metadata.exclude_archive(notes(spark, sf).filter(c('lang').isin('en', 'de'))).select('doc_id', c('concept_id').alias('owner'), 'path', 'lang')
-    found = retrieval.bm25_search(table(spark, sf, 'documents'), _asked(spark, sf), 'doc_id', {'text': 'text'}, 10, admitted.select('doc_id'))
-    return found.join(admitted, 'doc_id').select('query_id', 'owner', 'path', 'lang', 'rank')
+    """The first ten documents of each item by their paragraphs, each with its passage.
+
+    Every tenth document is archived, and of each four neighbours the last replaces the one before it.
+    """
+    docs = table(spark, sf, 'documents')
+    named = F.concat('text', F.lit('\nsee ref-'), (c('doc_id') % 97).cast('string'), F.lit('.'))
+    cut = spread(docs.select('doc_id', named.alias('text'))).select(c('doc_id').alias('owner'), F.posexplode(F.split('text', '\n')).alias('ordinal', 'text'))
+    chunks = cut.withColumns({'chunk_key': F.md5(F.concat_ws('-', c('owner').cast('string'), c('ordinal').cast('string'), 'text')), 'start_line': c('ordinal'), 'end_line': c('ordinal')})
+    index = postings.kept_for_searches(postings.index_of(chunks.select('owner', c('chunk_key').alias('chunk'), 'text'), {'text': 'text'}))
+    asked = table(spark, sf, 'benchmark').select(c('item_id').alias('query_id'), F.when(c('item_id') % 2 == 0, F.concat('text', F.lit(' REF-'), (c('item_id') % 97).cast('string'))).otherwise(c('text')).alias('text'))
+    archived = docs.filter('doc_id % 10 = 9').select(c('doc_id').alias('owner'))
+    over = docs.filter('doc_id % 4 = 2').select(c('doc_id').alias('old'), (c('doc_id') + 1).alias('new'))
+    return documents.search_documents(index, asked, chunks, archived, over).select('query_id', 'owner', 'rank', 'passage', 'start_line')
 
 
 @query("recall_at_k", f"""WITH {_BM25},

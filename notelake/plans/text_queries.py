@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from notelake.functions import text as T
-from notelake.plans.fixtures import links, notes, table, with_links, with_notes
+from notelake.plans.fixtures import links, notes, numbered, table, with_links, with_notes, with_numbered
 from notelake.plans.registry import query
 
 c = F.col
@@ -45,7 +45,7 @@ _Q = "concat('\"', split_part(text, ' ', 1), ' ', split_part(text, ' ', 2), '\"
     "parse_query",
     f"""SELECT item_id, list_filter(regexp_extract_all(q, '"([^"]*)"', 1), lambda p: p <> '') AS phrases,
     list_filter(string_split_regex(regexp_replace(q, '"[^"]*"', ' ', 'g'), '\\s+'), lambda w: w <> '') AS terms,
-    list_filter(list_filter(string_split_regex(regexp_replace(q, '"[^"]*"', ' ', 'g'), '\\s+'), lambda w: w <> ''), lambda w: regexp_full_match(w, '[A-Za-z][A-Za-z0-9]*[-#][A-Za-z0-9-]*[0-9][A-Za-z0-9-]*')) AS identifiers
+    list_filter(list_filter(string_split_regex(regexp_replace(q, '"[^"]*"', ' ', 'g'), '\\s+'), lambda w: w <> ''), lambda w: regexp_full_match(w, '[#\\p{{L}}\\p{{N}}_]*[\\p{{L}}\\p{{N}}_][-#][\\p{{L}}\\p{{N}}_-]*\\p{{Nd}}[\\p{{L}}\\p{{N}}_-]*')) AS identifiers
     FROM (SELECT item_id, {_Q} AS q FROM benchmark)""",
 )
 def parse_query(spark, sf):
@@ -90,9 +90,9 @@ def declared_item(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", T.declared_item(c("text")).alias("item"))
 
 
-@query("decision_number", with_notes(r"SELECT concept_id, regexp_extract(list_extract(string_split(path, '/'), -1), '^([a-z]+)-(\d+)_', 1) AS series, cast(regexp_extract(list_extract(string_split(path, '/'), -1), '^([a-z]+)-(\d+)_', 2) AS INTEGER) AS number FROM notes"))
+@query("decision_number", with_numbered("SELECT concept_id, series, number FROM parts"))
 def decision_number(spark, sf):
-    return notes(spark, sf).select("concept_id", T.decision_series(c("path")).alias("series"), T.decision_number(c("path")).alias("number"))
+    return numbered(spark, sf).select("concept_id", T.decision_series(c("path")).alias("series"), T.decision_number(c("path")).alias("number"))
 
 
 @query("written_title", with_notes(r"SELECT concept_id, replace(regexp_replace(list_extract(string_split(path, '/'), -1), '\.md$', ''), '-', ' ') AS title FROM notes"))

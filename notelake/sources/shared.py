@@ -1,8 +1,9 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and tables saved in it."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -16,4 +17,14 @@ def shared_dir(spark: SparkSession) -> str:
         return root
     if spark.sparkContext.master.partition("[")[0] != "local":
         raise ValueError(f"set {_CONF} to a folder that driver and executors share")
-    return "file://" + tempfile.mkdtemp(prefix="spark-notelake-", dir="/tmp")
+    root = getattr(spark.sparkContext, "_notelake_shared", None)
+    if root is None:
+        root = spark.sparkContext._notelake_shared = "file://" + tempfile.mkdtemp(prefix="spark-notelake-", dir="/tmp")
+    return root
+
+
+def saved(df, name: str):
+    """The table written under the shared folder and read back: computed once, and safe when an executor is lost."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
