@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from notelake.functions.words import stem_tokens, word_count
 from notelake.operators.retrieval import FIELD_WEIGHTS, asked_stems, idf, ranked_hits, saturated
 from notelake.operators.sizes import broadcast_if_small, spread
-from notelake.sources.shared import shared_dir
+from notelake.sources.shared import saved, shared_dir
 
 
 class Index(NamedTuple):
@@ -26,19 +26,22 @@ class Index(NamedTuple):
     terms: DataFrame
     totals: DataFrame
     lengths: DataFrame
+    #: Whether terms and totals are kept by differences, not counted over the postings at hand.
+    kept: bool = True
 
 
 def index_of(chunks: DataFrame, fields: dict[str, str]) -> Index:
     """An index of ``chunks(owner, chunk, fields...)``; ``chunk`` names a chunk in the whole table."""
-    chunks = spread(chunks.select("owner", "chunk", *dict.fromkeys(fields.values())))
-    length = sum((word_count(F.col(c)) for c in fields.values()), F.lit(0)).cast("long")
+    columns = list(dict.fromkeys(fields.values()))
+    # Words are counted beside the text, before it is exploded.
+    chunks = spread(chunks.select("owner", "chunk", *columns)).select("owner", "chunk", *columns, sum((word_count(F.col(c)) for c in fields.values()), F.lit(0)).cast("long").alias("len"))
     each = None
     for field, column in fields.items():
-        part = chunks.select("owner", "chunk", length.alias("len"), F.lit(FIELD_WEIGHTS.get(field, 1.0)).alias("weight"), F.explode(stem_tokens(F.col(column))).alias("token"))
+        part = chunks.select("owner", "chunk", "len", F.lit(FIELD_WEIGHTS.get(field, 1.0)).alias("weight"), F.explode(stem_tokens(F.col(column))).alias("token"))
         each = part if each is None else each.unionByName(part)
     postings = each.groupBy("owner", "chunk", "len", "token").agg(F.sum("weight").alias("f")).select("owner", "chunk", "token", "f", "len")
-    lengths = chunks.select("owner", "chunk", length.alias("len"))
-    return Index(postings, _terms(postings), _totals(lengths), lengths)
+    lengths = chunks.select("owner", "chunk", "len")
+    return Index(postings, _terms(postings), _totals(lengths), lengths, kept=False)
 
 
 def _terms(postings: DataFrame) -> DataFrame:
@@ -77,16 +80,18 @@ def _summed(before: DataFrame, lost: DataFrame, won: DataFrame) -> DataFrame:
 
 
 def write_index(index: Index, path: str) -> Index:
-    """The index as Parquet under ``path``, postings ordered by stem so that a search skips what it does not ask for."""
+    """The index as Parquet under ``path``; each file of postings is ordered by stem, so a search skips what it does not ask for.
+
+    Postings are computed once: where terms and totals are counts over a new index they are counted
+    over what was written.
+    """
     spark = index.postings.sparkSession
-    tables = {
-        "postings": index.postings.repartitionByRange("token").sortWithinPartitions("token", "chunk"),
-        "terms": index.terms.repartitionByRange("token").sortWithinPartitions("token"),
-        "totals": index.totals.coalesce(1),
-        "lengths": index.lengths,
-    }
-    for name, table in tables.items():
-        table.write.mode("error").parquet(f"{path}/{name}")
+    index.postings.sortWithinPartitions("token", "chunk").write.mode("error").parquet(f"{path}/postings")
+    index.lengths.write.mode("error").parquet(f"{path}/lengths")
+    postings, lengths = (spark.read.parquet(f"{path}/{t}") for t in ("postings", "lengths"))
+    terms, totals = (index.terms, index.totals) if index.kept else (_terms(postings), _totals(lengths))
+    terms.sortWithinPartitions("token").write.mode("error").parquet(f"{path}/terms")
+    totals.coalesce(1).write.mode("error").parquet(f"{path}/totals")
     return read_index(spark, path)
 
 
@@ -96,28 +101,37 @@ def kept_for_searches(index: Index) -> Index:
 
 
 def read_index(spark, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{name}") for name in Index._fields))
+    return Index(*(spark.read.parquet(f"{path}/{name}") for name in Index._fields[:4]))
 
 
 #: Distinct asked stems that are pushed into the scan as values at most.
 PUSHED_STEMS = 10_000
 
 
-def search_index(index: Index, queries: DataFrame, limit: int | None = None, scope: DataFrame | None = None) -> DataFrame:
-    """``(query_id, chunk, score, rank)`` of ``queries(query_id, text)``: BM25 from the kept postings, no text is read.
-
-    Few asked stems go into the scans as values, so that row groups without them are skipped; many are
-    joined. ``scope`` holds the admitted chunks, for all queries or by ``query_id``, and acts before ranks.
-    """
-    asked = asked_stems(queries)
+def _parts(index: Index, queries: DataFrame) -> DataFrame:
+    """What each asked stem adds to each chunk's score, for each query."""
+    asked = saved(asked_stems(queries), "asked")
     stems = [r["token"] for r in asked.select("token").distinct().limit(PUSHED_STEMS + 1).collect()]
     postings, terms = index.postings, index.terms
     if len(stems) <= PUSHED_STEMS:
         postings, terms = (t.filter(F.col("token").isin(stems)) for t in (postings, terms))
     totals = index.totals.select("chunks", (F.col("words") / F.col("chunks")).alias("avglen"))
-    scored = (
+    return (
         postings.join(asked.join(terms, "token"), "token")
         .join(F.broadcast(totals))  # one row
         .withColumn("part", idf(F.col("chunks"), F.col("df")) * saturated(F.col("f"), F.col("len"), F.col("avglen")))
     )
-    return ranked_hits(scored, "chunk", limit, scope)
+
+
+def scored_chunks(index: Index, queries: DataFrame) -> DataFrame:
+    """``(query_id, owner, chunk, score)`` of all chunks that hold an asked stem, without ranks."""
+    return _parts(index, queries).groupBy("query_id", "owner", "chunk").agg(F.round(F.sum("part"), 9).alias("score"))
+
+
+def search_index(index: Index, queries: DataFrame, limit: int | None = None, scope: DataFrame | None = None) -> DataFrame:
+    """``(query_id, chunk, score, rank)`` of ``queries(query_id, text)``: BM25 from the kept postings, no text is read.
+
+    Few asked stems go into the scans as values, so that row groups without them are skipped; many are
+    joined. ``scope`` holds the admitted chunks, for all queries or by ``query_id``, and acts before ranks.
+    """
+    return ranked_hits(_parts(index, queries), "chunk", limit, scope)

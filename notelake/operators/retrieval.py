@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from notelake.functions.words import stem_tokens, word_count, words
 from notelake.operators.sizes import spread
+from notelake.sources.shared import saved
 
 #: BM25 and reciprocal rank fusion constants, field weights.
 K1, B, RRF_K = 1.2, 0.75, 60
@@ -49,6 +50,10 @@ def saturated(f, length, average):
     return f * (K1 + 1) / (f + K1 * (1 - B + B * length / average))
 
 
+#: Distinct asked stems that a search carries as values at most; more are joined.
+INLINE_STEMS = 10_000
+
+
 def bm25_search(chunks: DataFrame, queries: DataFrame, key: str, fields: dict[str, str], limit: int | None = None, scope: DataFrame | None = None) -> DataFrame:
     """``(query_id, key, score, rank)``: chunks that hold any stem of ``queries(query_id, text)``.
 
@@ -58,19 +63,20 @@ def bm25_search(chunks: DataFrame, queries: DataFrame, key: str, fields: dict[st
     counts admitted chunks only, while statistics stay those of all chunks. Ties are broken by the key.
     Searches that repeat over one corpus keep its postings instead, see ``operators.postings``.
     """
-    asked = asked_stems(queries)
-    chunks = spread(chunks.select(key, *dict.fromkeys(fields.values())))
-    wanted = asked.select("token").distinct()
-    lengths = sum((word_count(F.col(c)) for c in fields.values()), F.lit(0)).cast("long")
+    asked = saved(asked_stems(queries), "asked")
+    stems = [r["token"] for r in asked.select("token").distinct().limit(INLINE_STEMS + 1).collect()]
+    columns = list(dict.fromkeys(fields.values()))
+    chunks = spread(chunks.select(key, *columns))
+    # Counted beside the text, before it is exploded: behind the explosion it would be counted for every token.
+    measured = chunks.select(key, *columns, sum((word_count(F.col(c)) for c in fields.values()), F.lit(0)).cast("long").alias("len"))
     each = None
     for field, column in fields.items():
-        part = chunks.select(key, lengths.alias("len"), F.lit(FIELD_WEIGHTS.get(field, 1.0)).alias("weight"), F.explode(stem_tokens(F.col(column))).alias("token"))
-        part = part.join(wanted, "token", "left_semi")
+        part = measured.select(key, "len", F.lit(FIELD_WEIGHTS.get(field, 1.0)).alias("weight"), F.explode(stem_tokens(F.col(column))).alias("token"))
+        part = part.filter(F.col("token").isin(stems)) if len(stems) <= INLINE_STEMS else part.join(asked.select("token").distinct(), "token", "left_semi")
         each = part if each is None else each.unionByName(part)
-    hits = each.groupBy(key, "len", "token").agg(F.sum("weight").alias("f"))
+    hits = saved(each.groupBy(key, "len", "token").agg(F.sum("weight").alias("f")), "hits")  # counted and scored
     corpus = chunk_lengths(chunks, key, fields).agg(F.count("*").alias("chunks"), F.avg("len").alias("avglen"))
-    # Counting f and not rows keeps both uses of the hits alike, so that one exchange serves them.
-    stats = hits.groupBy("token").agg(F.count("f").alias("df"))
+    stats = hits.groupBy("token").agg(F.count("*").alias("df"))
     scored = (
         hits.join(asked.join(stats, "token"), "token")
         .join(F.broadcast(corpus))  # one row

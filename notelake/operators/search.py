@@ -10,48 +10,47 @@ from notelake.operators import curation, postings, references, retrieval
 from notelake.sources.shared import saved
 
 
-def ranked_chunks(index: postings.Index, queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``(query_id, owner, chunk_key, rank)``: chunks that hold an identifier of the query whole, then those that hold its words.
+def best_chunks(index: postings.Index, queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``(query_id, owner, best)``: the best chunk of each document that a query meets, as a struct ``(lane, worse, chunk_key)``.
 
-    Within both, BM25 decides, of the identifiers' words and of all words; ties by the chunk. A chunk has
-    its first place only. ``chunks(owner, chunk_key, text)`` are the indexed ones.
+    Chunks that hold an identifier of the query whole come before those that hold its words; within both
+    BM25 decides, of the identifiers' words and of all words; ties by the chunk. Structs compare in that order.
+    ``chunks(owner, chunk_key, text)`` are the indexed ones.
     """
     named = saved(queries.select("query_id", F.explode(F.array_distinct(identifier_terms(F.col("text")))).alias("identifier")), "identifiers")
-    words = postings.search_index(index, queries.select("query_id", "text")).select("query_id", F.col("chunk").alias("chunk_key"), "score", F.lit(1).alias("lane"))
+    met = postings.scored_chunks(index, queries.select("query_id", "text")).withColumn("lane", F.lit(1))
     if not named.isEmpty():
-        whole = curation.exact_identifier_lane(named, chunks, "chunk_key", "text").select("query_id", F.col("owner").alias("chunk_key")).distinct()
+        whole = curation.exact_identifier_lane(named, chunks, "chunk_key", "text").select("query_id", F.col("owner").alias("chunk")).distinct()
         joined = named.groupBy("query_id").agg(F.array_join(F.sort_array(F.collect_list("identifier")), " ").alias("text"))
-        scored = postings.search_index(index, joined).select("query_id", F.col("chunk").alias("chunk_key"), "score", F.lit(0).alias("lane"))
-        words = words.unionByName(scored.join(whole, ["query_id", "chunk_key"], "left_semi"))
-    best = words.groupBy("query_id", "chunk_key").agg(F.min(F.struct("lane", (-F.col("score")).alias("worse"))).alias("b"))
-    placed = curation.rank_in_query(best, F.col("b.lane"), F.col("b.worse"), F.col("chunk_key"))
-    return placed.join(chunks.select("owner", "chunk_key").distinct(), "chunk_key").select("query_id", "owner", "chunk_key", "rank")
+        met = met.unionByName(postings.scored_chunks(index, joined).join(whole, ["query_id", "chunk"], "left_semi").withColumn("lane", F.lit(0)))
+    place = F.struct("lane", (-F.col("score")).alias("worse"), F.col("chunk").alias("chunk_key"))
+    return met.groupBy("query_id", "owner").agg(F.min(place).alias("best"))
 
 
 def search_documents(index: postings.Index, queries: DataFrame, chunks: DataFrame, archived: DataFrame, supersedes: DataFrame, limit: int = 10) -> DataFrame:
     """``(query_id, owner, rank, passage, start_line, end_line, moved)``: the first ``limit`` documents of each query.
 
-    Owners are fused by their best chunk. A document never outranks one that replaced it,
-    ``supersedes(old, new)``: the replacement comes to its place. Archived owners (``archived(owner)``) are
-    left out after that and before the limit. Only the part of a list that can reach the limit is
-    reordered: owners down to the limit's last live one, and the replacements of those.
+    Documents are ordered by their best chunk; with one lane of candidates that is what fusing their
+    ranks gives. A document never outranks one that replaced it, ``supersedes(old, new)``: the
+    replacement comes to its place. Archived owners (``archived(owner)``) are left out after that and
+    before the limit. Only the part of a list that can reach the limit is reordered: owners down to the
+    limit's last live one, and the replacements of those.
     """
-    hits = saved(ranked_chunks(index, queries, chunks), "hits")
-    fused = retrieval.rrf(hits.select("query_id", "owner", "rank", F.lit("text").alias("retriever"))).select("query_id", "owner", F.col("rank").alias("place"))
-    fused = saved(fused.join(archived.select("owner").distinct().withColumn("archived", F.lit(True)), "owner", "left"), "fused")
-    live = fused.filter("archived is null").withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("place"))).filter(F.col("n") <= limit)
-    last = live.groupBy("query_id").agg(F.max("place").alias("last"))
-    reach = fused.join(last, "query_id").filter(F.col("place") <= F.col("last")).drop("last")
+    gone = archived.select("owner").distinct().withColumn("archived", F.lit(True))
+    every = saved(best_chunks(index, queries, chunks).join(gone, "owner", "left"), "hits")
+    live = every.filter("archived is null").withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("best"))).filter(F.col("n") <= limit)
+    last = live.groupBy("query_id").agg(F.max("best").alias("last"))
+    reach = saved(every.join(F.broadcast(last), "query_id").filter(F.col("best") <= F.col("last")).drop("last"), "reach")  # a row a query
     over = supersedes.select("old", "new").filter("old <> new").distinct()
+    fresh = reach
     for _ in range(retrieval.MOVES):
-        more = reach.select("query_id", F.col("owner").alias("old")).join(over, "old").select("query_id", F.col("new").alias("owner")).distinct()
-        grown = saved(reach.unionByName(fused.join(more, ["query_id", "owner"], "left_semi")).distinct(), "reach")
-        if grown.count() == reach.count():
+        more = fresh.select("query_id", F.col("owner").alias("old")).join(over, "old").select("query_id", F.col("new").alias("owner")).distinct()
+        fresh = saved(every.join(more, ["query_id", "owner"], "left_semi").join(reach.select("query_id", "owner"), ["query_id", "owner"], "left_anti"), "reach")
+        if fresh.isEmpty():
             break
-        reach = grown
-    placed = reach.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("place")))
+        reach = reach.unionByName(fresh)
+    placed = reach.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("best")))
     lifted = retrieval.lift_successors(placed.select("query_id", "owner", "rank"), over)
-    kept = lifted.join(archived.select("owner").distinct(), "owner", "left_anti")
+    kept = lifted.join(reach.filter("archived is null").select("query_id", "owner", F.col("best.chunk_key").alias("chunk_key")), ["query_id", "owner"])
     shown = kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).filter(F.col("rank") <= limit)
-    first = hits.groupBy("query_id", "owner").agg(F.min_by("chunk_key", "rank").alias("chunk_key"))
-    return references.hit_passages(shown.join(first, ["query_id", "owner"]), chunks).drop("chunk_key")
+    return references.hit_passages(shown, chunks).drop("chunk_key")
