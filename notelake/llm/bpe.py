@@ -36,8 +36,8 @@ PART = 1 << 20
 #: Bytes of a word that is folded as an array; longer ones take the same merges from a heap.
 LONGEST = 2000
 _BUCKETS = 1 << 16
-#: Pieces concatenated in one fold, and levels of folds: 64 ** 4 tokens a text.
-_FAN, _LEVELS = 64, 4
+#: Pieces concatenated in one fold, and levels of folds: 64 ** 5 ids, twice as many as an array of a row can hold (2 GB).
+_FAN, _LEVELS = 64, 5
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
