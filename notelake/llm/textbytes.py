@@ -2,15 +2,20 @@
 
 All functions take one text as ``bytes`` and run inside tasks on rows that Spark has dealt out.
 Fingerprints are polynomial hashes modulo 2**64 over mixed byte values, finished with a bijective
-mixer, so any span of a text has its fingerprint from two prefix sums.
+mixer, so any span of a text has its fingerprint from two prefix sums. Such hashes collide by
+construction on long periodic strings, so words of more than ``LONG`` bytes are named by a digest.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+#: Bytes of a word up to which its fingerprint is the polynomial one.
+LONG = 64
 _BASE = 0x9E3779B97F4A7C15
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -65,13 +70,20 @@ def word_spans(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
+def _prints_of_words(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Fingerprints of the words [start, end); those of long words are digests of their bytes."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    prints = span_prints(prefix_sums(codes), starts, ends)
+    for i in np.flatnonzero(ends - starts > LONG).tolist():
+        prints[i] = int.from_bytes(hashlib.blake2b(codes[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return prints
+
+
 def word_prints(text: bytes) -> np.ndarray:
     """One fingerprint for each word of the text, A-Z lower-cased."""
     codes = _LOWER[np.frombuffer(text, np.uint8)]
-    starts, ends = word_spans(codes)
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    return span_prints(prefix_sums(codes), starts, ends)
+    return _prints_of_words(codes, *word_spans(codes))
 
 
 def joined_word_prints(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +92,7 @@ def joined_word_prints(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = word_spans(codes)
     at = np.cumsum([0, *(len(t) + 1 for t in texts)])
     before = np.searchsorted(starts, at)
-    return (span_prints(prefix_sums(codes), starts, ends) if len(starts) else np.zeros(0, np.uint64)), before
+    return _prints_of_words(codes, starts, ends), before
 
 
 def run_prints(values: np.ndarray, n: int) -> np.ndarray:
