@@ -42,7 +42,7 @@ _RECORD = ("concept_id", "type", "path", "title", "workspace_id", "lifecycle", "
 _ITEM = ("scope_id", "concept_id", "category", "priority", "binding", "stale", "characters", "title", "path", "description")
 
 
-def structural_items(scopes: DataFrame, parents: DataFrame, records: DataFrame) -> DataFrame:
+def structural_items(scopes: DataFrame, parents: DataFrame, records: DataFrame, sections_of_parents: bool = False) -> DataFrame:
     """Everything structure puts into the pack of each of ``scopes(scope_id)``: the columns of ``_ITEM``.
 
     ``parents(scope_id, parent_id, depth)`` is the chain outward, ``records`` has the columns of ``_RECORD``. Bands:
@@ -50,14 +50,14 @@ def structural_items(scopes: DataFrame, parents: DataFrame, records: DataFrame)
     its parents and of no workspace, all binding, one of each folder in turn with those of no workspace first; open goals
     by path; decisions by lifecycle and newest first, accepted ones binding; open plans newest first; walkthroughs in
     progress, without body; open tasks by path; activity newest first. Archived records are in no band. Beyond
-    a band's width items share its last priority.
+    a band's width items share its last priority. ``sections_of_parents`` ranks the parents' sections with the scope's own.
     """
     scopes = broadcast_if_small(scopes.select("scope_id").distinct())
     live = records.select(*_RECORD).filter(~_detached(F.col("path")))
     chain = scopes.select("scope_id", F.col("scope_id").alias("at"), F.lit(0).alias("depth")).union(parents.join(scopes, "scope_id").select("scope_id", "parent_id", "depth"))
     chain = broadcast_if_small(chain)
     own = records.select(*_RECORD).join(chain, F.col("concept_id") == F.col("at")).withColumn("category", F.when(F.col("depth") == 0, "workspace").otherwise("parent")).withColumn("priority", F.col("depth"))
-    sections = live.join(scopes, F.col("workspace_id") == F.col("scope_id"))
+    sections = live.join(chain if sections_of_parents else scopes, F.col("workspace_id") == F.col("at" if sections_of_parents else "scope_id"))
 
     def band(category: str, kind: str, order: list, kept: Column | None = None) -> DataFrame:
         rows = sections.filter(F.col("type") == kind)
