@@ -3,8 +3,12 @@
 ``registry(type, field, rule, argument, code, severity)``: ``type`` is a document type or ``*`` for all.
 Rules: required; string, boolean, list, mapping (the kind of value); pattern (``argument`` is a regular
 expression that a string must match); one_of and each_one_of (``argument`` names a vocabulary);
-list_of_strings, lowercase_items and mapping_of_mappings (what the members must be, for values of the
-right kind). A null value is absent, but for boolean. ``vocabularies(name, value)`` are the lists.
+list_of_strings, lowercase_items, each_mapping and mapping_of_mappings (what the members must be, for
+values of the right kind); equals (the string ``argument`` and nothing else); reference (an identity, null
+is none); alone (the field ``argument`` must not stand beside it); members (``argument`` ``by,at``: names
+that a mapping has), member_pattern (``by,at|pattern``) and member_time (``at,by``), which judge the first
+name's value in a mapping that has all of them; each_members, each_member_pattern and each_member_time, the
+same for the mappings of a list. A null value is absent, but for boolean, reference and alone. ``vocabularies(name, value)`` are the lists.
 """
 
 from __future__ import annotations
@@ -12,14 +16,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from notelake.functions.layout import role
 from notelake.operators.records import fields_of, shape, text_of
 from notelake.operators.sizes import broadcast_if_small
 
+#: The form of a reference, of a time with an offset, and the one field that the root index may have.
+REFERENCE = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+TIME = r"^\d{4}-\d{2}-\d{2}[T ]([01]\d|2[0-3])(:[0-5]\d(:[0-5]\d([.,]\d+)?)?)?(Z|[+-]([01]\d|2[0-3])(:?[0-5]\d)?)$"
+ROOT_FIELD = "okf_version"
 #: Rules, whether the value of a field breaks them as a whole, in which case the value is named.
 _KINDS = {"string": "STRING", "boolean": "BOOLEAN", "list": "ARRAY", "mapping": "OBJECT"}
 
 
-def _broken(rule: Column, value: Column, present: Column) -> Column:
+def _is_time(text: Column) -> Column:
+    """Whether a text is a date that exists with a time and an offset."""
+    return F.coalesce(text.rlike(TIME) & F.try_to_timestamp(F.substring(text, 1, 10), F.lit("yyyy-MM-dd")).isNotNull(), F.lit(False))
+
+
+def _broken(rule: Column, value: Column, present: Column, beside: Column) -> Column:
     """The texts that break the rule: the value, or those of its members that do; empty where it holds."""
     kind, none = shape(value), F.array().cast("array<string>")
     given = kind.isNotNull() & (kind != "VOID")
@@ -33,12 +47,28 @@ def _broken(rule: Column, value: Column, present: Column) -> Column:
     for asked, wanted in _KINDS.items():
         wrong_kind = wrong_kind | ((name == asked) & (kind != wanted) & (given | F.lit(asked == "boolean")))
     text = F.when(kind == "STRING", value.try_cast("string"))
+    like = lambda tested, pattern: F.coalesce(F.regexp_like(tested, pattern), F.lit(False))
+    string = lambda x: F.when(shape(x) == "STRING", x.try_cast("string"))
+    blocks = F.transform(F.filter(F.when(F.startswith(name, F.lit("each_")), items).when(kind == "OBJECT", F.array(value)), lambda x: shape(x) == "OBJECT"), fields_of)
+    asked = F.split(F.split_part(rule["argument"], F.lit("|"), F.lit(1)), ",")
+    complete = lambda block: F.forall(asked, lambda name: F.map_contains_key(block, name))
+    # Names hold no bar, so what stands behind the first one is the pattern.
+    behind = F.regexp_replace(rule["argument"], "^[^|]*[|]", "")
+    firsts = F.transform(F.filter(blocks, complete), lambda block: F.element_at(block, F.get(asked, F.lit(0))))
+    told = lambda keep: F.coalesce(F.transform(F.filter(firsts, keep), lambda x: F.coalesce(text_of(x), F.lit("null"))), none)
     return (
         F.when(name == "required", F.when(~present, F.array(F.lit(""))).otherwise(none))
         .when(~present, none)
         .when(wrong_kind, whole)
+        .when(name == "reference", F.when(like(text, F.lit(REFERENCE)), none).otherwise(whole))
+        .when(name == "alone", F.when(F.coalesce(beside, F.lit(False)), whole).otherwise(none))
         .when(~given, none)
         .when(name == "pattern", F.when(F.coalesce(F.regexp_like(text, rule["argument"]), F.lit(False)), none).otherwise(whole))
+        .when(name == "equals", F.when(F.coalesce(text == rule["argument"], F.lit(False)), none).otherwise(whole))
+        .when(name == "each_mapping", texts(lambda x: ~shape(x).isin("OBJECT", "VOID")))
+        .when(name.isin("members", "each_members"), F.coalesce(F.transform(F.filter(blocks, lambda block: ~complete(block)), lambda block: F.array_join(F.array_sort(F.map_keys(block)), ",")), none))
+        .when(name.isin("member_pattern", "each_member_pattern"), told(lambda x: ~like(string(x), behind)))
+        .when(name.isin("member_time", "each_member_time"), told(lambda x: ~_is_time(string(x))))
         .when(name == "one_of", F.when(F.coalesce(allowed(text), F.lit(False)), none).otherwise(whole))
         .when(name == "each_one_of", texts(lambda x: F.coalesce(~allowed(F.when(shape(x) == "STRING", x.try_cast("string"))), F.lit(True))))
         .when(name == "list_of_strings", texts(lambda x: shape(x) != "STRING"))
@@ -68,10 +98,30 @@ def apply_rules(notes: DataFrame, registry: DataFrame, vocabularies: DataFrame)
     typed = held.withColumn("type", F.explode(F.array_compact(F.array(F.lit("*"), F.when(shape(kind) == "STRING", kind.try_cast("string"))))))
     each = typed.join(rules, "type").select("path", "f", F.explode("rules").alias("r"))
     value = F.element_at("f", F.col("r.field"))
-    found = each.select("path", "r", F.explode(_broken(F.col("r"), value, F.map_contains_key("f", F.col("r.field")))).alias("value"))
+    broken = _broken(F.col("r"), value, F.map_contains_key("f", F.col("r.field")), F.map_contains_key("f", F.col("r.argument")))
+    found = each.select("path", "r", F.explode(broken).alias("value"))
     return found.select("path", "r.code", "r.severity", "r.field", "value")
 
 
+def reserved_findings(notes: DataFrame) -> DataFrame:
+    """``(path, code, severity, field, value)`` of reserved files that carry the front matter of a concept.
+
+    Indexes and logs have none, but the root's index may name its format. ``value`` lists the fields that must
+    go, in order. Concepts and files of other formats are not judged here.
+    """
+    kind = role(F.col("path"))
+    names = F.map_keys(fields_of(F.col("frontmatter")))
+    wrong = F.filter(names, lambda name: ~((kind == "root_index") & (name == ROOT_FIELD)))
+    held = notes.select("path", F.when(~kind.isin("concept", "foreign_format"), F.array_sort(wrong)).alias("wrong")).filter(F.size("wrong") > 0)
+    return held.select("path", F.lit("reserved_document_has_frontmatter").alias("code"), F.lit("error").alias("severity"), F.lit("").alias("field"), F.array_join("wrong", ",").alias("value"))
+
+
+def validate(notes: DataFrame, registry: DataFrame, vocabularies: DataFrame) -> DataFrame:
+    """All findings: reserved files by their own rule, concepts by the registry, files of other formats by none."""
+    concepts = notes.filter(role(F.col("path")) == "concept")
+    return reserved_findings(notes).unionByName(apply_rules(concepts, registry, vocabularies))
+
+
 def written_vocabularies(notes: DataFrame) -> DataFrame:
     """``(name, value)`` of the registry documents among the notes: their ``registry`` field names the list, ``values`` holds it."""
     held = notes.select(fields_of(F.col("frontmatter")).alias("f"))

@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def _load() -> None:
     import importlib
 
-    for module in ("text_queries", "relation_queries", "note_queries", "more_queries", "curation_queries", "index_queries", "upkeep_queries", "record_queries", "layout_queries", "pack_queries", "focus_queries"):
+    for module in ("text_queries", "relation_queries", "note_queries", "more_queries", "curation_queries", "index_queries", "upkeep_queries", "record_queries", "layout_queries", "pack_queries", "focus_queries", "rule_queries", "identity_queries"):
         importlib.import_module(f"notelake.plans.{module}")
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from notelake.functions import layout
-from notelake.operators import placement, records, reconcile, references, rules
+from notelake.operators import identity, placement, records, reconcile, references, rules
 
 ID = "0190a000-0000-7000-8000-00000000000"
 
@@ -107,3 +107,32 @@ def test_session_log(spark):
     df = spark.createDataFrame(rows, "session string, event_id long, t int, kind string").withColumn("at", F.timestamp_seconds("t"))
     got = {r.event_id: (r.outcome, r.place) for r in reconcile.session_log(df).collect()}
     assert got == {1: ("refused", None), 2: ("opened", None), 3: ("logged", 1), 4: ("logged", 2), 5: ("refused", None), 6: ("wrapped", None), 7: ("ignored", None), 8: ("logged", 3), 9: ("refused", None), 10: ("refused", None)}
+
+
+def test_blocks_references_and_reserved_files(spark):
+    made = notes(spark, ['{"by":{"who":"a","at":"2024-02-29T10:00:00+02:00"}}', '{"by":[{"who":"B","at":"2023-02-29T10:00:00Z"},null,{"who":"c"},7]}', '{"home":null,"area":1}', '{"schema":"2"}'])
+    none = spark.createDataFrame([], "name string, value string")
+
+    def found(*rule):
+        return sorted((r.path, r.value) for r in rules.apply_rules(made, spark.createDataFrame([("*", *rule, "code", "error")], REGISTRY), none).collect())
+
+    assert found("by", "members", "who,at") == [] and found("by", "each_members", "who,at") == [("n/1.md", "who")]
+    assert found("by", "each_member_pattern", "who,at|^[a-z]$") == [("n/1.md", "B")] and found("by", "member_pattern", "who,at|^[b-z|]$") == [("n/0.md", "a")]
+    assert found("by", "member_time", "at,who") == [] and found("by", "each_member_time", "at,who") == [("n/1.md", "2023-02-29T10:00:00Z")]
+    assert found("by", "each_mapping", None) == [("n/1.md", "7")]
+    assert found("home", "reference", None) == [("n/2.md", "null")] and found("area", "alone", "home") == [("n/2.md", "1")] and found("area", "alone", "other") == []
+    assert found("schema", "equals", "2") == [] and found("schema", "equals", "1") == [("n/3.md", "2")]
+    files = [("index.md", '{"okf_version":1,"type":"x"}'), ("a/index.md", '{"okf_version":1}'), ("a/log.md", "{}"), ("a/b.md", '{"type":"x"}'), ("index.md", '{"okf_version":1}'), ("a/log.md", None)]
+    held = spark.createDataFrame(files, "path string, fm string").select("path", F.parse_json("fm").alias("frontmatter"))
+    assert sorted((r.path, r.value) for r in rules.reserved_findings(held).collect()) == [("a/index.md", "okf_version"), ("index.md", "type")]
+
+
+def test_identities(spark):
+    kind = "path string, concept_id string, type string"
+    rows = [("a.md", "i1", "note"), ("b.md", "i1", "note"), ("c.md", None, None), ("d.md", None, None), ("00_Inbox/e.md", None, None), ("x/log.md", None, None), ("f.md", None, None), ("s.md", "i9", "system_manifest")]
+    known = spark.createDataFrame([("c.md", "i5"), ("f.md", "i1")], "path string, concept_id string")
+    made = {(r.path, r.code, r.value) for r in identity.identity_checks(spark.createDataFrame(rows, kind), known).collect()}
+    assert made == {("a.md", "duplicate_id", "i1"), ("b.md", "duplicate_id", "i1"), ("c.md", "identity_lost", "i5"), ("d.md", "untracked_document", ""), ("f.md", "identity_lost", "i1"), ("s.md", "duplicate_vault_identity", "i9"), ("50_System/system.md", "no_vault_identity", "")}
+    there = identity.identity_checks(spark.createDataFrame([("50_System/system.md", "i0", "system_manifest")], kind), known)
+    assert there.count() == 0
+    assert [r.code for r in identity.identity_checks(spark.createDataFrame([], kind), known).collect()] == ["no_vault_identity"]
