@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notelake.functions.text import excerpt, resolve_path
+from notelake.operators.sizes import broadcast_if_small
+from notelake.sources.shared import saved
 
 #: Endings that make a link target a file, and characters that make it a pattern.
 SUFFIXES = (".md", ".py", ".toml", ".yml", ".yaml", ".json", ".sh", ".cfg", ".ini")
@@ -69,6 +71,9 @@ def hit_passages(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     the opening chunk is shown and ``moved`` says so. Without chunks there is no passage; a hit
     without a key points at none and did not move.
     """
+    # Only the hits' documents are cut and gathered: the owners go to the chunks, not the texts to the hits.
+    hits = saved(hits, "hits")
+    chunks = chunks.join(broadcast_if_small(hits.select("owner").distinct()), "owner", "left_semi")
     # One row an owner and key, and one for each opening: neither join can multiply the hits.
     now = chunks.groupBy("owner", "chunk_key").agg(F.min_by(F.struct("text", "start_line", "end_line"), "ordinal").alias("here"))
     opening = chunks.groupBy("owner").agg(F.min_by(F.struct("text", "start_line", "end_line"), "ordinal").alias("opening"))

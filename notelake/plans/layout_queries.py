@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from notelake.functions import layout
 from notelake.operators import placement, postings, references
+from notelake.operators.sizes import broadcast_if_small
 from notelake.plans import stem_sql
 from notelake.plans.fixtures import table, view
 from notelake.plans.registry import query
+from notelake.sources.shared import saved
 
 c = F.col
 
@@ -146,5 +148,5 @@ def hit_passage(spark, sf):
     index = postings.index_of(was.select("owner", c("chunk_key").alias("chunk"), "text"), {"text": "text"})
     asked = table(spark, sf, "benchmark").select(c("item_id").alias("query_id"), "text")
     found = postings.search_index(index, asked, 5).select("query_id", c("chunk").alias("chunk_key"))
-    hits = found.join(was.select("owner", "chunk_key").distinct(), "chunk_key")
+    hits = was.select("owner", "chunk_key").join(broadcast_if_small(saved(found, "found")), "chunk_key").distinct()
     return references.hit_passages(hits, now).select("query_id", "owner", "passage", "start_line", "moved")
