@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from notelake.sources.shared import saved
+
 
 def diff_snapshots(old: DataFrame, new: DataFrame) -> DataFrame:
     """``(concept_id, change)`` between ``(concept_id, path, content_hash)``: new, changed, moved, missing."""
@@ -79,6 +81,27 @@ def latest_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFr
 
 
 def coalesce_changes(changes: DataFrame, path: str, gap: str = "750 milliseconds") -> DataFrame:
-    """Batches of distinct paths released after a quiet gap: ``(start, end, paths)``; batch or stream."""
-    session = changes.groupBy(F.session_window("ts", gap).alias("w")).agg(F.array_sort(F.collect_set(path)).alias("paths"))
-    return session.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "paths")
+    """Batches of distinct paths released after a quiet gap: ``(start, end, paths)``; batch or stream.
+
+    A table is cut into ranges of time, sessions are made in each, and those that go on over the ends of
+    ranges are put together: one row a range decides, so no task holds all changes.
+    """
+    # Spark's sessions go on where a change comes just at the end of the gap, which is quiet by then.
+    window = F.session_window("ts", f"{gap} -1 microseconds").alias("w")
+    end = (F.col("w.end") + F.expr("INTERVAL 1 MICROSECOND")).alias("end")
+    if changes.isStreaming:
+        session = changes.groupBy(window).agg(F.array_sort(F.collect_set(path)).alias("paths"))
+        return session.select(F.col("w.start").alias("start"), end, "paths")
+    parts = int(changes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = saved(changes.filter("ts is not null").select("ts", F.col(path).alias("path")).repartitionByRange(parts, "ts").withColumn("range", F.spark_partition_id()), "ranges")
+    made = ranged.groupBy("range", window).agg(F.collect_set("path").alias("paths"))
+    made = saved(made.select("range", F.col("w.start").alias("start"), end, "paths"), "sessions")
+    ends = made.groupBy("range").agg(F.count("*").alias("n"), F.min("start").alias("first"), F.max("start").alias("last"), F.max("end").alias("until"))
+    before = Window.orderBy("range")  # a row a range
+    lag = lambda column: F.lag(column).over(before)
+    # Where a range's first session began: here, in the last session of the range before, or where that one's first session began.
+    began = F.when(lag("until").isNull() | (F.col("first") >= lag("until")), F.col("first")).when(lag("n") > 1, lag("last"))
+    opened = ends.select("range", "first", began.alias("began")).select("range", "first", F.last("began", ignorenulls=True).over(before).alias("began"))
+    joined = made.join(F.broadcast(opened), "range").withColumn("start", F.when(F.col("start") == F.col("first"), F.col("began")).otherwise(F.col("start")))
+    whole = joined.groupBy("start").agg(F.max("end").alias("end"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("paths")))).alias("paths"))
+    return whole.select("start", "end", "paths")
