@@ -69,3 +69,11 @@ def test_word_search_counts_each_word(spark, small_blocks):
 def test_repeated_keys_are_one_chunk(spark):
     chunks = spark.createDataFrame([(1, "red fish"), (1, "red"), (2, "")], "id int, text string")
     assert sorted((r.id, r.token, r.n) for r in retrieval.build_postings(chunks, "id", {"text": "text"}).collect()) == [(1, "fish", 1), (1, "red", 2)]
+
+
+def test_phrases_in_the_tasks_equal_the_joins(spark, monkeypatch, small_blocks):
+    chunks = spark.createDataFrame([(k, t) for _, k, t in drawn(120)], "chunk string, text string")
+    phrases = spark.createDataFrame([(1, "red fish"), (1, "fish alerts"), (2, "alert crashed alert"), (3, "Red, fish"), (4, "nowhere"), (5, "")], "phrase_id int, phrase string")
+    made = rows(retrieval.phrase_match(chunks, phrases, "chunk", "text"))
+    monkeypatch.setattr(retrieval, "INLINE_STEMS", 0)
+    assert made == rows(retrieval.phrase_match(chunks, phrases, "chunk", "text")) and {r[1] for r in made} == {1, 2, 3}
