@@ -21,7 +21,7 @@ from notelake.functions.words import stem_dictionary, words
 K1, B = 1.2, 0.75
 FIELD_WEIGHTS = {"title": 5.0, "heading": 2.0, "text": 1.0, "keywords": 3.0}
 #: Words counted, cells of chunks times queries and parts of scores added up at a time, about.
-WORDS, CELLS, PARTS = 1 << 19, 1 << 20, 1 << 21
+WORDS, CELLS, PARTS = 1 << 17, 1 << 20, 1 << 20
 
 
 def weighted_words(fields: dict[str, str]) -> Column:
@@ -73,7 +73,10 @@ def counted(weighted: Column, wanted: list[str] | None = None, stemmed: bool = T
         words_in = pc.struct_field(fields.flatten(), "words")
         row = np.repeat(np.arange(len(fields)), _sizes(fields))
         made = [_held(fields.slice(a, b - a), only, stemmed) for a, b in _slices(np.bincount(row, _sizes(words_in), len(fields)).astype(np.int64), WORDS)]
-        return pa.concat_arrays(made) if made else _held(fields, only, stemmed)
+        whole = pa.concat_arrays(made) if made else _held(fields, only, stemmed)
+        del made
+        pa.default_memory_pool().release_unused()  # what a batch of long texts took is not kept by each worker
+        return whole
 
     return F.arrow_udf(run, "struct<len:bigint,tokens:array<string>,f:array<double>>")(weighted)
 
