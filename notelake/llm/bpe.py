@@ -1,13 +1,13 @@
 """Byte-level BPE encoding and decoding.
 
 Texts are split by the tokenizer's pattern into words, and each distinct word of a partition is told
-once, ahead of the first text that holds it. Spark turns these words into arrays of bytes, and a
-higher-order fold merges the adjacent pair of lowest rank until none is left, with the ranks of all
-pairs at hand in a literal map cut into buckets. The texts follow as numbers of words and take their
-words' ids in order. All of this is narrow: nothing is shuffled, and a partition folds each word once.
-Words that are frequent in a bounded sample of texts are folded ahead of all and broadcast, ``COMMON``
-at most, so that partitions need not fold them again; this saves time and changes no result.
-Decoding looks up each id's bytes in a literal array and concatenates the binary pieces.
+once, ahead of the first text that holds it, with the merges that it can take: its spans that are
+pieces, ranked. Spark folds each word over its ranked merges (a higher-order fold), and the texts, which
+follow as numbers of words, take their words' ids in order. All of this is narrow: nothing is shuffled or
+sent to the driver, and a partition folds each word once. Words of more than ``MASKED`` bytes, and all words
+where merges do not come in order of rank, are folded as arrays: each step merges the adjacent pair of
+lowest rank until none is left, with the ranks of all pairs at hand in a literal map cut into buckets.
+Decoding looks up each id's bytes in a literal array and joins them, as strings of one character for each byte.
 """
 
 from __future__ import annotations
@@ -15,28 +15,28 @@ from __future__ import annotations
 import base64
 import json
 import zlib
-from collections import Counter
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelake.llm.common import width
+from notelake.llm.piece_spans import MERGES, Vocabulary
 from notelake.llm.textbytes import small_parts
 
-#: Words folded ahead, at most, and texts that they are looked for in, about.
-COMMON, SAMPLE = 300_000, 40_000
 #: Distinct words that a task remembers; beyond them it starts anew and words may be folded again.
 REMEMBERED = 2_000_000
+#: New words in a row.
+TOLD = 4096
 #: Bytes of text in a batch, about.
 PART = 1 << 20
 #: Bytes of a word that is folded as an array; longer ones take the same merges from a heap.
 LONGEST = 2000
 _BUCKETS = 1 << 16
-#: Pieces concatenated in one fold, and levels of folds: 64 ** 5 ids, twice as many as an array of a row can hold (2 GB).
+#: Pieces are joined in runs of 64 ** 4, and 64 runs hold 64 ** 5 ids, twice as many as an array of a row can hold (2 GB).
 _FAN, _LEVELS = 64, 5
 
 
@@ -94,18 +94,72 @@ def _fold(ranks: Column, b: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(b) - 2), start, step, pieces)
 
 
+def _folded(rows: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """The rows with arrays ``cuts`` and ``ids`` in place of ``merges``, one entry for each of their ``words``.
+
+    A cut is a number with a bit for each place where a piece of the word starts or ends. A merge takes place
+    if the pieces are its two parts then, and clears the bit between. Words without merges have ids instead.
+    Null words and words of more than ``LONGEST`` bytes, whose fold would copy long arrays at each merge,
+    have neither: see ``merge_long``.
+    """
+    stepwise = lambda table, b: F.transform(_fold(table, F.concat(F.lit(_END), b, F.lit(_END))), lambda p: _rank(table, p))
+    known = lambda table, b: F.get(F.transform(F.array(_rank(table, b)), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(stepwise(table, b))), F.lit(0))
+    made = lambda table, w: F.get(F.transform(F.array(F.decode(F.encode(w, "UTF-8"), "ISO-8859-1")), lambda b: known(table, b)), F.lit(0))
+    one = lambda table, w, m: F.when(m.isNull() & F.octet_length(w).between(1, LONGEST), made(table, w))
+    # One lambda binds the map, so that the plan holds the literal once.
+    ids = F.get(F.transform(F.array(_literal(ranks)), lambda table: F.zip_with("words", "merges", lambda w, m: one(table, w, m))), F.lit(0))
+    # Two to the power of n + 1, less one, without leaving 64 bits: the bits of the places 0 to n.
+    every = lambda w: F.shiftleft(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.octet_length(w)) - 1, 1).bitwiseOR(F.lit(1))
+    step = lambda s, m: F.when(s.bitwiseAND(m["span"]) == m["parts"], s - m["cut"]).otherwise(s)
+    cuts = F.zip_with("words", "merges", lambda w, m: F.aggregate(m, every(w), step))
+    return rows.withColumns({"cuts": cuts, "ids": ids}).drop("merges")
+
+
 def word_ids(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """The rows of ``words(word, ...)`` with an array ``ids``, in the same order of rows.
 
-    A word that is a piece of its own is that piece. Null words and words of more than ``LONGEST``
-    bytes, whose fold would copy long arrays at each merge, have null: see ``merge_long``.
+    Null words and words of more than ``LONGEST`` bytes have null: see ``merge_long``.
     """
-    text = F.decode(F.encode("word", "UTF-8"), "ISO-8859-1")
-    folded = lambda table, b: F.transform(_fold(table, F.concat(F.lit(_END), b, F.lit(_END))), lambda p: _rank(table, p))
-    known = lambda table, b: F.get(F.transform(F.array(_rank(table, b)), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(folded(table, b))), F.lit(0))
-    # One lambda binds the map, so that the plan holds the literal once.
-    made = F.get(F.transform(F.array(_literal(ranks)), lambda table: F.get(F.transform(F.array(text), lambda b: known(table, b)), F.lit(0))), F.lit(0))
-    return words.withColumn("ids", F.when(F.octet_length("word").between(1, LONGEST), made))
+    vocabulary, names = Vocabulary(ranks), words.columns
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in words.schema.fields)
+
+    def spanned(batches):
+        for batch in batches:
+            each = np.arange(batch.num_rows + 1, dtype=np.int32)
+            some = batch.column("word")
+            merges = vocabulary.merges(some.to_pylist())
+            yield batch.append_column("words", pa.ListArray.from_arrays(each, some)).append_column("merges", pa.ListArray.from_arrays(each, merges))
+
+    def named(batches):
+        for batch in batches:
+            lists, cuts = batch.column("ids").flatten(), batch.column("cuts").flatten()
+            flat, sizes = _word_ids(batch.column("word").to_pylist(), lists, cuts, vocabulary, lambda word: [])
+            absent = lists.is_null().to_numpy(zero_copy_only=False) & cuts.is_null().to_numpy(zero_copy_only=False)
+            offsets = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32), mask=np.append(absent, False))
+            ids = pa.ListArray.from_arrays(offsets, pa.array(flat.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], ids], names=[*names, "ids"])
+
+    return _folded(words.mapInArrow(spanned, f"{fields}words array<string>, merges array<{MERGES}>"), ranks).mapInArrow(named, f"{fields}ids array<int>")
+
+
+def _word_ids(words: list[str | None], lists: pa.Array, cuts: pa.Array, vocabulary: Vocabulary, otherwise) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the words in order, and how many each has; ``otherwise`` gives those of words that were not folded."""
+    by_cuts = cuts.is_valid().to_numpy(zero_copy_only=False)
+    at = np.flatnonzero(by_cuts)
+    flat, counts = vocabulary.cut([words[i].encode() for i in at.tolist()], cuts.drop_null().to_numpy()) if len(at) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+    if len(at) == len(words):
+        return flat, counts
+    sizes = np.zeros(len(words), np.int64)
+    sizes[at] = counts
+    rest = {i: otherwise(words[i]) if (ids := lists[i].as_py()) is None else ids for i in np.flatnonzero(~by_cuts).tolist()}
+    for i, ids in rest.items():
+        sizes[i] = len(ids)
+    starts = np.cumsum(sizes) - sizes
+    made = np.zeros(int(sizes.sum()), np.uint32)
+    made[np.repeat(starts[at] - (np.cumsum(counts) - counts), counts) + np.arange(len(flat))] = flat
+    for i, ids in rest.items():
+        made[starts[i] : starts[i] + len(ids)] = ids
+    return made, sizes
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -135,26 +189,29 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(len(word)) if alive[i]]
 
 
-def _told(pattern: str, kept: int, common):
-    """Rows of new words, then the texts of the batch as numbers of words; an empty word forgets all but the common ones."""
+def _told(pattern: str, kept: int, vocabulary: Vocabulary):
+    """Rows of many new words with their merges, then the texts of the batch as numbers of words; an empty word forgets all."""
 
     def run(batches):
         found = regex.compile(pattern).findall
-        first = len(common.value)
-        numbers = {w: i for i, w in enumerate(common.value)}
+        numbers: dict[str, int] = {}
         for batch in (part for batch in batches for part in small_parts(batch, kept, PART)):
             fresh = []
             if len(numbers) > REMEMBERED:
-                numbers = dict(islice(numbers.items(), first))
+                numbers = {}
                 fresh.append("")
             known, coded = len(numbers), []
             for text in batch.column(kept).to_pylist():
                 coded.append(np.array([numbers.setdefault(w, len(numbers)) for w in found(text)], "<u4").tobytes() if text else b"")
             fresh += islice(numbers, known, None)
-            columns = [pa.concat_arrays([pa.nulls(len(fresh), c.type), c]) for c in batch.columns[:kept]]
-            columns.append(pa.concat_arrays([pa.array(fresh, pa.string()), pa.nulls(len(coded), pa.string())]))
-            columns.append(pa.concat_arrays([pa.nulls(len(fresh), pa.binary()), pa.array(coded, pa.binary())]))
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:kept], "word", "coded"])
+            # One row for many words: a row of its own costs more than a word's fold.
+            cuts = np.array([*range(0, len(fresh), TOLD), len(fresh)], np.int32)
+            told, texts = len(cuts) - 1, len(coded)
+            words, merges = pa.ListArray.from_arrays(cuts, pa.array(fresh, pa.string())), pa.ListArray.from_arrays(cuts, vocabulary.merges(fresh))
+            columns = [pa.concat_arrays([pa.nulls(told, c.type), c]) for c in batch.columns[:kept]]
+            columns += [pa.concat_arrays([c, pa.nulls(texts, c.type)]) for c in (words, merges)]
+            columns.append(pa.concat_arrays([pa.nulls(told, pa.binary()), pa.array(coded, pa.binary())]))
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:kept], "words", "merges", "coded"])
 
     return run
 
@@ -162,14 +219,12 @@ def _told(pattern: str, kept: int, common):
 class _Dictionary:
     """Ids of the words told so far, by number."""
 
-    def __init__(self, common):
-        flat, sizes = common.value
-        self.parts, self.sizes, self.flat = [flat], [sizes], None
+    def __init__(self):
+        self.parts, self.sizes, self.flat = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], None
 
-    def add(self, words: list[str], lists: pa.ListArray, ranks: dict[bytes, int]) -> None:
-        made = [merge_long(w.encode(), ranks) if ids is None else ids for w, ids in zip(words, lists.to_pylist(), strict=True)] if lists.null_count else None
-        self.sizes.append(np.array([len(x) for x in made]) if made is not None else np.diff(lists.offsets.to_numpy()))
-        self.parts.append(np.array([i for x in made for i in x], "<u4") if made is not None else lists.flatten().to_numpy(zero_copy_only=False).astype("<u4"))
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.parts.append(flat)
+        self.sizes.append(sizes)
         self.flat = None
 
     def ids(self, numbers: np.ndarray) -> np.ndarray:
@@ -182,25 +237,22 @@ class _Dictionary:
         return self.flat[np.arange(ends[-1]) + np.repeat(self.start[numbers] - ends + sizes, sizes)]
 
 
-def _taken(ranks: dict[bytes, int], kept: int, common):
+def _taken(ranks: dict[bytes, int], kept: int, vocabulary: Vocabulary):
     """The texts with the ids of their words; rows come in the order of ``_told``."""
 
     def run(batches):
-        known = _Dictionary(common)
+        known = _Dictionary()
         for batch in batches:
-            words, coded = batch.column("word"), batch.column("coded")
-            told = np.flatnonzero(words.is_valid().to_numpy(zero_copy_only=False))
+            words, coded, made = batch.column("words"), batch.column("coded"), []
+            for row, x in enumerate(coded):
+                if x.is_valid:
+                    made.append(known.ids(np.frombuffer(x.as_py(), "<u4")).tobytes() if len(x.as_py()) else b"")
+                    continue
+                told, lists, bits = words[row].as_py(), batch.column("ids")[row].values, batch.column("cuts")[row].values
+                if told[0] == "":
+                    known, told, lists, bits = _Dictionary(), told[1:], lists[1:], bits[1:]
+                known.add(*_word_ids(told, lists, bits, vocabulary, lambda word: merge_long(word.encode(), ranks)))
             texts = np.flatnonzero(coded.is_valid().to_numpy(zero_copy_only=False))
-            cuts = [*(i for i in told.tolist() if words[i].as_py() == ""), batch.num_rows]
-            made, at = [], 0
-            for cut in cuts:
-                some = told[(told >= at) & (told < cut)]
-                if len(some):
-                    known.add(words.take(pa.array(some)).to_pylist(), batch.column("ids").take(pa.array(some)), ranks)
-                for x in coded.take(pa.array(texts[(texts >= at) & (texts < cut)])).to_pylist():
-                    made.append(known.ids(np.frombuffer(x, "<u4")).tobytes() if x else b"")
-                if cut < batch.num_rows:
-                    known, at = _Dictionary(common), cut + 1
             rest = [c.take(pa.array(texts)) for c in batch.columns[:kept]]
             offsets = np.cumsum([0, *map(len, made)]) // 4
             ids = pa.ListArray.from_arrays(offsets.astype(np.int32), pa.array(np.frombuffer(b"".join(made), "<u4").astype(np.int32)))
@@ -209,32 +261,6 @@ def _taken(ranks: dict[bytes, int], kept: int, common):
     return run
 
 
-def _words(pattern: str):
-    """The words of the texts with their counts, in parts."""
-
-    def run(batches):
-        found = regex.compile(pattern).findall
-        for batch in batches:
-            counts = Counter()
-            for text in batch.column(0).to_pylist():
-                counts.update(found(text or ""))
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
-
-    return run
-
-
-def common_words(texts: DataFrame, ranks: dict[bytes, int], pattern: str):
-    """Words of the sample that occur twice at least, broadcast, and all their ids with the number of each, broadcast."""
-    every = max(1, texts.count() // SAMPLE)
-    some = texts.filter(F.pmod(F.xxhash64("__text"), F.lit(every)) == 0).mapInArrow(_words(pattern), "word string, n bigint")
-    often = some.groupBy("word").agg(F.sum("n").alias("n")).filter(f"n > 1 and octet_length(word) <= {LONGEST}").orderBy(F.desc("n"), "word").limit(COMMON)
-    made = word_ids(often.select("word").repartition(width(texts.sparkSession)), ranks).toArrow()
-    lists = made["ids"].combine_chunks()
-    flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-    context = texts.sparkSession.sparkContext
-    return context.broadcast(made["word"].to_pylist()), context.broadcast((flat, np.diff(lists.offsets.to_numpy())))
-
-
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The rows of ``docs`` with ``bpe_ids``, the token ids of the whole text in order, and ``bpe_packed``.
 
@@ -247,9 +273,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
     inner = [f"c{i}" for i in range(len(spare))]
     plain = docs.select(*(F.col(f"`{c}`").alias(i) for c, i in zip(spare, inner, strict=True)), F.col(text_col).cast("string").alias("__text"))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in plain.schema.fields[:-1])
-    words, ids = common_words(plain.select("__text"), ranks, pattern)
-    told = plain.mapInArrow(_told(pattern, len(inner), words), f"{fields}word string, coded binary")
-    made = word_ids(told, ranks).mapInArrow(_taken(ranks, len(inner), ids), f"{fields}bpe_packed binary, bpe_ids array<int>")
+    vocabulary = Vocabulary(ranks)
+    told = plain.mapInArrow(_told(pattern, len(inner), vocabulary), f"{fields}words array<string>, merges array<{MERGES}>, coded binary")
+    made = _folded(told, ranks).mapInArrow(_taken(ranks, len(inner), vocabulary), f"{fields}bpe_packed binary, bpe_ids array<int>")
     return made.select(*(F.col(i).alias(c) for i, c in zip(inner, spare, strict=True)), "bpe_packed", "bpe_ids")
 
 
@@ -257,19 +283,14 @@ def decode(rows: DataFrame, ranks: dict[bytes, int], ids_col: str = "bpe_ids") -
     """The rows with a column ``bpe_bytes``: the tokens' bytes concatenated; no ids give no bytes."""
     pieces = [""] * (max(ranks.values(), default=-1) + 1)
     for piece, rank in ranks.items():
-        pieces[rank] = base64.b64encode(piece).decode()
-    table = F.from_json(F.lit(json.dumps(pieces)), "array<binary>")
-    nothing = F.lit(b"")
-
-    def joined(parts: Column) -> Column:
-        runs = F.sequence(F.lit(0), F.greatest(F.floor((F.size(parts) - 1) / _FAN).cast("int"), F.lit(0)))
-        return F.transform(runs, lambda k: F.aggregate(F.slice(parts, k * _FAN + 1, F.lit(_FAN)), nothing, lambda all_, x: F.concat(all_, x)))
-
+        pieces[rank] = piece.decode("latin-1")
+    table = F.from_json(F.lit(json.dumps(pieces, ensure_ascii=False)), "array<string>")
+    nothing, run = F.lit(b""), _FAN ** (_LEVELS - 1)
     ids = F.coalesce(F.col(ids_col), F.array().cast("array<int>"))
-    whole = F.get(F.transform(F.array(table), lambda t: joined(F.transform(ids, lambda i: F.get(t, i)))), F.lit(0))
-    for _ in range(_LEVELS - 1):
-        whole = F.get(F.transform(F.array(whole), joined), F.lit(0))
-    return rows.withColumn("bpe_bytes", F.coalesce(F.get(whole, F.lit(0)), nothing))
+    runs = F.sequence(F.lit(0), F.greatest(F.floor((F.size(ids) - 1) / run).cast("int"), F.lit(0)))
+    joined = lambda t, some: F.encode(F.array_join(F.transform(some, lambda i: F.get(t, i)), ""), "ISO-8859-1")
+    parts = F.get(F.transform(F.array(table), lambda t: F.transform(runs, lambda k: joined(t, F.slice(ids, k * run + 1, F.lit(run))))), F.lit(0))
+    return rows.withColumn("bpe_bytes", F.aggregate(parts, nothing, lambda all_, x: F.concat(all_, x)))
 
 
 def bpe_digest(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
