@@ -1,11 +1,14 @@
 """Near-duplicate vectors by a forest of random-projection trees with spill.
 
 Each tree splits the space again and again at the median of a random direction; vectors within
-``SPILL`` of a split go to both sides. A pair at the threshold is then parted by one tree with a
-chance of a few in a thousand, and by all trees never in practice. The split points are fitted on a
-bounded sample of ``SAMPLE`` vectors; every vector is placed in the leaves of every tree. Vectors
-are compared in double precision within a leaf and label. A pair that meets in several leaves counts
-in the first of them only, so tasks return one row per vector and no pairs.
+``SPILL`` of a split go to both sides. How likely a split parts a pair at the threshold is worked out
+from the density at the median, and a branch ends before these chances add up to ``RISK``. Trees are
+added until all of them part such a pair with a chance of ``MISSED`` at most, so a vector has a dozen
+copies, whose number hardly grows with the table: a wider spill in few trees doubles it with every five
+times the vectors. The split points are fitted on a bounded sample of ``SAMPLE`` vectors; every vector
+is placed in the leaves of every tree. Vectors are compared in double precision within a leaf and label.
+A pair that meets in several leaves counts in the first of them only, so tasks return one row per vector
+and no pairs.
 
 Leaves that hold more than ``BLOCK`` vectors of a label are cut into blocks, and each pair of blocks
 is a group of its own: a very common vector widens no task. Equal vectors are one node with a weight.
@@ -13,15 +16,19 @@ is a group of its own: a very common vector widens no task. Equal vectors are on
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notelake.llm.common import Scratch, connected_components, width
+from notelake.llm.common import Scratch, connected_components, small, width
 
-TREES = 6
-SPILL = 0.03
+#: Width of the spill, in standard deviations of a threshold pair's difference along a random direction.
+SPILL = 0.4
+#: Chance of being parted that a branch of a tree ends before, and chance that all trees part a pair.
+RISK, MISSED = 0.3, 1e-6
 #: Vectors that split points are fitted on, at most.
 SAMPLE = 20_000
 #: Vectors a leaf should hold over all labels.
@@ -29,46 +36,64 @@ LEAF = 2_000
 BLOCK = 1_024
 
 
+def _beyond(z: float) -> float:
+    """Expected excess of a standard normal variable's size over z."""
+    return 2 * (math.exp(-z * z / 2) / math.sqrt(2 * math.pi) - z * math.erfc(z / math.sqrt(2)) / 2)
+
+
 class Tree:
-    """Random directions and their medians; leaves are numbered from ``first``."""
+    """Random directions and their medians; leaves are numbered from ``first``. ``risk``: the largest chance that a pair at the threshold is parted."""
 
-    def __init__(self, sample: np.ndarray, leaf: float, rng: np.random.Generator, first: int):
+    def __init__(self, sample: np.ndarray, leaf: float, rng: np.random.Generator, first: int, threshold: float):
         self.directions, self.medians, self.children = [], [], []
-        self.leaves = first
-        self.root = self._grow(sample, leaf, rng, 0)
-
-    def _grow(self, sample, leaf, rng, depth):
-        if len(sample) <= leaf or depth >= 24:
-            self.leaves += 1
-            return -self.leaves
-        direction = rng.standard_normal(sample.shape[1])
-        direction /= np.linalg.norm(direction)
-        at = sample @ direction
-        median = float(np.median(at))
-        lower, upper = sample[at <= median + SPILL], sample[at >= median - SPILL]
-        if max(len(lower), len(upper)) > 0.9 * len(sample):
-            self.leaves += 1
-            return -self.leaves
-        node = len(self.children)
-        self.directions.append(direction)
-        self.medians.append(median)
-        self.children.append(None)
-        self.children[node] = (self._grow(lower, leaf, rng, depth + 1), self._grow(upper, leaf, rng, depth + 1))
-        return node
-
-    def place(self, unit: np.ndarray, out: list[list[int]]) -> None:
-        """Append the leaves of each vector to its list."""
-        todo = [(self.root, np.arange(len(unit)))]
+        self.leaves, self.risk = first, 0.0
+        # A pair at the threshold is sqrt(2 - 2 t) apart; along a random direction this has such a deviation.
+        self.deviation = max(math.sqrt(max(0.0, 2 - 2 * threshold) / sample.shape[1]), 1e-9)
+        self.spill = SPILL * self.deviation
+        self.root = self._grow(sample, leaf, rng, 0, 0.0)
+
+    def _grow(self, sample, leaf, rng, depth, risk):
+        if len(sample) > leaf and depth < 24:
+            direction = rng.standard_normal(sample.shape[1])
+            direction /= np.linalg.norm(direction)
+            at = sample @ direction
+            low, median, high = (float(x) for x in np.quantile(at, (0.3, 0.5, 0.7)))
+            parted = 0.4 / (high - low) * self.deviation * _beyond(2 * SPILL) if high > low else 1.0
+            lower, upper = sample[at <= median + self.spill], sample[at >= median - self.spill]
+            if risk + parted <= RISK and max(len(lower), len(upper)) <= 0.9 * len(sample):
+                node = len(self.children)
+                self.directions.append(direction)
+                self.medians.append(median)
+                self.children.append(None)
+                self.children[node] = tuple(self._grow(side, leaf, rng, depth + 1, risk + parted) for side in (lower, upper))
+                return node
+        self.risk = max(self.risk, risk)
+        self.leaves += 1
+        return -self.leaves
+
+    def place(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(vector, leaf) of each leaf that a vector is in."""
+        todo, vectors, leaves = [(self.root, np.arange(len(unit)))], [], []
         while todo:
             node, rows = todo.pop()
             if node < 0:
-                for r in rows:
-                    out[r].append(-node)
+                vectors.append(rows)
+                leaves.append(np.full(len(rows), -node, np.int32))
                 continue
             at = unit[rows] @ self.directions[node]
             lower, upper = self.children[node]
-            todo.append((lower, rows[at <= self.medians[node] + SPILL]))
-            todo.append((upper, rows[at >= self.medians[node] - SPILL]))
+            todo.append((lower, rows[at <= self.medians[node] + self.spill]))
+            todo.append((upper, rows[at >= self.medians[node] - self.spill]))
+        return np.concatenate(vectors), np.concatenate(leaves)
+
+
+def forest(sample: np.ndarray, leaf: float, threshold: float) -> list[Tree]:
+    """Trees over a sample of unit vectors that part a pair at the threshold all together with a chance of ``MISSED`` at most."""
+    rng, trees, missed = np.random.default_rng(7), [], 1.0
+    while missed > MISSED:
+        trees.append(Tree(sample, leaf, rng, trees[-1].leaves if trees else 0, threshold))
+        missed *= trees[-1].risk
+    return trees
 
 
 def _matrix(column: pa.ListArray | pa.ChunkedArray) -> np.ndarray:
@@ -85,14 +110,19 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 def _placed(trees, dim):
     def run(batches):
         for batch in batches:
-            lists: list[list[int]] = [[0] if d != dim else [] for d in batch.column("dim").to_pylist()]
-            mine = [i for i, x in enumerate(lists) if not x]
-            if mine:
+            usual = batch.column("dim").to_numpy() == dim
+            vectors, leaves = [np.flatnonzero(~usual)], [np.zeros(np.count_nonzero(~usual), np.int32)]
+            if usual.any():
+                mine = np.flatnonzero(usual)
                 unit = _unit(_matrix(batch.column("embedding").take(pa.array(mine))))
-                own = [lists[i] for i in mine]
                 for tree in trees.value:
-                    tree.place(unit, own)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int32()))], names=[*batch.schema.names, "leaves"])
+                    at, own = tree.place(unit)
+                    vectors.append(mine[at])
+                    leaves.append(own)
+            vector, leaf = np.concatenate(vectors), np.concatenate(leaves)
+            order = np.lexsort((leaf, vector))
+            offsets = np.append(0, np.cumsum(np.bincount(vector, minlength=batch.num_rows))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(leaf[order], pa.int32()))], names=[*batch.schema.names, "leaves"])
 
     return run
 
@@ -105,7 +135,7 @@ def _compare(threshold: float):
         lists = table["leaves"].to_pylist()
         leaves = np.full((len(ids), max(map(len, lists))), -1, np.int32)
         for i, x in enumerate(lists):
-            leaves[i, : len(x)] = sorted(x)
+            leaves[i, : len(x)] = x
         left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
         count, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
 
@@ -173,20 +203,16 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
     same = nodes.filter(F.col("dim") == dim)
     chosen = same.select("embedding", F.xxhash64("node").alias("order")).orderBy("order").limit(SAMPLE).select("embedding").toArrow()
     sample = _unit(_matrix(chosen["embedding"]))
-    rng = np.random.default_rng(7)
-    trees: list[Tree] = []
-    for _ in range(TREES):
-        trees.append(Tree(sample, LEAF * len(sample) / total, rng, trees[-1].leaves if trees else 0))
-    shared = spark.sparkContext.broadcast(trees)
+    shared = spark.sparkContext.broadcast(forest(sample, LEAF * len(sample) / total, threshold))
 
     schema = "label {}, embedding array<double>, node bigint, weight bigint, dim int, leaves array<int>".format(nodes.schema["label"].dataType.simpleString())
     placed = scratch.save(nodes.select("label", "embedding", "node", "weight", "dim").mapInArrow(_placed(shared, dim), schema))
     spots = placed.select("node", "label", "dim", F.explode("leaves").alias("leaf"))
     sizes = spots.groupBy("leaf", "label", "dim").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    large = sizes.filter("blocks > 1")
+    large = scratch.save(sizes.filter("blocks > 1"))
     dealt = (
         placed.withColumn("leaf", F.explode("leaves"))
-        .join(large, ["leaf", "label", "dim"], "left")
+        .join(small(large), ["leaf", "label", "dim"], "left")
         .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
