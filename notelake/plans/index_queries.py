@@ -35,10 +35,11 @@ def _paragraphs(docs, version, text):
     return cut.select(c("doc_id").alias("owner"), (F.lit(version * 10_000_000_000) + c("doc_id") * 1000 + c("place")).alias("chunk"), "part")
 
 
-def _replaced(spark, sf):
-    """The index after three replacements, each of which names owners and brings their new chunks."""
+def _replaced(spark, sf, once=False):
+    """The index after three replacements, each of which names owners and brings their new chunks; chunks are counted ``once`` or when asked."""
     docs, fields = table(spark, sf, "documents"), {"text": "part"}
     index = postings.index_of(_paragraphs(docs.filter("doc_id % 11 <> 0"), 0, "text"), fields)
+    index = postings.counted_once(index) if once else index
     for version, (owners, text) in _VERSIONS.items():
         named = docs.filter(owners)
         fresh = _paragraphs(named, version, text) if text else _paragraphs(docs.limit(0), version, "text")
@@ -56,7 +57,7 @@ _INDEX = f"""WITH {_CURRENT}, {stem_sql.stems({'parts': 'part'})},
 @query("replace_chunks", f"""{_INDEX} SELECT token, count(DISTINCT chunk) AS df, count(*) AS occurrences, (SELECT count(*) FROM parts) AS chunks, (SELECT cast(sum(len({stem_sql.words('part')})) AS BIGINT) FROM parts) AS words FROM held GROUP BY token""")
 def replace_chunks(spark, sf):
     """Terms, postings and totals after replacements; the SQL builds the last state anew."""
-    index = _replaced(spark, sf)
+    index = _replaced(spark, sf, once=True)
     counted = index.postings.groupBy("token").agg(F.sum("f").cast("long").alias("occurrences"))
     return index.terms.join(counted, "token").join(F.broadcast(index.totals)).select("token", "df", "occurrences", "chunks", "words")
 
